@@ -17,9 +17,9 @@ def admission(cached: Column, breaker_allows: Column, tier_ready: Column, limite
 
 
 def drift(have: dict[str, Column], want: dict[str, Column]) -> Column:
-    """Names of the fields that differ, NULL-safe; NULL itself if a version is missing altogether."""
+    """Names of the fields that differ, NULL-safe."""
     parts = [F.when(~have[k].eqNullSafe(want[k]), F.lit(k)) for k in want]
-    return F.when(~F.coalesce(*[have[k].isNull() for k in want], F.lit(True)) | F.lit(True), F.filter(F.array(*parts), lambda x: x.isNotNull()))
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
 
 
 def alias(model: Column) -> Column:

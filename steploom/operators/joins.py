@@ -21,7 +21,7 @@ def unmatched(labels: DataFrame, predictions: DataFrame, key: str, label: str, p
 def reconciled(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: only_a, only_b, both; a caller aborts if either of the first is above 0."""
     sides = a.select(key, F.lit(1).alias("in_a")).distinct().join(b.select(key, F.lit(1).alias("in_b")).distinct(), key, "full_outer")
-    return sides.agg(F.count_if("in_b is null").alias("only_a"), F.count_if("in_a is null").alias("only_b"), F.count_if("in_a = in_b").alias("both"))
+    return sides.agg(F.count_if(F.expr("in_b is null")).alias("only_a"), F.count_if(F.expr("in_a is null")).alias("only_b"), F.count_if(F.expr("in_a = in_b")).alias("both"))
 
 
 def pivoted(df: DataFrame, key: str, arm: str, arms: list[str], value: str) -> DataFrame:

@@ -25,7 +25,7 @@ def doubtful_before(verdict: Column, confidence: Column, text: Column) -> Column
 def selected(rows: DataFrame, trace: list[str], chosen: Column, order: str, cap: int = 8) -> DataFrame:
     """The most doubtful steps of each trace, with n_selected, capped, and rate (of the trace's steps)."""
     w = W.partitionBy(*trace)
-    out = rows.withColumn("chosen", chosen).withColumn("n_steps", F.count("*").over(w)).withColumn("n_selected", F.count_if("chosen").over(w)).where("chosen")
+    out = rows.withColumn("chosen", chosen).withColumn("n_steps", F.count("*").over(w)).withColumn("n_selected", F.count_if(F.expr("chosen")).over(w)).where("chosen")
     rank = F.row_number().over(w.orderBy((F.col("verdict") == "sound").cast("int"), "validity_confidence", order))
     return out.withColumn("rank", rank).where(F.col("rank") <= cap).withColumn("capped", F.col("n_selected") > cap).withColumn("rate", F.try_divide("n_selected", "n_steps"))
 

@@ -75,7 +75,7 @@ def violations(step: DataFrame) -> DataFrame:
     key = ["item_id", "strategy"]
     bad_id = step.where(~F.col("step_id").eqNullSafe(F.concat_ws(":", "strategy", "span_id", "ordinal"))).select(F.lit("step_id").alias("rule"), F.col("step_id").alias("key"), F.lit("not strategy:span:ordinal").alias("detail"))
     twice = step.groupBy("step_id").count().where("count > 1").select(F.lit("unique").alias("rule"), F.col("step_id").alias("key"), F.col("count").cast("string").alias("detail"))
-    per = step.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.max("ordinal").alias("m"), F.count_if("kind = 'answer'").alias("a"), F.max_by("kind", "ordinal").alias("last"))
+    per = step.groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.max("ordinal").alias("m"), F.count_if(F.expr("kind = 'answer'")).alias("a"), F.max_by("kind", "ordinal").alias("last"))
     name = F.concat_ws(":", *key)
     gap = per.where("n <> d or m + 1 <> n").select(F.lit("dense").alias("rule"), name.alias("key"), F.lit("ordinals are not 0 to n - 1").alias("detail"))
     answer = per.where("a > 1 or (a = 1 and last <> 'answer')").select(F.lit("answer").alias("rule"), name.alias("key"), F.lit("not one, or not last").alias("detail"))

@@ -1,9 +1,14 @@
 """All queries of the reasoning-trace operators, by name, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from .plans import ordering, statistics, texts  # noqa: F401  each registers its queries
+from .plans.base import QUERIES, SQL
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -27,20 +27,20 @@ def admitted(times: Column, limit: int, seconds: int) -> Column:
 def limited(hits: DataFrame, client: str, at: str, limit: int, seconds: int) -> DataFrame:
     """client, t, admitted, in order of time; a client's hits are folded in a grouped Python function that keeps `limit` times."""
 
-    def fold(key, batches):
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         live: list[float] = []
-        for pdf in [pd.concat(list(batches)).sort_values("t")]:
-            ok = []
-            for t in pdf["t"]:
-                live = [x for x in live if t - x < seconds]
-                ok.append(len(live) < limit)
-                if ok[-1]:
-                    live.append(t)
-            yield pdf.assign(admitted=ok)
-
-    rows = hits.select(F.col(client).alias("client"), F.unix_micros(at).alias("us")).select("client", (F.col("us") / 1e6).alias("t"))
+        ok = []
+        pdf = pdf.sort_values("t")
+        for t in pdf["t"]:
+            live = [x for x in live if t - x < seconds]
+            ok.append(len(live) < limit)
+            if ok[-1]:
+                live.append(t)
+        return pdf.assign(admitted=ok)
+
+    rows = hits.select(F.col(client).alias("client"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).select("client", (F.col("us") / 1e6).alias("t"))
     kind = rows.schema["client"].dataType.simpleString()
-    return rows.groupBy("client").applyInPandas(lambda key, pdf: next(fold(key, [pdf])), f"client {kind}, t double, admitted boolean")
+    return rows.groupBy("client").applyInPandas(fold, f"client {kind}, t double, admitted boolean")
 
 
 def limited_stream(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
