@@ -9,7 +9,7 @@ hold, so it is built in two steps. Each window has an anchor, the ANCHOR-gram in
 equal anchors. First, the anchors that occur in two documents are found; then only windows with such an anchor are
 indexed, with the least doc_id in which each starts. Keys move in sorted blocks, one for each reference block (a batch of
 documents) and bucket; a block names a key once, with the first document that has it, so a key that all documents share
-costs a bucket one entry for each block. Anchors and windows are compared by 64-bit and 128-bit hashes.
+costs a bucket one entry for each block. Anchors and windows are compared by hashes of 64 and 96 bits.
 
 Words are runs of bytes other than ASCII white space, unchanged.
 
@@ -51,17 +51,22 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window."""
-    return rolled(h, WINDOW), rolled(mixed(h + np.uint64(0x632BE59BD9B4E019)), WINDOW, 0xD6E8FEB86659FD93)
+    """Two independent hashes of each window, of 64 and 32 bits."""
+    return rolled(h, WINDOW), rolled(mixed(h + np.uint64(0x632BE59BD9B4E019)), WINDOW, 0xD6E8FEB86659FD93) >> np.uint64(32)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Eight byte planes, which the shuffle's compression shortens where they are alike."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def names(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """One number for both hashes, to look up within a document."""
+    return mixed(keys) ^ checks
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+def planes(x: np.ndarray, size: int = 8) -> bytes:
+    """Byte planes, which the shuffle's compression shortens where they are alike."""
+    return np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+
+
+def unplaned(data: bytes, size: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64)
 
 
 def blocks_of(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, buckets: int, repeats: bool):
@@ -89,7 +94,7 @@ def blocks_of(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, buckets: i
         ks = k[i]  # still in ascending order
         delta = ks.copy()
         delta[1:] -= ks[:-1]
-        out.append((int(bucket[i[0]]), planes(delta), planes(c[i]) if checks.any() else b"", planes(first[i].view(np.uint64)), np.packbits(many[i]).tobytes()))
+        out.append((int(bucket[i[0]]), planes(delta), planes(c[i], 4) if checks.any() else b"", planes(first[i].view(np.uint64)), np.packbits(many[i]).tobytes()))
     return out, later
 
 
@@ -98,18 +103,18 @@ BLOCKS_DDL = "bucket long, keys binary, checks binary, docs binary, many binary"
 
 
 def _found(pdf: pd.DataFrame, earlier: bool) -> pd.DataFrame:
-    """Of a bucket: the (doc_id, key, check) that another document has too; with earlier, those that an earlier document has."""
+    """Of a bucket: the (doc_id, key) that another document has too; with earlier, the names of those that an earlier document has."""
     own = pdf[pdf["many"].map(len) > 0]
     passed = pdf[pdf["many"].map(len) == 0]
     parts = []
     if len(passed):
-        d, k, c = (np.concatenate([unplaned(x) for x in passed[c]]) for c in ("docs", "keys", "checks"))
+        d, k, c = (np.concatenate([unplaned(x, size) for x in passed[c]]) for c, size in (("docs", 8), ("keys", 8), ("checks", 4)))
         parts.append((d.view(np.int64), k, c))
     if len(own):
         n = [len(x) // 8 for x in own["keys"]]
         k = np.concatenate([np.cumsum(unplaned(x), dtype=np.uint64) for x in own["keys"]])
         d = np.concatenate([unplaned(x) for x in own["docs"]]).view(np.int64)
-        c = np.concatenate([unplaned(x) if x else np.zeros(m, np.uint64) for x, m in zip(own["checks"], n)])
+        c = np.concatenate([unplaned(x, 4) if x else np.zeros(m, np.uint64) for x, m in zip(own["checks"], n)])
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:m] for x, m in zip(own["many"], n)]).astype(bool)
         order = np.lexsort((d, c, k))
         k, c, d, many = k[order], c[order], d[order], many[order]
@@ -124,11 +129,11 @@ def _found(pdf: pd.DataFrame, earlier: bool) -> pd.DataFrame:
             hit = shared[group]
         parts.append((d[hit], k[hit], c[hit]))
     d, k, c = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
-    return pd.DataFrame({"doc_id": d, "key": k.astype(np.int64), "check": c.astype(np.int64)})
+    return pd.DataFrame({"doc_id": d, "key": (names(k, c) if earlier else k).view(np.int64)})
 
 
-def repeated_keys(docs: DataFrame, keys_of, buckets: int, earlier: bool, sized: str = "text") -> DataFrame:
-    """(doc_id, key, check) for the keys of each document that another (or, with earlier, an earlier) document has.
+def repeated_keys(docs: DataFrame, keys_of, buckets: int, earlier: bool, sized: str = "text", id_: str = "doc_id") -> DataFrame:
+    """(doc_id, key) for the keys of each document that another document has; with earlier, the names of those that an earlier one has.
 
     keys_of gets a row of docs (as a dict) and returns two arrays. No row lists a group's members: a reference block
     sends a key once, and names the further documents that have it in rows of their own, dealt evenly.
@@ -138,7 +143,7 @@ def repeated_keys(docs: DataFrame, keys_of, buckets: int, earlier: bool, sized:
         for batch in batches:
             for part in slices(batch, sized):
                 got = [keys_of(r) for r in part.to_pylist()]
-                ids = column(part, "doc_id")
+                ids = column(part, id_)
                 n = [len(k) for k, _ in got]
                 if not sum(n):
                     continue
@@ -148,11 +153,11 @@ def repeated_keys(docs: DataFrame, keys_of, buckets: int, earlier: bool, sized:
                 if later is not None:
                     for i in range(0, later.shape[1], 4096):
                         d, k, c = later[:, i : i + 4096]
-                        rows.append((int(mixed(d[:1] + k[:1])[0] % np.uint64(buckets)), planes(k), planes(c), planes(d), b""))
+                        rows.append((int(mixed(d[:1] + k[:1])[0] % np.uint64(buckets)), planes(k), planes(c, 4), planes(d), b""))
                 yield record_batch(BLOCKS, *zip(*rows))
 
     blocks = docs.mapInArrow(run, BLOCKS_DDL)
-    return blocks.groupBy("bucket").applyInPandas(lambda pdf: _found(pdf, earlier), "doc_id long, key long, check long")
+    return blocks.groupBy("bucket").applyInPandas(lambda pdf: _found(pdf, earlier), "doc_id long, key long")
 
 
 def bucket_count(docs: DataFrame, per_word: float) -> int:
@@ -161,16 +166,21 @@ def bucket_count(docs: DataFrame, per_word: float) -> int:
     return max(int(total / 6 * per_word / BUCKET) + 1, 4 * shuffle_partitions(docs.sparkSession))
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """key_id, doc_id, text (bytes). Joins by key_id over exactly these columns share one shuffle of the texts."""
+    return docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key_id"), "doc_id", F.col("text").cast("binary").alias("text"))
+
+
 def copied_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, check) of the windows of each document that start in an earlier one too."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """(doc_id, key): the names of the windows of each document that start in an earlier one too."""
+    rows = rows_of(docs)
     buckets = bucket_count(docs, 0.25)
 
     def anchor_keys(r):
         a = np.unique(anchors(hashes_of(r["text"]))[0])
         return a, np.zeros(len(a), np.uint64)
 
-    shared = repeated_keys(rows, anchor_keys, buckets, False).groupBy("doc_id").agg(F.collect_list("key").alias("shared"))
+    shared = repeated_keys(rows, anchor_keys, buckets, False, id_="key_id").groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_list("key").alias("shared"))
 
     def window_keys(r):
         h = hashes_of(r["text"])
@@ -181,7 +191,7 @@ def copied_windows(docs: DataFrame) -> DataFrame:
         k, c = windows(h)
         return k[some], c[some]
 
-    return repeated_keys(rows.join(shared, "doc_id"), window_keys, buckets, True)
+    return repeated_keys(rows.join(shared, "key_id"), window_keys, buckets, True, id_="key_id")
 
 
 def factors(covered: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -202,8 +212,8 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, spans (start and end, in words, of the copy factors) and kept (the text that is left, its words joined by blanks)."""
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("key_id"), F.col("text").cast("binary").alias("text"))
-    copies = copied_windows(docs).groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_list(F.struct("key", "check")).alias("copies"))
+    rows = rows_of(docs)
+    copies = copied_windows(docs).groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_list("key").alias("copies"))
 
     def run(batches):
         for batch in batches:
@@ -213,10 +223,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                     words = (r["text"] or b"").split()
                     spans = []
                     if r["copies"] and len(words) >= WINDOW:
-                        known = np.array([(c["key"], c["check"]) for c in r["copies"]], np.int64).view(np.uint64)
-                        k, c = windows(word_hashes(words))
-                        known = np.sort(mixed(known[:, 0]) ^ known[:, 1])
-                        spans = factors(np.isin(mixed(k) ^ c, known), len(words))
+                        known = np.array(r["copies"], np.int64).view(np.uint64)
+                        spans = factors(np.isin(names(*windows(word_hashes(words))), known), len(words))
                     keep, at = [], 0
                     for a, b in spans:
                         keep += words[at:a]
@@ -227,4 +235,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 if out:
                     yield record_batch(RESULT, *zip(*out))
 
-    return rows.join(copies, "key_id", "left").drop("key_id").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string")
+    return rows.join(copies, "key_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>, kept string")
