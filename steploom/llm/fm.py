@@ -70,6 +70,7 @@ class Machine:
     def fit(self, rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.1, batch: int = 64, seed: int = 11) -> "Machine":
         """AdaGrad on the logistic loss."""
         if not rows:
+            self.v[:] = 0
             return self
         rng = np.random.default_rng(seed)
         share = np.clip(np.mean([y for y, _, _ in rows]), 0.01, 0.99)

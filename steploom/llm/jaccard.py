@@ -1,6 +1,6 @@
 """Operator 8: n-gram Jaccard join with Bayesian candidate pruning.
 
-A document is the set of its SHINGLE-word shingles (words lie between white space, unchanged); two documents are linked if
+A document is the set of its SHINGLE-word shingles (words lie between ASCII white space, unchanged); two documents are linked if
 the Jaccard index of their sets is THRESHOLD or more.
 
 1. Each document gets a MinHash signature; documents with equal sets become one node with a count.
