@@ -367,9 +367,12 @@ def training(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 17) -> tup
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
-    """Trained on labelled spans of at most 2 x sample documents, the first by hash of doc_id and text: a part with hints, a part without."""
+    """Trained on labelled spans of about 2 x sample documents at most, a fixed share by hash of doc_id and text: a part with hints, a part without."""
     rows = docs.where(F.length("text").between(200, 20_000)).select("text", F.col("text").rlike("[0-9@]").alias("hint"), F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r["text"] for hint in (True, False) for r in rows.where(F.col("hint") == hint).orderBy("h").limit(sample).collect()]
+    every = {r["hint"]: max(1, r["count"] // sample) for r in rows.groupBy("hint").count().collect()}
+    # The share is taken where the rows are: only about 2 x sample texts leave the tasks, however many tasks there are.
+    some = rows.where(F.pmod("h", F.when(F.col("hint"), every.get(True, 1)).otherwise(every.get(False, 1))) == 0).collect()
+    texts = [r["text"] for r in sorted(some, key=lambda r: (not r["hint"], r["h"], r["text"]))]
     return Tagger().fit(*training(texts))
 
 
