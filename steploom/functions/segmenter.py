@@ -59,7 +59,11 @@ def ranges(text: str) -> list[tuple[int, int]]:
 
     def starts(a: int, b: int) -> list[int]:
         after = {m.end() for m in STOP.finditer(text, a, b) if not shields.cover(m.start()) and m.end() < b}
-        after |= {i + 1 for i in range(a, b - 1) if text[i] == "\n" and not shields.cover(i)}
+        i = text.find("\n", a, b - 1)
+        while i >= 0:
+            if not shields.cover(i):
+                after.add(i + 1)
+            i = text.find("\n", i + 1, b - 1)
         return sorted(after)
 
     pieces, at = [], 0
