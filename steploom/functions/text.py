@@ -149,3 +149,70 @@ def fingerprint(*parts: Column, digits: int = 16) -> Column:
     """The first hex digits of the SHA-256 of the parts joined by U+001F; NULL counts as empty."""
     joined = F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
     return F.substring(F.sha2(joined, 256), 1, digits)
+
+
+def option_by_text(text: Column, options: dict[str, str]) -> Column:
+    """The single letter on the last line that holds one; else the option with the longest text found in the last three lines, punctuation aside."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9.]", "")
+    lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: x != "")
+    tail = bare(F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), 3), " "))
+    by_size = sorted(options.items(), key=lambda kv: -len(kv[1]))
+    spelled = F.coalesce(*[F.when((bare(F.lit(v)) != "") & F.contains(tail, bare(F.lit(v))), k) for k, v in by_size])
+    return F.coalesce(option(text, list(options)), spelled)
+
+
+def first_errors(errors: Column, most: int = 4) -> Column:
+    """errors: array of (loc, msg). The first few as 'loc: msg', and how many more there are."""
+    shown = F.array_join(F.transform(F.slice(errors, 1, most), lambda e: F.concat_ws(": ", e["loc"], e["msg"])), "; ")
+    return F.concat(shown, F.when(F.size(errors) > most, F.format_string(" (and %d more)", F.size(errors) - most)).otherwise(""))
+
+
+def patched(c: Column, old: Column, new: Column) -> Column:
+    """With the first occurrence replaced; NULL where there is none, so that a caller can abort."""
+    at = F.instr(c, old)
+    return F.when(at > 0, F.concat(F.substr(c, F.lit(1), at - 1), new, F.substr(c, at + F.length(old))))
+
+
+def numbered(lines: Column, most: int = 400) -> Column:
+    """Each on one line, cut at `most` characters, numbered from 0."""
+    flat = lambda x: F.replace(x, F.lit("\n"), F.lit(" "))
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(" …"))).otherwise(x)
+    return F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(". "), cut(flat(x))))
+
+
+def fenced_commands(c: Column) -> Column:
+    """Lines within ``` fences, without comments and blanks: an ordered fold that carries whether a fence is open."""
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        body = strip(F.substring_index(line, "#", 1))
+        keep = acc["open"] & ~line.startswith("```") & (body != "")
+        return F.struct((acc["open"] != line.startswith("```")).alias("open"), F.when(keep, F.concat(acc["out"], F.array(body))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.split(c, r"\r\n|\r|\n"), start, step, lambda a: a["out"])
+
+
+def multiple_choice(prompt: Column, options: Column) -> Column:
+    """The prompt, then 'K) text' for each option in order of its key."""
+    lines = F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(") "), e["value"]))
+    return F.concat_ws("\n", prompt, F.array_join(lines, "\n"))
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def literal_option(c: Column, options: dict[str, str]) -> Column:
+    """The label of an accepted answer: its key or its spelled label, any case; else NULL."""
+    table = F.create_map(*[F.lit(x) for k, v in options.items() for x in (k.lower(), v)] + [F.lit(x) for k, v in options.items() if v.lower() != k.lower() for x in (v.lower(), v)])
+    return F.try_element_at(table, F.lower(strip(c)))
+
+
+def tool_contract(description: Column, table: Column) -> Column:
+    """A tool's description with the keys it knows, in order."""
+    return F.concat(description, F.lit(" Known keys: "), F.array_join(F.array_sort(F.map_keys(table)), ", "), F.lit("."))
+
+
+def hex_clock(ms: Column) -> Column:
+    return F.concat(F.lit("run-"), F.lower(F.hex(ms)))

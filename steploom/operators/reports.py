@@ -7,6 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.stats import falsy_to_null, ratio
 from .judging import BEHAVIOURS
 
+#: The lines a report can carry.
+LINES = {
+    "tool": "Only the tool-using agent could ground this — the others guessed fluently.",
+    "earned": "Thinking earned its tokens here: +%.0f pp accuracy for %s× the output cost.",
+    "spent": "Extended thinking spent %s× the output tokens of Direct for the same answer.",
+    "flagged": "%d step(s) flagged; %d confirmed by the escalated judge.",
+}
+
 
 def profile(df: DataFrame, keys: list[str], label: str, classes: list[str] = tuple(BEHAVIOURS)) -> DataFrame:
     """keys and a map of shares, zeros explicit; NULL for groups without a label."""
@@ -26,13 +34,14 @@ def scoreboard(wide: DataFrame, think: str, direct: str, think_ok: str, direct_o
     return wide.withColumn("cost_of_thought", ratio(falsy_to_null(F.col(think)), falsy_to_null(F.col(direct)))).withColumn("accuracy_delta_pp", 100.0 * (F.col(think_ok).cast("int") - F.col(direct_ok).cast("int")))
 
 
-def verdict_line(direct_ok: Column, think_ok: Column, react_ok: Column, cost: Column, flagged: Column) -> Column:
-    """The first that holds: tools made the difference; thinking did; the same answer at three times the cost; something is flagged; else NULL."""
+def verdict_line(direct_ok: Column, think_ok: Column, react_ok: Column, tool_required: Column, ratio: Column, delta: Column, flagged: Column, confirmed: Column) -> Column:
+    """The first that holds: tools made the difference; thinking did; the same answer at three times the tokens; steps are flagged; else NULL."""
+    others_failed = (direct_ok.isNotNull() | think_ok.isNotNull()) & ~F.coalesce(direct_ok, F.lit(False)) & ~F.coalesce(think_ok, F.lit(False))
     return (
-        F.when(react_ok & ~direct_ok & ~think_ok, "Only the tool-grounded arm got it right.")
-        .when(think_ok & ~direct_ok, "Thinking earned its cost.")
-        .when((think_ok == direct_ok) & (cost >= 3), F.format_string("Same answer at %.1f times the tokens.", cost))
-        .when(flagged > 0, F.format_string("%d steps are flagged.", flagged))
+        F.when(tool_required & react_ok & others_failed, LINES["tool"])
+        .when(think_ok & ~direct_ok & delta.isNotNull() & (ratio != 0), F.format_string(LINES["earned"], delta, ratio.cast("string")))
+        .when(direct_ok.eqNullSafe(think_ok) & (ratio >= 3), F.format_string(LINES["spent"], ratio.cast("string")))
+        .when(flagged > 0, F.format_string(LINES["flagged"], flagged, confirmed))
     )
 
 

@@ -120,9 +120,9 @@ def agg29_tag_index(t):
     return t.documents.groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("""SELECT role AS tag, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT DISTINCT role, conv_id FROM conversations WHERE conv_id < 50) GROUP BY 1""")
+@query("""SELECT role AS tag, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT DISTINCT role, conv_id FROM conversations) GROUP BY 1""")
 def agg30_ids_by_tag(t):
-    return t.conversations.where("conv_id < 50").select("role", "conv_id").distinct().groupBy(F.col("role").alias("tag")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return t.conversations.select("role", "conv_id").distinct().groupBy(F.col("role").alias("tag")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("""SELECT event_type AS cue, user_id % 4 AS regime, count(*) AS n, count(*) FILTER (value > 40) AS flips, count(*) FILTER (value > 40 AND event_id % 3 <> 0) AS silent, count(*) FILTER (value > 40) / count(*)::DOUBLE AS flip_rate FROM events GROUP BY ALL""")
