@@ -31,7 +31,7 @@ def _ratio():
 
 
 @query(f"""WITH a AS ({_ARMS}), b AS (SELECT *, {RATIO} AS x FROM a) SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 AND r AND (d IS NOT NULL OR t IS NOT NULL) AND NOT coalesce(d, false) AND NOT coalesce(t, false) THEN 'Only the tool-using agent could ground this — the others guessed fluently.'
-WHEN t AND NOT d AND x <> 0 THEN 'Thinking earned its tokens here: +100 pp accuracy for ' || floor(x * 4) / 4 || '× the output cost.' WHEN d IS NOT DISTINCT FROM t AND floor(x * 4) / 4 >= 3 THEN 'Extended thinking spent ' || floor(x * 4) / 4 || '× the output tokens of Direct for the same answer.'
+WHEN t AND NOT d AND floor(x * 4) / 4 <> 0 THEN 'Thinking earned its tokens here: +100 pp accuracy for ' || floor(x * 4) / 4 || '× the output cost.' WHEN d IS NOT DISTINCT FROM t AND floor(x * 4) / 4 >= 3 THEN 'Extended thinking spent ' || floor(x * 4) / 4 || '× the output tokens of Direct for the same answer.'
 WHEN p > 0 THEN p || ' step(s) flagged; 0 confirmed by the escalated judge.' END AS line FROM b""")
 def flt23_verdict_line(t):
     x = (F.floor(_ratio() * 4) / 4).cast("double")
