@@ -25,6 +25,11 @@ def carried(new: DataFrame, prior: DataFrame, key: str, block: str) -> DataFrame
     return new.join(old, key, "left").withColumn("carried_forward", F.col(block).isNull() & F.col("prior").isNotNull()).withColumn(block, F.coalesce(block, "prior")).drop("prior")
 
 
+def frame() -> Column:
+    """An event-stream frame of a run event's seq, stage, status and detail."""
+    return F.concat(F.lit("event: progress\ndata: "), F.to_json(F.struct("seq", "stage", "status", "detail")), F.lit("\n\n"))
+
+
 def server_events(df: DataFrame) -> DataFrame:
     """Event-stream frames of run events."""
-    return df.select(F.concat(F.lit("event: progress\ndata: "), F.to_json(F.struct("seq", "stage", "status", "detail")), F.lit("\n\n")).alias("value"))
+    return df.select(frame().alias("value"))
