@@ -38,3 +38,14 @@ def eligible(status: Column, trap: Column, labelled: Column, unsound: Column) ->
     """struct(ok, reason): the first rule that fails."""
     reason = F.when(status != "ok", "status").when(trap, "trap").when(labelled == 0, "unlabelled").when(unsound > 0, "unsound")
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+
+
+def unpinned(fields: dict[str, Column]) -> Column:
+    """Names of the fields that are NULL or blank."""
+    parts = [F.when(F.coalesce(F.trim(c.cast("string")), F.lit("")) == "", F.lit(k)) for k, c in fields.items()]
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+def vintage(have: Column, want: Column, declared: Column) -> Column:
+    """clean if the bundle is the current one (NULL-safe), declared if its drift is on record, else undeclared."""
+    return F.when(have.eqNullSafe(want), "clean").when(F.coalesce(declared, F.lit(False)), "declared").otherwise("undeclared")

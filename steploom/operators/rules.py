@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.text import check, strip
+from ..functions.text import check, sole_number, strip
 from .guards import alias
 from .judging import BEHAVIOURS, VERDICTS
 
@@ -133,3 +133,14 @@ def page_faults(visible: Column, raw: Column, phrase: str, least: int, hosts: li
         F.when(F.exists(F.array(*map(F.lit, hosts)), lambda h: F.contains(F.lower(raw), h)), "host"),
     )
     return F.filter(parts, lambda x: x.isNotNull())
+
+
+def outcome(known: Column, answer: Column, checked: Column) -> Column:
+    """correct, unparsed (a number is known and the answer holds none), or wrong; no answer is unparsed only where a number is known."""
+    return F.when(yes(checked), "correct").when(sole_number(known).isNotNull() & sole_number(answer).isNull(), "unparsed").otherwise("wrong")
+
+
+def trap_outcome(known: Column, answer: Column, traps: Column, checker: Column, tolerance: Column) -> Column:
+    """correct, trap (the checker takes a trap answer for it), unparsed or other: the first that holds."""
+    fell = yes(F.exists(traps, lambda x: yes(check(x, answer, checker, tolerance))))
+    return F.when(yes(check(known, answer, checker, tolerance)), "correct").when(fell, "trap").when(sole_number(known).isNotNull() & sole_number(answer).isNull(), "unparsed").otherwise("other")
