@@ -216,3 +216,35 @@ def tool_contract(description: Column, table: Column) -> Column:
 
 def hex_clock(ms: Column) -> Column:
     return F.concat(F.lit("run-"), F.lower(F.hex(ms)))
+
+
+def step_list(lines: Column) -> Column:
+    """Steps for a prompt: '[i] text' on a line each."""
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x)), "\n")
+
+
+def rendered(template: Column, values: dict[str, Column]) -> Column:
+    """A template without its leading comment, each {{NAME}} replaced by its value; a value is never read as a template."""
+    body = strip(F.regexp_replace(template, r"(?s)^\s*<!--.*?-->\s*", ""))
+    parts = F.split(body, r"(?=\{\{[A-Z_]+\}\})|(?<=\}\})")
+    named = F.create_map(*[x for k, v in values.items() for x in (F.lit("{{" + k + "}}"), F.coalesce(v, F.lit("")))])
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(named, p), p)), "")
+
+
+def literals(c: Column) -> Column:
+    """Decimal literals in a source text, in order: numbers that should have been read from a file."""
+    return F.regexp_extract_all(c, F.lit(r"(?<![\w.])(\d+\.\d+)(?![\w.])"), F.lit(1))
+
+
+def taxonomy(block: Column, opening: str, closing: str) -> Column:
+    """array of (label, definition) between two marker lines; `- label: definition`, and indented lines go on with the definition."""
+    inside = F.regexp_extract(block, rf"(?s)\Q{opening}\E\n(.*?)\Q{closing}\E", 1)
+    joined = F.regexp_replace(inside, r"\n[ \t]+", " ")
+    entries = F.filter(F.split(joined, "\n"), lambda x: x.rlike(r"^- [a-z_]+: "))
+    return F.transform(entries, lambda x: F.struct(F.regexp_extract(x, r"^- ([a-z_]+): ", 1).alias("label"), F.regexp_extract(x, r"^- [a-z_]+: (.*)$", 1).alias("definition")))
+
+
+def table_row(*cells: Column) -> Column:
+    """A row of a Markdown table; NULL shows as a dash."""
+    shown = [F.replace(F.coalesce(c.cast("string"), F.lit("—")), F.lit("|"), F.lit("\\|")) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
