@@ -62,3 +62,54 @@ def recorded(responses: DataFrame, wanted: DataFrame) -> DataFrame:
 def merged_reports(measured: DataFrame, authored: DataFrame, key: str) -> DataFrame:
     """Measured rows, and authored ones whose key is not measured."""
     return measured.withColumn("measured", F.lit(True)).unionByName(authored.join(measured.select(key), key, "left_anti").withColumn("measured", F.lit(False)))
+
+
+def tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file_name, value: a whole JSON document a file, NULL where it is malformed or has another shape."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    return raw.select("file_name", F.try_variant_get(F.try_parse_json("value"), "$", f"struct<{schema}>").alias("value"))
+
+
+def trials(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """Trials of all files; of those with the same keys, the one of the first file by name, then of the first place in it."""
+    whole = spark.read.schema(f"trials array<struct<{schema}>>").json(path, multiLine=True).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode("trials").alias("place", "t"))
+    flat = whole.select("file_name", "place", "t.*")
+    rest = [c for c in flat.columns if c not in keys]
+    return flat.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("file_name", "place")).alias("r")).select(*keys, "r.*").drop("place")
+
+
+def named(df: DataFrame, part: str) -> DataFrame:
+    """Rows of the files whose name holds `part`."""
+    return df.where(F.contains("source_file", F.lit(part)))
+
+
+def held_out_ids(spark: SparkSession, path: str, first: int = 40) -> DataFrame:
+    """pos, step_id of a recorded draw, from place `first` on."""
+    draw = spark.read.schema("draw struct<ordered_step_ids:array<string>>").json(path, multiLine=True)
+    return draw.select(F.posexplode("draw.ordered_step_ids").alias("pos", "step_id")).where(F.col("pos") >= first)
+
+
+def replays(spark: SparkSession, path: str) -> DataFrame:
+    """Replayed cases in order of case_id."""
+    return spark.read.schema(f"case_id string, mutated_step_id string, judge_flagged_the_mutated_step boolean, judge_flagged_steps array<string>, report struct<{REPORT.replace(' string', ':string').replace(' struct', ':struct').replace(' array', ':array')}>").json(path, multiLine=True).orderBy("case_id")
+
+
+def pin(spark: SparkSession, fields: list[str], prefix: str) -> DataFrame:
+    """One row of the pin's fields from the session's settings `prefix.field`; NULL where unset."""
+    values = [spark.conf.get(f"{prefix}.{f}", None) for f in fields]
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{f} string" for f in fields))
+
+
+def latency_of(runs: DataFrame, item: str) -> DataFrame:
+    """The first finished run of an item, if there is one."""
+    return runs.where((F.col("item") == item) & (F.col("status") == "done")).orderBy("seconds").limit(1)
+
+
+def thoughts(steps: DataFrame) -> DataFrame:
+    """Thought steps with the name of their trace."""
+    return steps.where("kind = 'thought'").select(F.concat_ws(":", "item_id", "strategy").alias("trace"), "step_id", "text")
+
+
+def setting(spark: SparkSession, name: str, default: str) -> str:
+    """A path or a flag: the session's setting, else the default."""
+    return spark.conf.get(name, None) or default

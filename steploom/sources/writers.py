@@ -33,3 +33,19 @@ def frame() -> Column:
 def server_events(df: DataFrame) -> DataFrame:
     """Event-stream frames of run events."""
     return df.select(frame().alias("value"))
+
+
+def write_spans(df: DataFrame, path: str) -> None:
+    """item_id, strategy, spans (an array): a folder for each trace with one enveloped tree."""
+    df.select("item_id", "strategy", F.to_json(F.struct(F.col("spans").alias("resourceSpans"))).alias("value")).write.mode("overwrite").partitionBy("item_id", "strategy").text(path)
+
+
+def record(responses: DataFrame, path: str) -> None:
+    """Recorded responses (name, digest, payload), appended."""
+    responses.select("name", "digest", "payload").write.mode("append").json(path)
+
+
+def manifest(responses: DataFrame, analysis: list[str]) -> DataFrame:
+    """How many recorded responses are analyses (by the first part of their name) and how many generations."""
+    kind = F.when(F.split_part("name", F.lit("."), F.lit(1)).isin(analysis), "analysis").otherwise("generation")
+    return responses.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ADMITTED = "client string, at timestamp, admitted boolean"
@@ -25,22 +26,25 @@ def admitted(times: Column, limit: int, seconds: int) -> Column:
 
 
 def limited(hits: DataFrame, client: str, at: str, limit: int, seconds: int) -> DataFrame:
-    """client, t, admitted, in order of time; a client's hits are folded in a grouped Python function that keeps `limit` times."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[float] = []
-        ok = []
-        pdf = pdf.sort_values("t")
-        for t in pdf["t"]:
-            live = [x for x in live if t - x < seconds]
-            ok.append(len(live) < limit)
-            if ok[-1]:
-                live.append(t)
-        return pdf.assign(admitted=ok)
+    """client, t, admitted, in order of time. The rule is sequential, so a client's hits stay in one task, but they pass through it sorted (Spark
+    spills the sort) and a batch at a time: only `limit` times are held, however busy a client is. A hit without a time is not admitted."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, live = None, []
+        for batch in batches:
+            ok = []
+            for who, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if who != now:
+                    now, live = who, []
+                live = live if t is None else [x for x in live if t - x < seconds]
+                ok.append(t is not None and len(live) < limit)
+                if ok[-1]:
+                    live.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["client", "t", "admitted"])
 
     rows = hits.select(F.col(client).alias("client"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).select("client", (F.col("us") / 1e6).alias("t"))
     kind = rows.schema["client"].dataType.simpleString()
-    return rows.groupBy("client").applyInPandas(fold, f"client {kind}, t double, admitted boolean")
+    return rows.repartition("client").sortWithinPartitions("client", "t").mapInArrow(fold, f"client {kind}, t double, admitted boolean")
 
 
 def limited_stream(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
@@ -81,3 +85,26 @@ def states(events: DataFrame) -> DataFrame:
 def newest_runs(runs: DataFrame, order: str, most: int = 32) -> DataFrame:
     """The registry: the newest runs only."""
     return runs.orderBy(F.col(order).desc()).limit(most)
+
+
+EVENT = "run_id string, seq long, stage string, status string, detail string, at timestamp"
+
+
+def event_log(spark: SparkSession, path: str) -> DataFrame:
+    """The append-only log of run events as a stream, from its start: a late reader sees what an early one saw."""
+    return spark.readStream.schema(EVENT).json(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    events.select("run_id", "seq", "stage", "status", "detail", "at").write.mode("append").json(path)
+
+
+def tailed(log: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each (run_id, seq) once, within the watermark; state older than `late` is dropped."""
+    return log.withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
+
+
+def precheck(used: Column, limit: int = 60, per_run: int = 8, least: int = 3) -> Column:
+    """struct(calls, reason): what a run may spend, refused if that is less than it needs."""
+    calls = F.least(F.lit(per_run), F.lit(limit) - F.coalesce(used, F.lit(0)))
+    return F.struct(calls.alias("calls"), F.when(calls < least, "call budget exhausted").alias("reason"))
