@@ -288,3 +288,69 @@ def snk6_stamped(t):
     """One measured context on every report."""
     context = t.documents.groupBy("source").agg(F.count("*").alias("stamp"))
     return t.documents.select("doc_id", "source").join(context, "source", "left").select("doc_id", F.coalesce("stamp", F.lit(0)).alias("stamp"))
+
+
+@query("""SELECT conv_id, CASE WHEN bool_or(role = 'assistant' AND turn % 3 = 0) OR count(*) FILTER (role = 'assistant' AND length(text) > 0) = 0 THEN 'partial' ELSE 'full' END AS trace_quality FROM conversations GROUP BY 1""")
+def flt7_runner_quality(t):
+    """Partial where a call that was asked to think gave no reasoning, or nothing was answered."""
+    said = F.col("role") == "assistant"
+    reasoning = F.when(F.col("turn") % 3 == 0, "").otherwise("because")
+    g = t.conversations.groupBy("conv_id").agg(F.bool_or(said & (reasoning == "")).alias("silent"), F.count_if(said & (F.length("text") > 0)).alias("answers"))
+    return g.select("conv_id", F.when(F.col("silent") | (F.col("answers") == 0), "partial").otherwise("full").alias("trace_quality"))
+
+
+@query("""SELECT count(*) FILTER (event_type = 'error') AS not_replayed, count(*) AS n FROM events""")
+def flt51_not_replayed(t):
+    reason = F.when(F.col("event_type") == "error", "analysis_unavailable")
+    return t.events.agg(F.count_if(reason == "analysis_unavailable").alias("not_replayed"), F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0 ORDER BY toxic = 0, doc_id LIMIT 2""")
+def srt5_start_here(t):
+    """The two best entries: right with unsound steps before wrong ones."""
+    d = t.documents.select("doc_id").join(t.labels, "doc_id")
+    both = F.array(F.struct((F.col("toxic") == 1).alias("correct"), (F.col("toxic") + (1 - F.col("quality"))).alias("unsound")))
+    return d.withColumn("rank", rules.start_rank(both)).where("rank is not null").orderBy("rank", "doc_id").limit(2).select("doc_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN props END AS payload, event_id % 3 = 1 AS refused FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, props, false FROM events WHERE event_id % 3 = 0""")
+def src8_recorded(t):
+    """A recorded payload is used if its digest fits or none was recorded."""
+    from ..sources import readers
+
+    k = F.col("event_id")
+    have = t.events.select(k.alias("name"), F.when(k % 3 > 0, F.when(k % 3 == 2, "d").otherwise("old")).alias("digest"), F.col("props").alias("payload"))
+    return readers.recorded(have, t.events.select(k.alias("name"), F.lit("d").alias("digest"))).select(F.col("name").alias("event_id"), "payload", "refused")
+
+
+@query("""SELECT conv_id || ':' || role AS step_id, arg_max(text, turn) AS behavior, count(*) AS copies FROM conversations GROUP BY conv_id, role""")
+def src4_predictions(t):
+    """Reports of one turn each, nested as a report nests: a later report's row takes the place of an earlier one's."""
+    from ..sources import readers
+
+    step = F.struct(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("role")).alias("step_id"), F.lit("thought").alias("kind"), F.struct(F.col("text").alias("label"), F.lit(1.0).alias("confidence")).alias("behavior"), F.struct(F.lit("sound").alias("verdict"), F.lit(1.0).alias("confidence")).alias("validity"))
+    r = t.conversations.select(F.format_string("%08d.json", "turn").alias("source_file"), F.struct(F.col("conv_id").cast("string").alias("id")).alias("item"), F.array(F.struct(F.lit("react").alias("strategy"), F.array(step).alias("steps"))).alias("arms"))
+    return readers.predictions(r).select("step_id", "behavior", "copies")
+
+
+@query("""SELECT user_id AS item, min(value) AS seconds FROM events WHERE event_type = 'purchase' AND user_id = 7 GROUP BY 1""")
+def src20_latency(t):
+    from ..sources import readers
+
+    status = F.when(F.col("event_type") == "purchase", "done").otherwise("failed")
+    return readers.latency_of(t.events.select(F.col("user_id").alias("item"), F.col("value").alias("seconds"), status.alias("status")), 7).select("item", "seconds")
+
+
+@query("""SELECT c_custkey, least(8, 60 - c_custkey % 70) AS calls, CASE WHEN least(8, 60 - c_custkey % 70) < 3 THEN 'call budget exhausted' END AS reason FROM customer""")
+def stm5_precheck(t):
+    from ..streaming import runs
+
+    p = runs.precheck(F.col("c_custkey") % 70)
+    return t.customer.select("c_custkey", p.alias("p")).select("c_custkey", "p.calls", "p.reason")
+
+
+@query("""SELECT user_id, 'A professor says ' || min(event_type) || '.' || chr(10) || 'Q' || user_id AS prompt FROM events GROUP BY 1""")
+def str17_cue(t):
+    """A cue before the question, from a template."""
+    g = t.events.groupBy("user_id").agg(F.min("event_type").alias("option"))
+    return g.select("user_id", text.rendered(F.lit("A professor says {{OPTION}}.\n{{QUESTION}}"), {"OPTION": F.col("option"), "QUESTION": F.concat(F.lit("Q"), F.col("user_id").cast("string"))}).alias("prompt"))
