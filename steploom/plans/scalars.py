@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import calculator, stats, text
-from ..operators import judging, picks
+from ..operators import judging, picks, ranks
 from ..sources import writers
 from ..streaming import runs
 from .base import query
@@ -155,7 +155,7 @@ def mth3_rounding(t):
 
 @query("""SELECT user_id, list_sort(list(event_id))[greatest(1, least(count(*), ceil(0.9 * count(*))))::INT] AS p90 FROM events GROUP BY 1""")
 def mth4_nearest_rank(t):
-    return t.events.groupBy("user_id").agg(stats.nearest_rank("event_id", 0.9).cast("long").alias("p90"))
+    return ranks.nearest(t.events, ["user_id"], "event_id", {"p90": 0.9}).select("user_id", "p90")
 
 
 @query("""SELECT o_orderkey, substr(sha256('local' || chr(31) || o_orderpriority || chr(31) || o_custkey), 1, 16) AS digest, sha256(o_orderstatus || chr(31) || o_orderkey) AS cache_key, substr(sha256(chr(31) || o_orderstatus), 1, 12) AS content FROM orders""")

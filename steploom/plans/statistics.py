@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import stats, text
-from ..operators import agreement as A, joins, picks, reports
+from ..operators import agreement as A, joins, picks, ranks, reports
 from .base import query
 
 WILSON = "(({s} / {n}::DOUBLE + 1.959963984540054 * 1.959963984540054 / (2 * {n})) {sign} 1.959963984540054 * sqrt(({s} / {n}::DOUBLE) * (1 - {s} / {n}::DOUBLE) / {n} + 1.959963984540054 * 1.959963984540054 / (4.0 * {n} * {n}))) / (1 + 1.959963984540054 * 1.959963984540054 / {n})"
@@ -101,12 +101,14 @@ def agg36_histogram(t):
 @query("""WITH c AS (SELECT value, count(*) n FROM events GROUP BY 1) SELECT min(value) AS low, (SELECT median(value) FROM events) AS middle, max(value) AS high, max(value) - min(value) AS spread, count(*) AS n_distinct, max(n) / sum(n)::DOUBLE AS identical_share FROM c""")
 def agg37_summary(t):
     e = t.events.groupBy("value").agg(F.count("*").alias("n"))
-    return e.agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("value") - F.min("value")).alias("spread"), F.count("*").alias("n_distinct"), stats.ratio(F.max("n"), F.sum("n")).alias("identical_share")).crossJoin(t.events.agg(F.median("value").alias("middle")))
+    return e.agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("value") - F.min("value")).alias("spread"), F.count("*").alias("n_distinct"), stats.ratio(F.max("n"), F.sum("n")).alias("identical_share")).crossJoin(ranks.medians(t.events, [], "value", "middle"))
 
 
 @query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, min(value) AS low, max(value) AS high, avg(value) AS mean, stddev_samp(value) AS sd, count(*) FILTER (value > 50) AS over_budget FROM events GROUP BY 1""")
 def agg39_latency(t):
-    return t.events.groupBy("event_type").agg(stats.nearest_rank("value", 0.5).alias("p50"), stats.nearest_rank("value", 0.9).alias("p90"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count_if(F.col("value") > 50).alias("over_budget"))
+    e = t.events.select("event_type", "value")
+    rest = e.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count_if(F.col("value") > 50).alias("over_budget"))
+    return ranks.nearest(e, ["event_type"], "value", {"p50": 0.5, "p90": 0.9}).drop("n").join(rest, "event_type")
 
 
 @query("""SELECT 'all' AS scope, min(n) AS low, median(n) AS middle, avg(n) AS mean, max(n) AS high, count(*) FILTER (n > 5) AS n_over FROM (SELECT conv_id, count(*) n FROM conversations GROUP BY 1)""")

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from steploom.operators import agreement as A, guards, joins, judging, picks, traces
+from steploom.operators import agreement as A, guards, joins, judging, picks, ranks, traces
 from steploom.streaming import runs
 
 
@@ -88,3 +88,17 @@ def test_trace_ingest(spark):
     got = [(r.kind, r.text, r.step_id) for r in steps.orderBy("ordinal").collect()]
     assert got == [("thought", "think", "react:s1:0"), ("tool_call", 'calc({"b":1})', "react:s2:1"), ("observation", "4", "react:s2:2"), ("answer", "The answer\n4", "react:s3:3")]
     assert traces.violations(steps).isEmpty()
+
+
+def test_exact_ranks(spark):
+    """Against sorted values: ties, a group larger than the sketch is accurate for, NULLs, a NULL key, one row."""
+    many = [("big", float((i * 7919) % 50021)) for i in range(50021)] + [("ties", 5.0)] * 400 + [("ties", 1.0), ("one", 3.0), (None, 2.0), (None, 4.0), ("none", None)]
+    df = spark.createDataFrame(many, "k string, v double")
+    got = {r.k: r for r in ranks.nearest(df, ["k"], "v", {"p50": 0.5, "p90": 0.9, "top": 1.0}).collect()}
+    for k in ("big", "ties", "one", None):
+        vs = sorted(v for x, v in many if x == k)
+        assert [got[k][c] for c in ("p50", "p90", "top")] == [vs[max(1, math.ceil(p * len(vs))) - 1] for p in (0.5, 0.9, 1.0)], k
+    assert "none" not in got
+    middle = {r.k: r.m for r in ranks.medians(df, ["k"], "v", "m").collect()}
+    assert (middle["big"], middle["ties"], middle[None], middle["one"]) == (25010.0, 5.0, 3.0, 3.0)
+    assert ranks.medians(df.where("k = 'x'"), [], "v").isEmpty()
