@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import is_numeric, shortened, unfenced
+from .picks import with_totals
 
 VERDICTS = ["sound", "unsound", "unverifiable"]
 BEHAVIOURS = ["verification", "backtracking", "subgoal_setting", "backward_chaining", "linear"]
@@ -24,10 +25,11 @@ def doubtful_before(verdict: Column, confidence: Column, text: Column) -> Column
 
 def selected(rows: DataFrame, trace: list[str], chosen: Column, order: str, cap: int = 8) -> DataFrame:
     """The most doubtful steps of each trace, with n_selected, capped, and rate (of the trace's steps)."""
-    w = W.partitionBy(*trace)
-    out = rows.withColumn("chosen", chosen).withColumn("n_steps", F.count("*").over(w)).withColumn("n_selected", F.count_if(F.expr("chosen")).over(w)).where("chosen")
-    rank = F.row_number().over(w.orderBy((F.col("verdict") == "sound").cast("int"), "validity_confidence", order))
-    return out.withColumn("rank", rank).where(F.col("rank") <= cap).withColumn("capped", F.col("n_selected") > cap).withColumn("rate", F.try_divide("n_selected", "n_steps"))
+    marked = rows.withColumn("chosen", chosen)
+    order_by = [(F.col("verdict") == "sound").cast("int"), "validity_confidence", order]
+    top = marked.where("chosen").withColumn("rank", F.row_number().over(W.partitionBy(*trace).orderBy(*order_by))).where(F.col("rank") <= cap)
+    n = marked.groupBy(*trace).agg(F.count("*").alias("n_steps"), F.count_if(F.col("chosen")).alias("n_selected"))
+    return with_totals(top, n, trace).withColumn("capped", F.col("n_selected") > cap).withColumn("rate", F.try_divide("n_selected", "n_steps"))
 
 
 def consistency(verdict: Column, known_citations: Column) -> Column:

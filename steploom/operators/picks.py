@@ -39,10 +39,19 @@ def context(df: DataFrame, keys: list[str], order: list[str], text: str) -> Data
     return df.withColumn("preceding", F.collect_list(text).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
 
 
+def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of totals (a row a key); NULL keys meet."""
+    other = totals.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in totals.columns if c not in keys])
+    return df.join(other, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def capped(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
-    """The first `most` rows of each key, with n (all of them) and whether the cap took any."""
-    w = W.partitionBy(*keys)
-    return df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w)).where(F.col("rank") <= most).withColumn("capped", F.col("n") > most)
+    """The first `most` rows of each key, with n (all of them) and whether the cap took any.
+
+    Ranks alone are a limit of each group, which Spark applies before the shuffle as well; counts are summed apart. A busy key is never in one task.
+    """
+    top = df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
+    return with_totals(top, df.groupBy(*keys).agg(F.count("*").alias("n")), keys).withColumn("capped", F.col("n") > most)
 
 
 def two_first(df: DataFrame, keys: list[str], who: str, value: str) -> DataFrame:

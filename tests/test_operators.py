@@ -102,3 +102,14 @@ def test_exact_ranks(spark):
     middle = {r.k: r.m for r in ranks.medians(df, ["k"], "v", "m").collect()}
     assert (middle["big"], middle["ties"], middle[None], middle["one"]) == (25010.0, 5.0, 3.0, 3.0)
     assert ranks.medians(df.where("k = 'x'"), [], "v").isEmpty()
+
+
+def test_capped_and_selected(spark):
+    rows = [("a", i, "unsound" if i % 2 else "sound", i / 20) for i in range(20)] + [(None, 99, "unsound", None)]
+    df = spark.createDataFrame(rows, "t string, i int, verdict string, validity_confidence double")
+    got = sorted(((r.t or "", r.i, r.n, r.capped) for r in picks.capped(df, ["t"], ["i"], 2).collect()))
+    assert got == [("", 99, 1, False), ("a", 0, 20, True), ("a", 1, 20, True)]
+    s = judging.selected(df, ["t"], judging.doubtful(F.col("verdict"), F.col("validity_confidence"), F.lit("")), "i", cap=3).collect()
+    assert sorted((r.t or "", r.i, r.n_steps, r.n_selected, r.capped) for r in s) == [("", 99, 1, 1, False), ("a", 1, 20, 17, True), ("a", 3, 20, 17, True), ("a", 5, 20, 17, True)]
+    plan = picks.capped(df, ["t"], ["i"], 2)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
