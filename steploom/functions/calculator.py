@@ -51,4 +51,5 @@ def evaluate(text: str | None) -> tuple[str | None, str | None]:
 
 @F.pandas_udf(T.StructType([T.StructField("result", T.StringType()), T.StructField("error", T.StringType())]))
 def calculated(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([evaluate(t) for t in texts], columns=["result", "error"])
+    known = {t: evaluate(t) for t in texts.unique()}  # of one batch
+    return pd.DataFrame([known[t] for t in texts], columns=["result", "error"])
