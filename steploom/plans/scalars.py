@@ -17,7 +17,7 @@ c = F.col
 
 @query("""SELECT conv_id, turn, regexp_matches(' ' || lower(trim(text)) || ' ', ' not | no |n''t | neither | cannot | none ') AS negated FROM conversations WHERE NOT regexp_matches(text, '[.!;:]\\s*$')""")
 def str4_negated(t):
-    return t.conversations.where("not text rlike '[.!;:]\\\\s*$'").select("conv_id", "turn", text.negated(c("text")).alias("negated"))
+    return t.conversations.select("conv_id", "turn", text.negated(c("text")).alias("negated"))
 
 
 @query("""SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS parts FROM events GROUP BY 1""")
