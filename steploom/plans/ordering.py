@@ -120,7 +120,8 @@ def srt3_diverse(t):
 
 @query("""SELECT c_custkey FROM customer ORDER BY (c_acctbal NOT BETWEEN 0 AND 5000)::INT, abs(c_acctbal - 2500), c_custkey LIMIT 25""")
 def srt2_ranking(t):
-    return t.customer.orderBy((~F.col("c_acctbal").between(0, 5000)).cast("int"), F.abs(F.col("c_acctbal") - 2500), "c_custkey").limit(25).select("c_custkey")
+    keys = [(~F.col("c_acctbal").between(0, 5000)).cast("int").alias("outside"), F.abs(F.col("c_acctbal") - 2500).alias("distance")]
+    return t.customer.select("c_custkey", *keys).orderBy("outside", "distance", "c_custkey")
 
 
 @query("""SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1""")

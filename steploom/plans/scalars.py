@@ -211,7 +211,7 @@ def udf1_tool_dispatch(t):
 @query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY list_position(['5-LOW', '1-URGENT', '2-HIGH'], o_orderpriority) NULLS LAST, o_orderkey LIMIT 50""")
 def srt1_arm_order(t):
     place = F.nullif(F.array_position(F.array(*map(F.lit, ["5-LOW", "1-URGENT", "2-HIGH"])), c("o_orderpriority")), F.lit(0))
-    return t.orders.select("o_orderkey", "o_orderpriority").orderBy(place.asc_nulls_last(), "o_orderkey").limit(50)
+    return t.orders.select("o_orderkey", "o_orderpriority").orderBy(place.asc_nulls_last(), "o_orderkey")
 
 
 @query("""SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) ORDER BY CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END, quality IS NULL, n_chars DESC, doc_id LIMIT 1""")

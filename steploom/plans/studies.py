@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import stats, text
-from ..operators import audits, reports, rules
+from ..operators import audits, picks, reports, rules
 from . import texts  # noqa: F401  registers str14_visible, whose SQL is reused
 from .base import SQL, query
 from .statistics import wilson
@@ -304,8 +304,9 @@ def srt8_heaviest(t):
 
 @query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5('7:' || doc_id), doc_id LIMIT 20""")
 def srt10_label_queue(t):
-    left = t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
-    return left.orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(20)
+    """The draw of 90 (as srt6_sample) less what is labelled, in its order."""
+    draw = picks.sample(t.documents.select("doc_id"), 90, 7, "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"))
+    return draw.join(t.labels.select("doc_id"), "doc_id", "left_anti").orderBy("pos")
 
 
 @query("""SELECT conv_id, array_to_string(list_transform(e[1:4], lambda x: x), '; ') || CASE WHEN len(e) > 4 THEN ' (and ' || (len(e) - 4) || ' more)' ELSE '' END AS message FROM (SELECT conv_id, list(turn || ': ' || role ORDER BY turn) AS e FROM conversations GROUP BY 1)""")

@@ -29,3 +29,25 @@ def test_negated_keeps_every_row(spark, tmp_path):
     got = rows(queries()["str4_negated"](spark, str(tmp_path)))
     assert [r[2] for r in sorted(got)] == [True, True, True, False, True, True, True, False, None]
     assert sorted(got) == sorted(sql(NEGATED, tmp_path))
+
+
+ORDERS = {
+    "srt1_arm_order": "SELECT o_orderkey, o_orderpriority FROM {orders} ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 END NULLS LAST, o_orderkey",
+    "srt2_ranking": "SELECT c_custkey, (c_acctbal NOT BETWEEN 0 AND 5000)::INT AS outside, abs(c_acctbal - 2500) AS distance FROM {customer} ORDER BY 2, 3, 1",
+    "srt10_label_queue": "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS pos FROM {documents} QUALIFY pos < 90) SELECT doc_id, pos FROM d WHERE doc_id NOT IN (SELECT doc_id FROM {labels}) ORDER BY pos",
+}
+
+
+@pytest.mark.parametrize("name", ORDERS)
+def test_orders_have_no_cap(spark, name):
+    got = rows(queries()[name](spark, DIR))
+    assert len(got) > 50 or name == "srt10_label_queue"
+    assert got == sql(ORDERS[name])
+    if name == "srt1_arm_order":
+        assert {p for _, p in got} > {"5-LOW", "1-URGENT", "2-HIGH"}
+
+
+def test_label_queue_is_the_draw_less_the_labelled(spark):
+    queue, draw = rows(queries()["srt10_label_queue"](spark, DIR)), rows(queries()["srt6_sample"](spark, DIR))
+    labelled = {r[0] for r in sql("SELECT doc_id FROM {labels}")}
+    assert queue == sorted(((d, p) for d, p in draw if d not in labelled), key=lambda r: r[1])
