@@ -271,6 +271,14 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that have the least doc_id of their class."""
-    kept = linked(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each class, with all its columns: that of the least doc_id, null last.
+
+    Rows count one by one: repeated rows and null doc_ids are copies as any others. Between rows of one doc_id a hash of all columns decides, then
+    the row's place.
+    """
+    # Written once, so that a row has one key in both reads.
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    classes = linked(keyed.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
+    kept = keyed.select("_row", order.alias("order")).join(classes, "_row").groupBy("class_id").agg(F.min("order")["_row"].alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").drop("_row")
