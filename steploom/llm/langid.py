@@ -117,14 +117,19 @@ def mixtures(log_like: np.ndarray, words: np.ndarray) -> np.ndarray:
     order = np.argsort(-full, axis=1, kind="stable")
     kept = score[open_]
     for k in range(2, langs + 1):
+        # The same bound for k languages, of each document alone: what it rules out at k it rules out at any greater k.
+        going = base[open_] - (k - 1) * cost[open_] > kept
+        if not going.all():
+            some, open_, full, order, n, kept = some[np.repeat(going, n)], open_[going], full[going], order[going], n[going], kept[going]
+            if not len(open_):
+                break
+            at2, of2 = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), np.repeat(np.arange(len(n)), n)
         allowed = np.zeros_like(full)
         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
         start = allowed * (full + 1e-6)
         pi = proportions(some, at2, of2, start / start.sum(axis=1, keepdims=True))
         gain = base[open_] + np.add.reduceat(np.log((some * pi[of2]).sum(axis=1)), at2) - (k - 1) * cost[open_]
         better = gain > kept
-        if not better.any():
-            break
         out[open_[better]] = pi[better]
         kept = np.maximum(kept, gain)
     return out

@@ -1,6 +1,8 @@
 """Results that depend on a row alone, and rows that share an id or have none."""
 
-from steploom.llm import jaccard
+import numpy as np
+
+from steploom.llm import jaccard, langid
 
 
 def test_one_row_of_each_class(spark):
@@ -10,3 +12,18 @@ def test_one_row_of_each_class(spark):
     got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert got.columns == ["doc_id", "text"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, a), (None, b), (3, c), (9, d)]))
+
+
+def test_language_sets_do_not_depend_on_neighbours():
+    """The first text gains by three languages and not by two; the second gains by two."""
+    three = np.full((30, 4), -60.0)
+    three[:, 3] = -5
+    three[np.arange(30), np.arange(30) % 3] = 0
+    two = np.full((30, 4), -60.0)
+    two[np.arange(30), np.arange(30) % 2] = 0
+    one = np.full((30, 4), -60.0)
+    one[:, 0] = 0
+    every = [three, two, one]
+    alone = np.concatenate([langid.mixtures(x, np.array([30])) for x in every])
+    assert np.array_equal(alone, langid.mixtures(np.concatenate(every), np.array([30] * 3)))
+    assert [int((x > 0.01).sum()) for x in alone] == [3, 2, 1]
