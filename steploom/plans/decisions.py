@@ -8,6 +8,7 @@ from ..functions import stats, text
 from ..operators import agreement as A, guards, joins, judging, picks, reports, rules
 from ..sources import writers
 from .base import query
+from .studies import steps
 from .statistics import wilson
 
 LOW, HIGH = wilson("s", "n")
@@ -152,7 +153,7 @@ def jon6_with_bank(t):
 @query("""SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'unsound' WHEN toxic = 0 THEN 'sound' END AS human FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 3 = 0""")
 def jon9_flags_with_humans(t):
     human = t.labels.select("doc_id", F.when(F.col("toxic") == 1, "unsound").when(F.col("toxic") == 0, "sound").alias("human"))
-    return t.documents.where("doc_id % 3 = 0").select("doc_id").join(human, "doc_id", "left")
+    return steps(t).where("v in ('unsound', 'unverifiable')").select("doc_id").join(human, "doc_id", "left")
 
 
 def _again(t):

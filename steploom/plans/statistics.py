@@ -74,8 +74,12 @@ _TYPES = ["click", "view", "purchase", "signup", "error"]
 @query("""SELECT user_id, event_type, n / sum(n) OVER (PARTITION BY user_id)::DOUBLE AS share FROM (SELECT u.user_id, k.event_type, coalesce(c.n, 0) n FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) k
 LEFT JOIN (SELECT user_id, event_type, count(*) n FROM events GROUP BY ALL) c ON c.user_id = u.user_id AND c.event_type = k.event_type)""")
 def agg2_profile(t):
-    kinds = [r[0] for r in t.events.select("event_type").distinct().orderBy(1).limit(1000).collect()]  # a closed vocabulary
-    return reports.profile(t.events, ["user_id"], "event_type", kinds).select("user_id", F.explode("profile").alias("event_type", "share"))
+    n = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    total = n.groupBy("user_id").agg(F.sum(F.when(F.col("event_type").isNotNull(), F.col("n"))).alias("total"))
+    every = total.crossJoin(t.events.select("event_type").distinct())
+    own = n.select(F.col("user_id").alias("u"), F.col("event_type").alias("k"), "n")
+    share = stats.ratio(F.coalesce("n", F.lit(0)), F.col("total"))
+    return every.join(own, F.col("user_id").eqNullSafe(F.col("u")) & (F.col("event_type") == F.col("k")), "left").select("user_id", "event_type", share.alias("share"))
 
 
 @query("""SELECT user_id, count(*) FILTER (v = 'sound') / count(*)::DOUBLE AS soundness_score, count(*) FILTER (v <> 'sound') AS flagged FROM (SELECT user_id, CASE WHEN value >= 20 THEN 'sound' WHEN value >= 5 THEN 'unsound' ELSE 'unverifiable' END v FROM events) GROUP BY 1""")

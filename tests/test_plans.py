@@ -51,3 +51,15 @@ def test_label_queue_is_the_draw_less_the_labelled(spark):
     queue, draw = rows(queries()["srt10_label_queue"](spark, DIR)), rows(queries()["srt6_sample"](spark, DIR))
     labelled = {r[0] for r in sql("SELECT doc_id FROM {labels}")}
     assert queue == sorted(((d, p) for d, p in draw if d not in labelled), key=lambda r: r[1])
+
+
+def test_every_flag_is_joined(spark):
+    got = rows(queries()["jon9_flags_with_humans"](spark, DIR))
+    want = sql("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'unsound' WHEN toxic = 0 THEN 'sound' END FROM {documents} d LEFT JOIN {labels} USING (doc_id) WHERE d.doc_id % 7 <> 0 AND d.doc_id % 3 IN (0, 1)")
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {d % 3 for d, _ in got} == {0, 1}
+
+
+def test_profile_has_every_kind(spark, tmp_path):
+    spark.createDataFrame([(i % 2, f"k{i:04}") for i in range(1100)] + [(2, None), (0, "k0000")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(u, k): s for u, k, s in rows(queries()["agg2_profile"](spark, str(tmp_path)))}
+    assert len(got) == 3 * 1101 and got[0, "k0000"] == 2 / 551 and got[1, "k1099"] == 1 / 550 and got[0, "k1099"] == 0
