@@ -23,8 +23,8 @@ def str4_negated(t):
 @query("""SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS parts FROM events GROUP BY 1""")
 def str5_answer_set(t):
     """Lists joined by commas, capitals, repeats and 'and', as sets."""
-    said = F.concat(F.array_join(F.transform(F.collect_list("event_type"), lambda x, i: F.when(i % 2 == 0, F.upper(x)).otherwise(x)), ", "), F.lit(" and "), F.first("event_type"))
-    return t.events.groupBy("user_id").agg(said.alias("said")).select("user_id", F.array_join(text.answer_set(c("said")), "|").alias("parts"))
+    said = F.concat(F.array_join(F.transform(F.collect_list("event_type"), lambda x, i: F.when(i % 2 == 0, F.upper(x)).otherwise(x)), ", "), F.lit(" and "), F.first("event_type", ignorenulls=True))
+    return t.events.select("user_id", "event_type").distinct().groupBy("user_id").agg(said.alias("said")).select("user_id", F.array_join(text.answer_set(c("said")), "|").alias("parts"))
 
 
 @query("""SELECT event_id, props AS payload FROM events""")

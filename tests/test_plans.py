@@ -63,3 +63,15 @@ def test_profile_has_every_kind(spark, tmp_path):
     spark.createDataFrame([(i % 2, f"k{i:04}") for i in range(1100)] + [(2, None), (0, "k0000")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(u, k): s for u, k, s in rows(queries()["agg2_profile"](spark, str(tmp_path)))}
     assert len(got) == 3 * 1101 and got[0, "k0000"] == 2 / 551 and got[1, "k1099"] == 1 / 550 and got[0, "k1099"] == 0
+
+
+def test_answer_set_is_made_of_distinct_parts(spark):
+    df = queries()["str5_answer_set"](spark, DIR)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2  # no list of all events of a user
+    assert sorted(rows(df)) == sorted(sql("SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) FROM {events} GROUP BY 1"))
+
+
+def test_profile_equals_its_sql(spark):
+    got = rows(queries()["agg2_profile"](spark, DIR))
+    want = sql("WITH u AS (SELECT user_id, count(event_type) AS n FROM {events} GROUP BY 1), k AS (SELECT DISTINCT event_type FROM {events}) SELECT user_id, k.event_type, (SELECT count(*) FROM {events} e WHERE e.user_id = u.user_id AND e.event_type = k.event_type) / n FROM u, k")
+    assert sorted(got) == sorted(want)
