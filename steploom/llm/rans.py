@@ -16,11 +16,13 @@ first, ties by text; a document longer than SEGMENT has a segment of its own wit
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,96 +143,134 @@ def decode_segment(table: bytes, stream: bytes, sizes, offsets, sums, blocks=Non
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-class Chunks:
-    """Ids of a text by the public library, asked once for each chunk between blanks, of which none shares a token with another."""
+#: The normaliser and the splitter for which texts are cut into words here. A file with others is read text by text.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+END = "</w>"
 
-    most = 500_000
+#: Lower-case letters of ASCII and Latin-1.
+_LETTERS = "a-zß-öø-ÿ"
+#: What SPLIT finds in lower-case text of plain characters.
+WORD = re.compile(rf"[{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^{_LETTERS}0-9\t-\r ]+")
+#: Characters whose normal form, case and class are not plain, and what may open an added token.
+NOT_PLAIN = re.compile(r"[^\t-\r -~¡§«°·»¿À-ÖØ-öø-ÿ–—‘-„…]|<\|")
+BLANKS = re.compile(r"[\t-\r ]+")
+
+
+class Words:
+    """Ids of texts by the public library, asked once for each new word of a slice of texts.
+
+    In plain text (ASCII, Latin-1 letters, common marks) words are what the file's splitter finds after lower-casing. Other text
+    is cut at blanks, across which no token reaches, and each part that is not plain goes to the library as it is.
+    A word stays in the table from the second slice in which it occurs, so one-off words do not fill it; a full table
+    becomes the older of two generations, out of which words still in use are taken over.
+    """
+
+    most, longest, marks = 250_000, 64, 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.at: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
-
-    def _add(self, chunks: list[str], at: dict[str, int]) -> None:
-        got = [e.ids for e in self.lib.encode_batch(chunks, add_special_tokens=False)]
-        n = self.used + len(got)
-        if n + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(got) + 1), np.int64)])
-        ends = np.cumsum([len(x) for x in got]) + int(self.ends[self.used])
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.int32)
-        if len(got) and ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
-        self.flat[int(self.ends[self.used]) : int(self.ends[self.used]) + len(flat)] = flat
-        self.ends[self.used + 1 : n + 1] = ends
-        at.update(zip(chunks, range(self.used, n)))
-        self.used = n
-
-    used = 0
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in turn, and how many each has."""
-        chunks = [[c for c in t.replace("\n", " ").split(" ") if c] for t in texts]
-        at, base = self.at, len(self.at)
-        new = list({c for cs in chunks for c in cs if c not in at})
-        own: dict[str, int] = {}
-        self.used = base
-        keep = max(0, self.most - base)
-        for k in range(0, len(new), 4096):
-            self._add(new[k : k + 4096], at if k + 4096 <= keep else own)
-        if own:
-            find = lambda c: at[c] if c in at else own[c]
-        else:
-            find = at.__getitem__
-        n = [len(cs) for cs in chunks]
-        i = np.fromiter(map(find, itertools.chain.from_iterable(chunks)), np.int64, sum(n))
-        first, size = self.ends[i], self.ends[i + 1] - self.ends[i]
-        stop = np.cumsum(size)
-        where = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(first - stop + size, size)
-        per = np.add.reduceat(np.append(size, 0), np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)) if n else np.zeros(0, np.int64)
-        return self.flat[where], np.where(np.array(n) > 0, per, 0)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known = spec["normalizer"] == NORMAL and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and spec["model"]["end_of_word_suffix"] == END and all("<|" in t["content"] for t in spec["added_tokens"])
+        # The same model over words that are already normal and split.
+        self.bare = Tokenizer(self.lib.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.lib.get_vocab().items() if t.endswith(END)]] = True
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.seen = bytearray(self.marks)
+
+    def words(self, text: str) -> list[str]:
+        if not NOT_PLAIN.search(text):
+            return WORD.findall(text.lower())
+        out = []
+        for part in BLANKS.split(text):
+            if part:
+                out += [part] if NOT_PLAIN.search(part) else WORD.findall(part.lower())
+        return out
+
+    def _ask(self, words: list[str]) -> None:
+        """Looks up new words. A word's last token, and no other, has the mark of a word's end."""
+        plain = [w for w in words if not NOT_PLAIN.search(w)]
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):
+                raise ValueError("words and their ends differ")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, (4 * cuts).tolist()):
+                self.now[w] = raw[at:end]
+                at = end
+        if len(plain) < len(words):
+            odd = [w for w in words if NOT_PLAIN.search(w)]
+            for k in range(0, len(odd), 4096):
+                some = odd[k : k + 4096]
+                self.now.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        if not self.known:
+            return [np.array(e.ids, "<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        split = [self.words(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.now)
+        kept = new.intersection(self.before)
+        self.now.update((w, self.before[w]) for w in kept)
+        new -= kept
+        self._ask(list(new))
+        out = [b"".join(map(self.now.__getitem__, ws)) for ws in split]
+        for w in new:
+            mark = hash(w) & (self.marks - 1)
+            if len(w) > self.longest or not self.seen[mark]:
+                del self.now[w]
+            self.seen[mark] = 1
+        if len(self.now) > self.most:
+            self.now, self.before, self.seen = {}, self.now, bytearray(self.marks)
+        return out
 
 
 @lru_cache(2)
-def chunks(path: str) -> Chunks:
-    return Chunks(path)
+def words(path: str) -> Words:
+    return Words(path)
 
 
 SEGMENTS = pa.schema([
-    ("file", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("table", pa.binary()), ("stream", pa.binary()),
+    ("file", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("table", pa.binary()), ("stream", pa.binary()),
     ("sizes", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("sums", pa.list_(pa.int64())),
 ])
-SEGMENTS_DDL = "file int, segment int, n_tokens long, doc_ids array<long>, lengths array<long>, table binary, stream binary, sizes array<int>, offsets array<long>, sums array<long>"
+SEGMENTS_DDL = "file int, segment int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, table binary, stream binary, sizes array<int>, offsets array<long>, sums array<long>"
 
 
 def segments(docs: DataFrame, path: str, end_id: int, segment: int = SEGMENT) -> DataFrame:
     """The rows of the file format, of the ids of every whole text with end_id behind it, in ascending doc_id order."""
 
     def run(batches):
-        file, k = TaskContext.get().partitionId(), 0
+        file, k, before = TaskContext.get().partitionId(), 0, 0
         ids, sizes, names, total = [], [], [], 0
+        end = np.array([end_id], np.int32).tobytes()
 
         def row():
-            whole = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            e = encode_segment(whole.astype(np.int64))
-            return record_batch(SEGMENTS, [file], [k], [len(whole)], [names], [sizes], [e["table"]], [e["stream"]], [e["sizes"]], [e["offsets"]], [e["sums"]])
+            e = encode_segment(np.frombuffer(b"".join(ids), np.int32).astype(np.int64))
+            return record_batch(SEGMENTS, [file], [k], [before], [total], [names], [sizes], [e["table"]], [e["stream"]], [e["sizes"]], [e["offsets"]], [e["sums"]])
 
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                flat, per = chunks(path)([t or "" for t in column(part, "text")])
-                cuts = np.cumsum(per)
-                for doc, some in zip(column(part, "doc_id"), np.split(flat, cuts[:-1])):
-                    ids += [some, np.array([end_id], np.int32)]
-                    sizes.append(len(some) + 1)
+                for doc, raw in zip(column(part, "doc_id"), words(path)([t or "" for t in column(part, "text")])):
+                    ids += [raw, end]
+                    sizes.append(len(raw) // 4 + 1)
                     names.append(doc)
-                    total += len(some) + 1
+                    total += sizes[-1]
                     if total >= segment:
                         yield row()
-                        ids, sizes, names, total, k = [], [], [], 0, k + 1
+                        ids, sizes, names, total, k, before = [], [], [], 0, k + 1, before + total
         if names:
             yield row()
 
@@ -239,19 +279,16 @@ def segments(docs: DataFrame, path: str, end_id: int, segment: int = SEGMENT) ->
     return ordered.mapInArrow(run, SEGMENTS_DDL)
 
 
-READ = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the segments."""
-    # A row for each file, as many as the writer had partitions; the segments of one file are few, those of all are never in one place.
-    per_file = files.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()
+    # A row for each file, as many as the writer had partitions; a segment's row says how many ids of its file lie before it.
     first, at = {}, 0
-    for r in sorted(per_file, key=lambda r: r["file"]):
+    for r in sorted(files.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["file"]):
         first[r["file"]] = at
         at += r["n"]
-    sizes = files.groupBy("file").agg(F.collect_list(F.struct("segment", "n_tokens")).alias("all"))
-    before = F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + F.when(s["segment"] < F.col("segment"), s["n_tokens"]).otherwise(0))
 
     def run(batches):
         for batch in batches:
@@ -262,12 +299,9 @@ def read_documents(files: DataFrame) -> DataFrame:
                 begins = ends - np.array(r["lengths"], np.int64)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                n = len(ends)
-                yield record_batch(READ, [r["file"]] * n, [r["segment"]] * n, r["doc_ids"], begins + first[r["file"]], r["lengths"], sums)
+                yield record_batch(READ, r["doc_ids"], begins + (first[r["file"]] + r["before"]), r["lengths"], sums)
 
-    got = files.mapInArrow(run, "file int, segment int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    within = sizes.select("file", F.explode(F.col("all.segment")).alias("segment"), "all").select("file", "segment", before.alias("before"))
-    return got.join(within, ["file", "segment"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored_ids(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
