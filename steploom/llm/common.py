@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,31 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+class WordPairs(dict):
+    """Word (bytes) -> 16 bytes, two hashes of 64 bits."""
+
+    most = 200_000
+
+    def __missing__(self, word: bytes) -> bytes:
+        h = xxhash.xxh3_128_digest(word)
+        if len(self) < self.most:
+            self[word] = h
+        return h
+
+
+_PAIRS = WordPairs()
+
+
+def word_pairs(texts: list[list[bytes]]) -> np.ndarray:
+    """Two hashes of each word of all texts in turn."""
+    return np.frombuffer(b"".join(map(_PAIRS.__getitem__, chain.from_iterable(texts))), np.uint64).reshape(-1, 2)
+
+
+def integers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of 64-bit integers without nulls."""
+    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
@@ -107,7 +132,3 @@ def rolled(h: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         out = out * np.uint64(seed | 1) + h[i : i + n]
         out ^= out >> np.uint64(29)
     return mixed(out)
-
-
-def local_path(path: str) -> str:
-    return os.path.abspath(path)

@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, mixed, record_batch, rolled, shuffle_partitions, slices, stored, word_hashes
+from .common import column, integers, mixed, record_batch, rolled, shuffle_partitions, slices, stored, word_hashes
 from .rlz import LAST, repeated_keys
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -223,12 +223,13 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = stored(signed(docs), "signed")
     nodes = stored(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("m"), F.first("sig").alias("sig")), "nodes")
 
-    def keys_of(r):
-        keys = np.unique(band_keys(np.frombuffer(r["sig"], np.uint16)[None])[0])
-        return keys, np.zeros(len(keys), np.uint64)
+    def keys_of(part):
+        keys = band_keys(np.frombuffer(b"".join(column(part, "sig")), np.uint16).reshape(-1, VALUES)).ravel()
+        zero = np.zeros(len(keys), np.uint64)
+        return keys, zero, np.repeat(integers(part, "doc_id"), BANDS), zero.astype(np.int64)
 
     total = nodes.count()
-    shared = stored(repeated_keys(nodes.select(F.col("node").alias("doc_id"), "sig"), keys_of, max(4 * parts, total * BANDS // 400_000), False, "sig").select("doc_id", "key"), "shared")
+    shared = stored(repeated_keys(nodes.select(F.col("node").alias("doc_id"), "sig"), keys_of, max(4 * parts, total * BANDS // 200_000), sized="sig").select("doc_id", "key"), "shared")
     sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
     t = F.ceil(F.col("n") / TILE).cast("int")
     spread = F.lit(max(4 * parts, total // 4000))
