@@ -46,9 +46,10 @@ def masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def nearest(pattern: str, text: str, eq: dict[str, int] | None = None) -> tuple[int, int]:
-    """The least edit distance of the pattern to a substring of text, and where the first such substring ends (Myers, 1999)."""
+def nearest(pattern: str, text: str, eq: dict[str, int] | None = None, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of the pattern to a substring of text (anchored: to a beginning of it), and where the first such substring ends (Myers, 1999)."""
     m = len(pattern)
+    anchored = int(anchored)
     eq = masks(pattern) if eq is None else eq
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = full, 0, m, m, 0
@@ -62,7 +63,7 @@ def nearest(pattern: str, text: str, eq: dict[str, int] | None = None) -> tuple[
             score += 1
         elif mh & top:
             score -= 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | anchored) & full
         mh = mh << 1 & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
@@ -93,7 +94,7 @@ class Items:
             self.found.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of the best match of each item, in normalised characters."""
+        """(item_id, distance, start, end) of the best match of each item (the first, where several are as good), in normalised characters."""
         if not text or not self.any:
             return []
         best: dict[int, tuple[int, int, int]] = {}
@@ -120,7 +121,9 @@ class Items:
                 if len(item) < SHORTEST and not (text[stop - len(item) - 1 : stop - len(item)].strip() == "" and text[stop : stop + 1].strip() == ""):
                     continue
                 if d <= k and (not got or d < got[0]):
-                    best[i] = (d, max(0, stop - len(item)), stop)
+                    # From the end of the match backwards, to where it begins.
+                    size = nearest(item[::-1], text[max(0, stop - len(item) - k) : stop][::-1], anchored=True)[1] if d else len(item)
+                    best[i] = (d, stop - size, stop)
         return [(self.items[i][0], *m) for i, m in sorted(best.items())]
 
 
@@ -138,7 +141,8 @@ def blocks(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
     rows = benchmark.where(F.length(F.trim("text")) > 0)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // (BLOCK_CHARS // 2) + 1
-    return [tuple(sorted((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text").collect())) for b in range(n)]
+    order = lambda i: (i[1], i[0] is not None, i[0] or 0)
+    return [tuple(sorted(((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text").collect()), key=order)) for b in range(n)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
