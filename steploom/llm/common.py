@@ -19,20 +19,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir. Only a session on one machine may do without, and gets one there; a cluster may not."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file:/tmp/checkpoints/steploom"
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file:/tmp/checkpoints/steploom")
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder (or over what a path holds) and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,13 +20,14 @@ so equal short texts are linked and others are not; equal doc_ids are rows of th
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, integers, mixed, record_batch, rolled, shuffle_partitions, slices, stored, word_hashes
+from .common import column, integers, mixed, record_batch, rolled, shuffle_partitions, shared_dir, slices, stored, word_hashes
 from .rlz import LAST, repeated_keys
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -89,19 +90,25 @@ def pruned(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = TH
     return left
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, sig of every document."""
+    """doc_id, said (the text's hash), node, sig of every document."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t) for t in column(part, "text")]
-                yield record_batch(SIGNED, column(part, "doc_id"), [node_of(s) for s in sets], [signature(s).tobytes() for s in sets])
+                yield record_batch(SIGNED, column(part, "doc_id"), column(part, "said"), [node_of(s) for s in sets], [signature(s).tobytes() for s in sets])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, sig binary")
+    return texts_of(docs).mapInArrow(run, "doc_id long, said long, node long, sig binary")
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text (bytes), said (its hash)."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("said"))
 
 
 def _unions(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,12 +209,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label (the least node of its component) of (node, root) edges."""
     both = stored(edges.where("node <> root").select("node", "root").union(edges.where("node <> root").select("root", "node")).distinct(), "edges")
     labels = stored(both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("label")), "labels")
-    for _ in range(rounds):
+    # Two tables in turn: a round reads one and writes over the other.
+    turns = [f"{shared_dir(both.sparkSession)}/labels-{uuid.uuid4().hex}" for _ in range(2)]
+    for i in range(rounds):
         # The least label among neighbours, then that label's own label.
         near = both.join(labels.withColumnRenamed("node", "root"), "root").groupBy("node").agg(F.min("label").alias("near"))
         less = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         own = less.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(less.join(own, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        new = stored(less.join(own, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels", turns[i % 2])
         labels = new.select("node", "label")
         if new.where("was <> label").isEmpty():
             break
@@ -221,7 +230,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = stored(signed(docs), "signed")
-    nodes = stored(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("m"), F.first("sig").alias("sig")), "nodes")
+    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "said")).alias("of"), F.count("*").alias("m"), F.first("sig").alias("sig")).select("node", "of.rep", "of.said", "m", "sig"), "nodes")
 
     def keys_of(part):
         keys = band_keys(np.frombuffer(b"".join(column(part, "sig")), np.uint16).reshape(-1, VALUES)).ravel()
@@ -247,19 +256,20 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     spread = F.lit(max(4 * parts, found.agg(F.sum(F.size("nodes"))).first()[0] or 0) // 1500 + 4 * parts)
     found = found.withColumn("group", F.pmod("vid", spread))
-    needed = found.select("group", F.explode("nodes").alias("node")).distinct().join(nodes.select("node", "rep", "m"), "node")
-    by_doc = needed.groupBy("rep", "node", "m").agg(F.collect_set("group").alias("groups"))
+    needed = found.select("group", F.explode("nodes").alias("node")).distinct().join(nodes.select("node", "rep", "said", "m"), "node")
+    by_text = needed.groupBy("rep", "said", "node", "m").agg(F.collect_set("group").alias("groups"))
     out = pa.schema([("node", pa.int64()), ("m", pa.int64()), ("set", pa.binary()), ("groups", pa.list_(pa.int64()))])
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [(n, m, s.tobytes(), g) for n, m, g, t in zip(*(column(part, c) for c in ("node", "m", "groups", "text"))) if node_of(s := shingles(t)) == n]
-                if got:
-                    yield record_batch(out, *zip(*got))
+                yield record_batch(out, *(column(part, c) for c in ("node", "m")), [shingles(t).tobytes() for t in column(part, "text")], column(part, "groups"))
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), F.col("text").cast("binary").alias("text"))
-    sets = texts.join(by_doc, "rep").select("node", "m", "groups", "text").mapInArrow(sets_of, "node long, m long, set binary, groups array<long>")
+    # A node's text is found by document and hash, so rows that share an id, or have none, meet only nodes of their own text. Texts without an id
+    # are made distinct first: any number of them may be equal.
+    texts = texts_of(docs)
+    texts = texts.where("doc_id is not null").unionByName(texts.where("doc_id is null").groupBy("said").agg(F.min("text").alias("text")).withColumn("doc_id", F.lit(LAST)))
+    sets = texts.withColumnRenamed("doc_id", "rep").join(by_text, ["rep", "said"]).select("node", "m", "groups", "text").mapInArrow(sets_of, "node long, m long, set binary, groups array<long>")
     sets = sets.select("node", "m", "set", F.explode("groups").alias("group"))
     linked = stored(sets.groupBy("group").cogroup(found.groupBy("group")).applyInPandas(lambda s, t: _verified(s, t, threshold), "node long, root long, links long"), "links")
 

@@ -27,3 +27,22 @@ def test_language_sets_do_not_depend_on_neighbours():
     alone = np.concatenate([langid.mixtures(x, np.array([30])) for x in every])
     assert np.array_equal(alone, langid.mixtures(np.concatenate(every), np.array([30] * 3)))
     assert [int((x > 0.01).sum()) for x in alone] == [3, 2, 1]
+
+
+def test_links_of_rows_without_an_id(spark):
+    """A third of all rows has no id, some share one, and rows repeat."""
+    rng = np.random.default_rng(6)
+    bases = [[f"v{j}x{i}" for i in range(60)] for j in range(6)]
+    rows = []
+    for i in range(150):
+        w = list(bases[rng.integers(6)])
+        for k in rng.integers(0, 60, rng.integers(0, 4)):
+            w[k] = f"n{rng.integers(3)}"
+        rows.append((None if i % 3 == 0 else int(i % 40), " ".join(w)))
+    rows += rows[:20] + [(None, None), (None, ""), (4, None)]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)]) for w in ((t or "").split() for _, t in rows)]
+    want = sorted((str(d), t or "", sum(len(s & o) >= 0.8 * len(s | o) for o in sets) - 1) for (d, t), s in zip(rows, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.linked(docs)
+    assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == sorted((d, n) for d, _, n in want)
+    assert sum(n > 0 for _, _, n in want) > 100
