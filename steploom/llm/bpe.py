@@ -7,7 +7,11 @@ many bytes behind it are known, so the encoder holds a constant amount of text h
 
 Inside the bound, tokens are found from left to right: a sequence of tokens is the BPE encoding if and only if each two
 neighbours are what BPE makes of their joined bytes, so the encoder takes the longest next token that is compatible with
-the one before it and steps back when there is none. Short pieces are remembered in a bounded table.
+the one before it and steps back when there is none.
+
+Every text, short or long, takes this one way: windows of it are fed to the encoder, which cuts them into pieces as these end,
+and each piece goes through the transducer. What the transducer gave for a piece that comes back is kept in a bounded table. Ids are
+handed on as they come out (to the digests, and to the decoder), so no list of a text's ids is held where none is asked for.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, and decodes to an empty text. Added tokens
 of the file (such as an end-of-text mark) that appear in a text become their own ids, as in the public library.
@@ -20,6 +24,7 @@ import codecs
 import hashlib
 import json
 import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -34,9 +39,17 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space as the public library's pattern engine defines it; Python's \s also has U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{_SPACE}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", rf"[{_SPACE}]+(?![^{_SPACE}])").replace(r"|\s+", rf"|[{_SPACE}]+"))
-#: Texts in which each white space stands alone between two other characters are cut by str.split.
-ODD = re.compile(r"[\x00-\x09\x0b-\x1f]")
-ODD_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+WIDE = re.compile(r"[^\x00-\xff]")
+
+
+def latin_piece() -> re.Pattern:
+    """PIECE for text of Latin-1 alone, where the classes are short lists: the same pieces, found faster."""
+    of = lambda c: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == c)
+    letter, number, space = of("L"), of("N"), r"\t-\r \x85\xa0"
+    return re.compile(rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{letter}{number}{space}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+LATIN = latin_piece()
 RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{_SPACE}\p{{L}}\p{{N}}]+")]
 SPACES = regex.compile(f"[{_SPACE}]+")
 LONG = 4096
@@ -75,6 +88,7 @@ class Vocabulary:
         self.ids = {t: i for t, i in ids.items() if len(t) == 1 or self.merge(t) == [t]}
         self.prefixes = self._longest_at()
         self.pairs: dict[int, bool] = {}
+        self.pieces = Pieces(self)
 
     def _lookahead(self) -> int:
         right: dict[bytes, bytes] = {a + b: b for a, b in reversed(self.merges)}
@@ -168,14 +182,20 @@ class PieceTransducer:
     """Bytes of one piece in, stable token ids out; holds a few times the sufficient lookahead."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.held = v, b""
+        self.v, self.held, self.most = v, b"", 4 * (v.lookahead + v.longest)
 
     def feed(self, data: bytes) -> list[int]:
-        self.held += data
-        v = self.v
-        if len(self.held) < 4 * (v.lookahead + v.longest):
-            return []
-        out, at, stable = [], 0, len(self.held) - v.lookahead
+        out: list[int] = []
+        for i in range(0, len(data), self.most):
+            self.held += data[i : i + self.most]
+            if len(self.held) >= self.most:
+                out += self._stable()
+        return out
+
+    def _stable(self) -> list[int]:
+        """The tokens that end where the lookahead behind them is known."""
+        v, out, at = self.v, [], 0
+        stable = len(self.held) - v.lookahead
         for t in v.encode_piece(self.held):
             if at + len(v.bytes_of[t]) > stable:
                 break
@@ -185,10 +205,35 @@ class PieceTransducer:
         return out
 
     def finish(self) -> list[int]:
+        """The end of a piece: nothing behind it can change it."""
         out, self.held = self.v.encode_piece(self.held) if self.held else [], b""
         return out
 
 
+class Pieces(dict):
+    """Piece -> what the transducer gives for it. Bounded: a piece stays from its second sight on, and a full table becomes the older of two."""
+
+    most, longest, marks = 200_000, 64, 1 << 22
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.before, self.seen = v, {}, bytearray(self.marks)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = self.before.get(piece)
+        if out is None:
+            t = PieceTransducer(self.v)
+            out = tuple(t.feed(piece.encode()) + t.finish())
+            mark = hash(piece) & (self.marks - 1)
+            if len(piece) > self.longest or not self.seen[mark]:
+                self.seen[mark] = 1
+                return out
+        if len(self) >= self.most:
+            self.before, self.seen = dict(self), bytearray(self.marks)
+            self.clear()
+        self[piece] = out
+        return out
+
+
 class Encoder:
     """Text in by pieces of any size, ids out; constant memory, whatever the length of the text or of a run in it."""
 
@@ -235,12 +280,16 @@ class Encoder:
         elif self.open and end:
             out += self.open.finish()
             self.open = None
-        at, n = 0, len(self.held)
-        for m in PIECE.finditer(self.held):
-            if not end and (m.end() >= n or m.start() + 3 > n):
+        n = len(self.held)
+        pieces = (PIECE if WIDE.search(self.held) else LATIN).findall(self.held)
+        at = n
+        while pieces and not end:  # the last pieces may go on, or turn out to be others
+            start = at - len(pieces[-1])
+            if at < n and start + 3 <= n:
                 break
-            out += self.v.encode_piece(m[0].encode())
-            at = m.end()
+            pieces.pop()
+            at = start
+        out += chain.from_iterable(map(self.v.pieces.__getitem__, pieces))
         self.held = self.held[at:]
         if not end and len(self.held) > LONG and (m := PIECE.match(self.held)) and m.end() == len(self.held):
             self.run = next((r for r in RUNS if r.match(self.held[-1])), SPACES)
@@ -264,48 +313,20 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-class Pieces(dict):
-    """Space-delimited chunk -> ids; bounded, and kept once full, as frequent chunks come early."""
+WINDOW = 65536
 
-    most = 250_000
-
-    def __init__(self, v: Vocabulary):
-        self.v = v
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        v = self.v
-        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
-            out = tuple(v.encode_piece(chunk.encode()))
-        elif chunk[-1] in ",." and len(chunk) > 2 and chunk[1:-1].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-            out = self[chunk[:-1]] + self[chunk[-1]] if chunk[:-1] in self else tuple(v.encode_piece(chunk[:-1].encode())) + self[chunk[-1]]
-        else:
-            out = tuple(i for p in PIECE.findall(chunk) for i in v.encode_piece(p.encode()))
-        if len(self) < self.most:
-            self[chunk] = out
-        return out
 
-
-@lru_cache(4)
-def pieces(path: str) -> Pieces:
-    return Pieces(vocabulary(path))
-
-
-def odd(text: str, v: Vocabulary) -> bool:
-    return text[0] in " \n" or text[-1] in " \n" or any(t in text for t in ("  ", " \n", "\n ", "\n\n", *v.added)) or bool(ODD.search(text)) or (not text.isascii() and bool(ODD_WIDE.search(text)))
+def streamed(text: str, v: Vocabulary, window: int = WINDOW):
+    """The ids of a text, a list for each window of it."""
+    e = Encoder(v)
+    for i in range(0, len(text), window):
+        yield e.feed(text[i : i + window])
+    yield e.finish()
 
 
-def encode(text: str, path: str, window: int = 65536) -> list[int]:
+def encode(text: str, path: str) -> list[int]:
     """The ids of one whole text."""
-    v = vocabulary(path)
-    if not text:
-        return []
-    if len(text) <= 16 * window and not odd(text, v):
-        chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return list(chain.from_iterable(map(pieces(path).__getitem__, chunks)))
-    e, out = Encoder(v), []
-    for i in range(0, len(text), window):
-        out += e.feed(text[i : i + window])
-    return out + e.finish()
+    return list(chain.from_iterable(streamed(text, vocabulary(path))))
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -321,14 +342,14 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             for part in slices(batch, "text"):
                 for doc, text in zip(column(part, "doc_id"), column(part, "text")):
-                    ids = encode(text or "", path)
-                    said, got, back = hashlib.sha256(), hashlib.sha256(), Decoder(v)
-                    for i in range(0, len(ids), STEP):
-                        some = ids[i : i + STEP]
-                        said.update((("," if i else "") + ",".join(map(v.text_of.__getitem__, some))).encode())
-                        got.update(back.feed(some).encode())
+                    said, got, back, n = hashlib.sha256(), hashlib.sha256(), Decoder(v), 0
+                    for ids in streamed(text or "", v):
+                        if ids:
+                            said.update((("," if n else "") + ",".join(map(v.text_of.__getitem__, ids))).encode())
+                            got.update(back.feed(ids).encode())
+                            n += len(ids)
                     got.update(back.finish().encode())
-                    rows.append((doc, len(ids), said.hexdigest(), got.hexdigest()))
+                    rows.append((doc, n, said.hexdigest(), got.hexdigest()))
             if rows:
                 yield record_batch(DIGESTS, *zip(*rows))
 
