@@ -184,7 +184,7 @@ def repeated_keys(rows: DataFrame, keys_of, buckets: int, places: bool = False,
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text (bytes) and two hashes of it. Joins by doc_id over exactly these columns share one shuffle of the texts."""
+    """doc_id, text (bytes) and two hashes of it."""
     text = F.col("text").cast("binary")
     # The second hash has the text behind a fixed value, so it does not follow from the first.
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("whole"), F.xxhash64(F.lit(1), text).alias("check"))
@@ -196,18 +196,18 @@ def text_names(part: pa.RecordBatch) -> np.ndarray:
 
 
 def whole_copies(rows: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, name, ref, ref_at (WHOLE): rows whose text (by 96 bits of hash) an earlier document has; the name is the text's."""
+    """doc_id, name, ref, ref_at (WHOLE), of rows with a doc_id: those whose text (by 96 bits of hash) an earlier document has; the name is the text's."""
 
     def keys_of(part):
         k, c, d = (integers(part, n) for n in ("whole", "check", "doc_id"))
         return k.view(np.uint64), c.view(np.uint64) >> np.uint64(32), d, np.zeros(len(k), np.int64)
 
-    found = repeated_keys(rows.where("doc_id is not null and text is not null").select("doc_id", "whole", "check"), keys_of, buckets, True, None)
+    found = repeated_keys(rows.where("text is not null").select("doc_id", "whole", "check"), keys_of, buckets, True, None)
     return found.select("doc_id", "name", "ref", F.lit(WHOLE).alias("ref_at"))
 
 
 def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, name, ref, ref_at: the first place of each window of a document that starts in an earlier one too. Whole copies send no windows."""
+    """doc_id, name, ref, ref_at, of rows with a doc_id: the first place of each window that starts in an earlier document too. Whole copies send no windows."""
 
     def anchor_keys(part):
         h, n = split(column(part, "text"))
@@ -218,8 +218,7 @@ def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFram
         zero = np.zeros(int(keep.sum()), np.uint64)
         return a[keep], zero, integers(part, "doc_id")[of[keep]], zero.astype(np.int64)
 
-    known = rows.where("doc_id is not null")
-    shared = repeated_keys(known.select("doc_id", "text"), anchor_keys, buckets)
+    shared = repeated_keys(rows.select("doc_id", "text"), anchor_keys, buckets)
     none = F.lit(None).cast("long")
     marks = shared.select("doc_id", "key", none.alias("name")).unionByName(copies.select("doc_id", none.alias("key"), "name"))
     marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("shared"), F.collect_list("name").alias("copied"))
@@ -287,8 +286,10 @@ def parsed(n: int, h: np.ndarray, whole: int, name: np.ndarray, ref: np.ndarray,
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, factors (start, length, source document, source word; lengths and places in words) and kept (the text that is left, its words joined by blanks)."""
     rows, buckets = rows_of(docs), bucket_count(docs)
-    copies = stored(whole_copies(rows, buckets), "copies")
-    places = copied_windows(rows, copies, buckets).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("name", "ref", "ref_at")).alias("found"))
+    # Both joins of the texts are by doc_id over the same rows and columns, so they share one shuffle; rows without an id need none.
+    known, others = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    copies = stored(whole_copies(known, buckets), "copies")
+    places = copied_windows(known, copies, buckets).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("name", "ref", "ref_at")).alias("found"))
 
     def run(batches):
         for batch in batches:
@@ -311,4 +312,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 if out:
                     yield record_batch(RESULT, *zip(*out))
 
-    return rows.join(places, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<array<long>>, kept string")
+    every = known.join(places, "doc_id", "left").unionByName(others.withColumn("found", F.lit(None).cast("array<struct<name:bigint,ref:bigint,ref_at:int>>")))
+    return every.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<array<long>>, kept string")
