@@ -3,7 +3,7 @@
 A record's doc_id is hashed into one of SLOTS virtual slots; bytes and rows are aggregated per slot; a versioned table
 maps slots to shards. Rebalancing edits the map, never the hash: a record moves only if its slot does. The map of n shards
 follows from n alone (law `key`): it grows from one shard by giving each new shard an even share of slots, one at a time
-from whichever shard has most. `rebalanced` edits a map by the bytes of its slots instead.
+from whichever shard has most. `rebalance` edits a stored map by the bytes of its slots instead, and stores the next version.
 
 A record's place in its shard (`slot`, gapless from 0) comes from a count for each (virtual slot, salt) pair, of which
 there are SLOTS x SALTS whatever the data, and a number within the pair; no shard is sorted in one task.
@@ -41,20 +41,27 @@ def slot_map(shards: int, slots: int = SLOTS) -> list[int]:
 
 
 def rebalanced(shard_of: list[int], size_of: list[int], shards: int) -> list[int]:
-    """Moves the slot that helps most from the heaviest shard to the lightest, until no move narrows their gap."""
-    out, load = list(shard_of), [0] * shards
+    """Moves the slot that helps most from the heaviest shard to the lightest, until no move narrows their gap; then from the next heaviest."""
+    out, load, held = list(shard_of), [0] * shards, [[] for _ in range(shards)]
     for slot, shard in enumerate(out):
         load[shard] += size_of[slot]
-    while True:
-        high, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        if size_of[slot]:
+            held[shard].append(slot)
+    giving = set(range(shards))
+    while giving:
+        high, low = max(giving, key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[high] - load[low]
-        fit = [s for s in range(len(out)) if out[s] == high and 0 < size_of[s] < gap]
+        fit = [s for s in held[high] if size_of[s] < gap]
         if not fit:
-            return out
+            giving.remove(high)  # the lightest only grows, so this one can give nothing later either
+            continue
         s = min(fit, key=lambda s: abs(gap - 2 * size_of[s]))
         out[s] = low
+        held[high].remove(s)
+        held[low].append(s)
         load[high] -= size_of[s]
         load[low] += size_of[s]
+    return out
 
 
 def map_frame(spark, versions: dict[int, list[int]]) -> DataFrame:
@@ -63,8 +70,49 @@ def map_frame(spark, versions: dict[int, list[int]]) -> DataFrame:
 
 
 def store_map(frame: DataFrame, path: str) -> None:
-    """Adds the versions of a map to a table of maps."""
-    frame.write.mode("append").partitionBy("version").parquet(path)
+    """Adds one version of a map to a table of maps. A version is written once: a second writer of the same one gets an error."""
+    version = frame.select("version").distinct().collect()
+    if len(version) != 1:
+        raise ValueError("a map has one version")
+    frame.drop("version").coalesce(1).write.parquet(f"{path}/version={version[0][0]}")
+
+
+def stored_maps(spark, path: str) -> DataFrame:
+    """All versions: version, vslot, shard."""
+    return spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
+
+
+def latest(spark, path: str) -> tuple[int, list[int]]:
+    """The last version and its map, one entry for each virtual slot."""
+    maps = stored_maps(spark, path)
+    version = maps.agg(F.max("version")).first()[0]
+    if version is None:
+        raise ValueError(f"no map in {path}")
+    return version, [r["shard"] for r in maps.where(F.col("version") == version).orderBy("vslot").collect()]
+
+
+def rebalance(docs: DataFrame, path: str, shards: int | None = None) -> int:
+    """Edits the last stored map by the bytes that its slots hold now, and stores it as the next version, whose number it returns.
+
+    With `shards` above the map's number of shards, the new ones start empty and are filled by the edit. If no move helps, nothing is stored.
+    """
+    spark = docs.sparkSession
+    version, now = latest(spark, path)
+    # A row for each virtual slot, whatever the input.
+    held = {r["vslot"]: r["n_bytes"] for r in slot_bytes(docs, len(now)).collect()}
+    new = rebalanced(now, [held.get(i, 0) for i in range(len(now))], max(shards or 0, max(now) + 1))
+    if new == now:
+        return version
+    store_map(map_frame(spark, {version + 1: new}), path)
+    return version + 1
+
+
+def assigned(docs: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, vslot and shard of every row under a stored version (the last, if none is named)."""
+    spark = docs.sparkSession
+    last, now = latest(spark, path)
+    of = stored_maps(spark, path).where(F.col("version") == F.lit(last if version is None else version)).select("vslot", "shard")
+    return sized(docs, len(now)).join(F.broadcast(of), "vslot").select("doc_id", "size", "text_crc32", "vslot", "shard")
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -86,10 +134,12 @@ def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, and the bytes of the virtual slot."""
     spark = docs.sparkSession
     now = slot_map(shards, slots)
-    versions = map_frame(spark, {shards: now, shards + 1: grown(now, shards)})
+    made = {shards: now, shards + 1: grown(now, shards)}
+    versions = map_frame(spark, made)
     if map_path:
-        store_map(versions, map_path)
-        versions = spark.read.schema("vslot int, shard int, version int").parquet(map_path)
+        for v in made:
+            store_map(versions.where(F.col("version") == v), map_path)
+        versions = stored_maps(spark, map_path)
     of = lambda n, name: versions.where(F.col("version") == n).select("vslot", F.col("shard").alias(name))
     maps = of(shards, "shard").join(of(shards + 1, "grown_shard"), "vslot")
 
