@@ -453,8 +453,8 @@ def fitted(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
     """Trained on labelled spans of a share of the documents by hash of doc_id and text, from about `sample` to 2 x `sample` (or all, if fewer) of those with hints and as many of those without."""
     rows = docs.where(F.length("text").between(200, 20_000)).select("text", F.col("text").rlike("[0-9@]").alias("hint"), F.xxhash64("doc_id", "text").alias("h"))
     every = {r["hint"]: max(1, r["count"] // sample) for r in rows.groupBy("hint").count().collect()}
-    # The share is taken where the rows are: only about 4 x sample texts at most leave the tasks, however many tasks there are.
-    some = rows.where(F.pmod("h", F.when(F.col("hint"), every.get(True, 1)).otherwise(every.get(False, 1))) == 0).collect()
+    # The share is taken where the rows are, and repeated rows count once: only about 4 x sample texts at most leave the tasks, however many tasks there are.
+    some = rows.where(F.pmod("h", F.when(F.col("hint"), every.get(True, 1)).otherwise(every.get(False, 1))) == 0).distinct().collect()
     texts = [r["text"] for r in sorted(some, key=lambda r: (not r["hint"], r["h"], r["text"]))]
     return Tagger().fit(*training(texts))
 
