@@ -36,12 +36,23 @@ class Shields:
     """Ranges in whose inside nothing is cut."""
 
     def __init__(self, text: str):
-        code = [m.span() for m in CODE.finditer(text)]
-        maths = [m.span() for m in MATHS.finditer(text) if not any(a < m.start() < b for a, b in code)]
-        self.ranges = sorted(code + maths)
+        self._set(m.span() for m in CODE.finditer(text))
+        code = list(zip(self.starts, self.ends))
+        self._set(sorted([*code, *(m.span() for m in MATHS.finditer(text) if not self.cover(m.start()))]))
+
+    def _set(self, spans) -> None:
+        """Spans in order of their starts; those that overlap have one inside."""
+        self.starts, self.ends = [], []
+        for a, b in spans:
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
 
     def cover(self, at: int) -> bool:
-        return any(a < at < b for a, b in self.ranges)
+        i = bisect.bisect_left(self.starts, at) - 1
+        return i >= 0 and at < self.ends[i]
 
 
 def _tight(text: str, a: int, b: int) -> tuple[int, int] | None:
