@@ -28,15 +28,20 @@ def confusion(df: DataFrame, truth: str, predicted: str, classes: list[str]) ->
 
 
 def kappa_of(cell: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """keys, n, hits, chance, kappa from cells: (po - pe) / (1 - pe), NULL if pe is 1, tested on whole numbers."""
-    total = F.sum("n")
-    base = cell.groupBy(*keys).agg(total.alias("total"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("hits"))
-    rows = cell.groupBy(*keys, F.col("a").alias("c")).agg(total.alias("na"))
-    cols = cell.groupBy(*keys, F.col("b").alias("c")).agg(total.alias("nb"))
-    chance = rows.join(cols, [*keys, "c"]).groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
-    out = base.join(chance, list(keys), "left") if keys else base.crossJoin(chance)
-    pe, po = ratio(F.coalesce("chance", F.lit(0)), F.col("total") * F.col("total")), ratio(F.col("hits"), F.col("total"))
-    return out.withColumn("kappa", F.when(F.coalesce("chance", F.lit(0)) != F.col("total") * F.col("total"), (po - pe) / (1 - pe)))
+    """keys, total, hits, chance, kappa from cells: (po - pe) / (1 - pe), NULL if pe is 1, tested on whole numbers.
+
+    Each cell counts once for either of its labels, so both margins come from one aggregation, in which NULL keys are a group as any
+    other. Products of counts are decimals of 38 digits, which holds them for any count that a long holds.
+    """
+    side = lambda label, na, nb, hits: F.struct(F.col(label).alias("c"), na.alias("na"), nb.alias("nb"), hits.alias("hits"))
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    both = F.array(side("a", n, zero, F.when(F.col("a") == F.col("b"), n).otherwise(zero)), side("b", zero, n, zero))
+    margins = cell.select(*keys, F.explode(both).alias("x")).groupBy(*keys, F.col("x.c").alias("c")).agg(*[F.sum(f"x.{k}").alias(k) for k in ("na", "nb", "hits")])
+    whole = lambda x: x.cast("decimal(19,0)")
+    out = margins.groupBy(*keys).agg(F.sum("na").alias("total"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum(whole(F.col("na")) * whole(F.col("nb"))), F.lit(0)).cast("decimal(38,0)").alias("chance"))
+    square = whole(F.col("total")) * whole(F.col("total"))
+    pe, po = ratio(F.col("chance").cast("double"), square.cast("double")), ratio(F.col("hits"), F.col("total"))
+    return out.withColumn("kappa", F.when(F.col("chance") != square, (po - pe) / (1 - pe)))
 
 
 def per_class(df: DataFrame, truth: str, predicted: str, classes: list[str]) -> DataFrame:
@@ -87,9 +92,9 @@ def bootstrap_kappa(cell: DataFrame, resamples: int = 2000, seed: int = 20260930
                 for c in got:
                     p[at[c["a"]], at[c["b"]]] += c["n"]
                 t = np.random.default_rng(seed).multinomial(n, (p / max(1, n)).ravel(), resamples).reshape(resamples, *p.shape) if n else np.zeros((0, 1, 1))
-                chance = (t.sum(2) * t.sum(1)).sum(1)
-                ok = chance != n * n
-                po, pe = np.trace(t, axis1=1, axis2=2)[ok] / max(1, n), chance[ok] / max(1, n * n)
+                rows, cols = t.sum(2), t.sum(1)
+                ok = ~((rows == n) & (cols == n)).any(1)  # chance is 1 only where one class has all
+                po, pe = np.trace(t, axis1=1, axis2=2)[ok] / max(1, n), (rows[ok] / max(1, n) * (cols[ok] / max(1, n))).sum(1)
                 k = np.sort((po - pe) / (1 - pe))
                 m = len(k)
                 wide = m * 2 >= resamples and m > 0
