@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ADMITTED = "client string, at timestamp, admitted boolean"
 STAGES = ["accepted", "generating", "segmenting", "classifying", "assembling"]
 
 
@@ -47,26 +46,39 @@ def limited(hits: DataFrame, client: str, at: str, limit: int, seconds: int) ->
     return rows.repartition("client").sortWithinPartitions("client", "t").mapInArrow(fold, f"client {kind}, t double, admitted boolean")
 
 
-def limited_stream(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """hits (client, at) as a stream; state is the admitted times still live, dropped once none is."""
+def limited_stream(hits: DataFrame, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
+    """hits (client, at) as a stream: client, at, admitted, by event time alone.
+
+    A hit is decided once the watermark has reached it, so hits up to `late` out of order are judged in order, in whatever batches
+    they come; later ones are dropped, as Spark does with late rows. State is the admitted times still live and the hits that wait; it goes when the
+    watermark has passed the last live one by `seconds`, so an idle time between batches forgets nothing.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        live = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values("at")
-        ok = []
-        for t in pdf["at"].map(pd.Timestamp.timestamp):
-            live = [x for x in live if t - x < seconds]
-            ok.append(len(live) < limit)
-            if ok[-1]:
+        live, waiting = (list(x) for x in state.get) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += pdf["us"].tolist()
+        mark, out = 1000 * state.getCurrentWatermarkMs(), []
+        waiting.sort()
+        while waiting and waiting[0] <= mark:
+            t = waiting.pop(0)
+            live = [x for x in live if t - x < seconds * 1_000_000]
+            out.append((t, len(live) < limit))
+            if out[-1][1]:
                 live.append(t)
-        state.update((live,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pdf.assign(admitted=ok)[["client", "at", "admitted"]]
+        if waiting or (live and mark < live[-1] + seconds * 1_000_000):
+            state.update((live, waiting))
+            # A timeout fires once the watermark is beyond it.
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, (waiting[0] if waiting else live[-1] + seconds * 1_000_000) // 1000 - 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"client": [key[0]] * len(out), "us": [t for t, _ in out], "admitted": [ok for _, ok in out]})
 
-    return hits.select("client", "at").groupBy("client").applyInPandasWithState(fold, ADMITTED, "live array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = hits.select("client", F.col("at").cast("timestamp").alias("at")).where("at is not null").withWatermark("at", late)
+    rows = timed.select("client", "at", F.unix_micros("at").alias("us"))
+    out = rows.groupBy("client").applyInPandasWithState(fold, "client string, us long, admitted boolean", "live array<long>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("client", F.timestamp_micros("us").alias("at"), "admitted")
 
 
 def replayed(events: DataFrame) -> DataFrame:
