@@ -32,6 +32,11 @@ def selected(rows: DataFrame, trace: list[str], chosen: Column, order: str, cap:
     return with_totals(top, n, trace).withColumn("capped", F.col("n_selected") > cap).withColumn("rate", F.try_divide("n_selected", "n_steps"))
 
 
+def consistency_of(n_steps: Column, verdict: Column, known_citations: Column) -> Column:
+    """The consistency of a trace, NULL where nothing was judged: fewer than two steps, or a check that failed (a NULL verdict)."""
+    return F.when((n_steps >= 2) & verdict.isNotNull(), consistency(verdict, known_citations))
+
+
 def consistency(verdict: Column, known_citations: Column) -> Column:
     """A contradiction that cites no known step is taken back to underdetermined."""
     down = (verdict == "contradicts") & (F.coalesce(F.size(known_citations), F.lit(0)) <= 0)

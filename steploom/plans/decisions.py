@@ -50,6 +50,16 @@ def flt18_consistency(t):
     return ids.select("conv_id", c.alias("c")).select("conv_id", "c.verdict", "c.flagged")
 
 
+@query("""SELECT conv_id, n_turns, CASE WHEN n_turns >= 2 AND v IS NOT NULL THEN CASE WHEN v = 'contradicts' AND NOT hit THEN 'underdetermined' ELSE v END END AS verdict, CASE WHEN n_turns >= 2 AND v IS NOT NULL THEN v = 'contradicts' AND hit END AS flagged
+FROM (SELECT conv_id, count(*) AS n_turns, CASE conv_id % 3 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'follows' END AS v, bool_or(turn = 3) AS hit FROM conversations GROUP BY 1)""")
+def ext4_consistency(t):
+    """Nothing is judged in a conversation of one turn, or where the check failed (no verdict)."""
+    verdict = F.when(F.col("conv_id") % 3 == 0, "contradicts").when(F.col("conv_id") % 3 == 1, "follows")
+    per = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.collect_set("turn").alias("ids"))
+    got = judging.consistency_of(F.col("n_turns"), verdict, joins.cited(F.array(F.lit(3).cast("int")), F.transform("ids", lambda x: x.cast("int"))))
+    return per.select("conv_id", "n_turns", got.alias("c")).select("conv_id", "n_turns", "c.verdict", "c.flagged")
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 2 = 0 END AS correct FROM events""")
 def flt19_correct(t):
     """Correct, wrong, or unknown: no answer, or nothing known."""
@@ -334,12 +344,12 @@ def src4_predictions(t):
     return readers.predictions(r).select("step_id", "behavior", "copies")
 
 
-@query("""SELECT user_id AS item, min(value) AS seconds FROM events WHERE event_type = 'purchase' AND user_id = 7 GROUP BY 1""")
+@query("""SELECT user_id AS item, arg_min(value, event_id) AS seconds FROM events WHERE event_type = 'purchase' AND user_id = 7 GROUP BY 1""")
 def src20_latency(t):
     from ..sources import readers
 
     status = F.when(F.col("event_type") == "purchase", "done").otherwise("failed")
-    return readers.latency_of(t.events.select(F.col("user_id").alias("item"), F.col("value").alias("seconds"), status.alias("status")), 7).select("item", "seconds")
+    return readers.latency_of(t.events.select(F.col("user_id").alias("item"), F.col("value").alias("seconds"), status.alias("status"), F.col("event_id").alias("place")), 7).select("item", "seconds")
 
 
 @query("""SELECT c_custkey, least(8, 60 - c_custkey % 70) AS calls, CASE WHEN least(8, 60 - c_custkey % 70) < 3 THEN 'call budget exhausted' END AS reason FROM customer""")

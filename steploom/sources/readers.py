@@ -26,10 +26,24 @@ def items(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("answers", F.coalesce(listed, F.array(F.try_variant_get("known_answer", "$", "string")))).withColumn("answer_is_list", listed.isNotNull()).drop("known_answer")
 
 
-def labels(spark: SparkSession, path: str) -> DataFrame:
-    """Appended labels, with their file and their place in it; a missing annotator is the file's name."""
-    raw = spark.read.schema(LABEL).json(path).select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("line_no"))
-    return raw.withColumn("annotator", F.coalesce("annotator", F.regexp_extract("source_file", r"^(.*?)\.[^.]*$", 1)))
+def labels(spark: SparkSession, path: str, held: DataFrame | None = None, held_file: str | None = None) -> DataFrame:
+    """Appended labels, with their file and their place in it (line_no, which orders the lines of a file however it is split); a missing annotator is the file's name.
+
+    held (step_id) are the held-out steps, whose labels go whatever file they are in; held_file names a file that goes as a whole.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    raw = spark.read.schema(LABEL).json(path).select("*", F.col("_metadata.file_name").alias("source_file"), place.alias("line_no"))
+    rows = raw.withColumn("annotator", F.coalesce("annotator", F.regexp_extract("source_file", r"^(.*?)\.[^.]*$", 1)))
+    if held_file is not None:
+        rows = rows.where(F.col("source_file") != held_file)
+    return rows if held is None else rows.join(held.select("step_id"), "step_id", "left_anti")
+
+
+def live_labels(labels: DataFrame) -> DataFrame:
+    """The last label of each (annotator, step_id): by file name, then by place in the file."""
+    rest = [c for c in labels.columns if c not in ("annotator", "step_id")]
+    last = labels.where("step_id is not null").groupBy("annotator", "step_id").agg(F.max_by(F.struct(*rest), F.struct("source_file", "line_no")).alias("r"))
+    return last.select("annotator", "step_id", "r.*")
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
@@ -100,9 +114,9 @@ def pin(spark: SparkSession, fields: list[str], prefix: str) -> DataFrame:
     return spark.createDataFrame([tuple(values)], ", ".join(f"{f} string" for f in fields))
 
 
-def latency_of(runs: DataFrame, item: str) -> DataFrame:
-    """The first finished run of an item, if there is one."""
-    return runs.where((F.col("item") == item) & (F.col("status") == "done")).orderBy("seconds").limit(1)
+def latency_of(runs: DataFrame, item: str, place: str = "place") -> DataFrame:
+    """The first finished run of an item, by its place in the record, if there is one."""
+    return runs.where((F.col("item") == item) & (F.col("status") == "done")).orderBy(place).limit(1)
 
 
 def thoughts(steps: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ def write_reports(df: DataFrame, path: str, key: str = "item_id") -> None:
     df.select(key, canonical(*[c for c in df.columns if c != key]).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_lines(df: DataFrame, path: str, keys: list[str], shards: int = 256) -> None:
+    """JSON lines with their keys inside, in `shards` files dealt by a hash of the keys and sorted by them: for more items or traces than a file system takes files."""
+    df.repartition(shards, *keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+
+
 def append_labels(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
