@@ -160,7 +160,7 @@ def jon6_with_bank(t):
     return t.customer.select("c_custkey", "c_nationkey").join(bank, "c_nationkey", "left").select("c_custkey", "n_name", F.coalesce("trap", F.lit(False)).alias("trap"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'unsound' WHEN toxic = 0 THEN 'sound' END AS human FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 3 = 0""")
+@query("""SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'unsound' WHEN toxic = 0 THEN 'sound' END AS human FROM documents d LEFT JOIN labels USING (doc_id) WHERE d.doc_id % 7 <> 0 AND d.doc_id % 3 IN (0, 1)""")
 def jon9_flags_with_humans(t):
     human = t.labels.select("doc_id", F.when(F.col("toxic") == 1, "unsound").when(F.col("toxic") == 0, "sound").alias("human"))
     return steps(t).where("v in ('unsound', 'unverifiable')").select("doc_id").join(human, "doc_id", "left")

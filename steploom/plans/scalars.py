@@ -15,7 +15,7 @@ LOW, HIGH = wilson("s", "n")
 c = F.col
 
 
-@query("""SELECT conv_id, turn, regexp_matches(' ' || lower(trim(text)) || ' ', ' not | no |n''t | neither | cannot | none ') AS negated FROM conversations WHERE NOT regexp_matches(text, '[.!;:]\\s*$')""")
+@query(r"""SELECT conv_id, turn, regexp_matches(' ' || trim(regexp_replace(trim(translate(lower(trim(text)), '$£€,', '')), '[.!;:]+$', '')) || ' ', ' not | no |n''t | neither | cannot | isn''t | none ') AS negated FROM conversations""")
 def str4_negated(t):
     return t.conversations.select("conv_id", "turn", text.negated(c("text")).alias("negated"))
 
@@ -208,7 +208,7 @@ def udf1_tool_dispatch(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", calculator.calculated(said).alias("r")).select("l_orderkey", "l_linenumber", c("r.error").isNull().alias("ok"))
 
 
-@query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY list_position(['5-LOW', '1-URGENT', '2-HIGH'], o_orderpriority) NULLS LAST, o_orderkey LIMIT 50""")
+@query("""SELECT o_orderkey, o_orderpriority FROM orders ORDER BY list_position(['5-LOW', '1-URGENT', '2-HIGH'], o_orderpriority) NULLS LAST, o_orderkey""")
 def srt1_arm_order(t):
     place = F.nullif(F.array_position(F.array(*map(F.lit, ["5-LOW", "1-URGENT", "2-HIGH"])), c("o_orderpriority")), F.lit(0))
     return t.orders.select("o_orderkey", "o_orderpriority").orderBy(place.asc_nulls_last(), "o_orderkey")

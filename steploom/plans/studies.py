@@ -302,7 +302,7 @@ def srt8_heaviest(t):
     return t.events.where("value > 40").groupBy("user_id").agg(F.count("*").alias("selected")).orderBy(F.desc("selected"), "user_id").limit(6)
 
 
-@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5('7:' || doc_id), doc_id LIMIT 20""")
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS pos FROM documents QUALIFY pos < 90) SELECT doc_id, pos FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY pos""")
 def srt10_label_queue(t):
     """The draw of 90 (as srt6_sample) less what is labelled, in its order."""
     draw = picks.sample(t.documents.select("doc_id"), 90, 7, "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"))
