@@ -34,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND, TOLERANCE, STEP = 30, 5, 1e-7, 30
 VALUES = BANDS * BAND
 TILE = 512
+#: Keys, of 16 bytes each, that are sent to all tasks at most.
+SENT = 100_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,11 +241,13 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     total = nodes.count()
     shared = stored(repeated_keys(nodes.select(F.col("node").alias("doc_id"), "sig"), keys_of, max(4 * parts, total * BANDS // 200_000), sized="sig").select("doc_id", "key"), "shared")
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    t = F.ceil(F.col("n") / TILE).cast("int")
+    # Only keys with more nodes than a tile need their count; they are few, and sent to all tasks where they are.
+    large = stored(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large")
+    few = large.count() <= SENT
+    t = F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))
     spread = F.lit(max(4 * parts, total // 4000))
     tiles = (
-        shared.join(sizes, "key")
+        shared.join(F.broadcast(large) if few else large, "key", "left")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), t).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), t - 1)))
         .select("doc_id", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n")
