@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, record_batch, slices
+from .common import column, record_batch, slices, stored
 
 RATE, SHORTEST, BLOCK_CHARS = 0.05, 40, 8_000_000
 
@@ -136,21 +136,22 @@ OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", p
 OUT_DDL = "doc_id long, item_id long, distance int, start long, end long"
 
 
-def blocks(benchmark: DataFrame) -> list[tuple[tuple[int, str], ...]]:
-    """The test items in blocks of bounded size."""
-    rows = benchmark.where(F.length(F.trim("text")) > 0)
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = total // (BLOCK_CHARS // 2) + 1
-    order = lambda i: (i[1], i[0] is not None, i[0] or 0)
-    return [tuple(sorted(((r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text").collect()), key=order)) for b in range(n)]
+def block_count(benchmark: DataFrame) -> int:
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    return total // (BLOCK_CHARS // 2) + 1
+
+
+def block(benchmark: DataFrame, k: int, n: int) -> tuple[tuple[int, str], ...]:
+    """The test items of the k-th of n blocks, in one order whatever their partitions: by text, then item_id, null first."""
+    rows = benchmark.where((F.length(F.trim("text")) > 0) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).select("item_id", "text").collect()
+    return tuple(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda i: (i[1], i[0] is not None, i[0] or 0)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, start, end: a row for each document and test item it holds."""
-    out = None
-    for items in blocks(benchmark):
 
-        def run(batches, items=items):
+    def scan(items):
+        def run(batches):
             found = automaton(items, rate)
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -158,20 +159,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
                     if rows:
                         yield record_batch(OUT, *zip(*rows))
 
-        some = docs.select("doc_id", "text").mapInArrow(run, OUT_DDL)
-        out = some if out is None else out.unionByName(some)
+        return docs.select("doc_id", "text").mapInArrow(run, OUT_DDL)
+
+    n = block_count(benchmark)
+    if n == 1:
+        return scan(block(benchmark, 0, 1))
+    # A scan for each block, one after another: the driver never holds two.
+    out = stored(scan(block(benchmark, 0, n)), "leaks")
+    for k in range(1, n):
+        out = out.unionByName(stored(scan(block(benchmark, k, n)), "leaks"))
     return out
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents, with all their columns, that hold no test item."""
-    for items in blocks(benchmark):
 
-        def run(batches, items=items):
+    def without(docs, items):
+        def run(batches):
             found = automaton(items, rate)
             for batch in batches:
                 for part in slices(batch, "text"):
                     yield part.filter(pa.array([not found.matches(normal(t)) for t in column(part, "text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(run, docs.schema)
+
+    n = block_count(benchmark)
+    for k in range(n):
+        docs = without(docs, block(benchmark, k, n))
+        if k + 1 < n:
+            docs = stored(docs, "cleaned")
     return docs

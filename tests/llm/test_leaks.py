@@ -58,3 +58,15 @@ def test_null_and_equal_item_ids(spark):
     got = sorted((r.doc_id, str(r.item_id)) for r in decontam.leaks(docs, bench).collect())
     assert got == [(1, "3"), (1, "None"), (3, "5"), (4, "3"), (4, "None")]
     assert [r.doc_id for r in decontam.cleaned(docs, bench).collect()] == [2]
+
+
+def test_many_blocks_of_items_give_what_one_gives(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(30)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some words {items[i % 30]} and more" if i % 2 else "nothing here") for i in range(60)], "doc_id long, text string")
+    one = sorted(map(tuple, decontam.leaks(docs, bench).collect())), sorted(r.doc_id for r in decontam.cleaned(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 1200)
+    assert decontam.block_count(bench) > 2
+    assert (sorted(map(tuple, decontam.leaks(docs, bench).collect())), sorted(r.doc_id for r in decontam.cleaned(docs, bench).collect())) == one
+    assert len(one[0]) == 30 and one[1] == list(range(0, 60, 2))
