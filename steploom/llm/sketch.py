@@ -14,9 +14,11 @@ one row alone is its own next document; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from .common import column, record_batch, rolled, shuffle_partitions, slices
@@ -76,18 +78,21 @@ OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 def in_ranges(docs: DataFrame) -> DataFrame:
     """Rows dealt in ranges of doc_id, each with its neighbour's first row behind it as a ghost; sorted by doc_id, descending."""
-    n = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = shuffle_partitions(spark)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(FIRST)).alias("key"), "text")
-    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col("key"))))
+    cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"]
+    if not cuts:
+        return rows.select("doc_id", "key", "text", F.lit(0).alias("part"), F.lit(False).alias("ghost"))
+    # A search by halves in the cuts. Ranges are of doc_ids as doubles, in which their order is kept (neighbours may be equal, and then share a range).
+    ranges = Bucketizer(splits=[-math.inf, *sorted({float(c) for c in cuts}), math.inf], inputCol="at", outputCol="range")
+    rows = ranges.transform(rows.withColumn("at", F.col("key").cast("double"))).withColumn("part", F.col("range").cast("int")).drop("at", "range")
     # One row for each range: its largest doc_id, whose document follows the last of the range above.
     heads = sorted((r["part"], r["k"]) for r in rows.groupBy("part").agg(F.max("key").alias("k")).collect())
-    if not heads:
-        return rows.withColumn("ghost", F.lit(False))
-    below = F.create_map(*[F.lit(x) for i, (_, k) in enumerate(heads) for x in (k, heads[(i + 1) % len(heads)][0])])
-    ghosts = rows.where(F.col("key").isin([k for _, k in heads])).withColumn("part", below[F.col("key")]).withColumn("ghost", F.lit(True))
-    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(n, "part").sortWithinPartitions("part", "ghost", F.col("key").desc(), "text")
+    above = spark.createDataFrame([(k, heads[(i + 1) % len(heads)][0]) for i, (_, k) in enumerate(heads)], "key long, above int")
+    ghosts = rows.join(F.broadcast(above), "key").select("doc_id", "key", "text", F.col("above").alias("part"), F.lit(True).alias("ghost"))
+    # There are n ranges at most, so each is a partition of its own.
+    return rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartitionById(n, "part").sortWithinPartitions("part", "ghost", F.col("key").desc(), "text")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
