@@ -16,7 +16,7 @@ def spans(t):
     said, user, turn = F.col("role") == "assistant", F.col("role") == "user", F.col("turn")
     attributes = F.struct(
         F.when(said, "LLM").when(user, "TOOL").otherwise("CHAIN").alias("openinference.span.kind"), F.when(~said & ~user, "react").alias("app.strategy"), F.when(turn % 2 == 0, turn * 10).alias("app.seq"), F.when(turn % 3 == 0, turn).alias("app.turn"),
-        F.when(said, F.col("text")).alias("llm.output_messages.0.message.content"), F.when(said & (turn % 3 > 0), F.substring("text", 1, 20)).alias("llm.output_messages.0.message.reasoning"), F.when(said, F.length("text")).alias("llm.token_count.prompt"),
+        F.when(said, F.col("text")).alias("llm.output_messages.0.message.content"), F.when(said & (turn % 3 > 0), F.substring("text", 1, 20)).alias("llm.output_messages.0.message.reasoning"), F.when(said, F.length("text")).alias("llm.token_count.prompt"), F.when(said & (turn % 5 > 0), turn * 3).alias("llm.token_count.completion"),
         F.when(said & (turn % 4 == 1), turn).alias("app.token_count.reasoning"), F.when(user & (turn % 4 == 0), "calc").alias("tool.name"), F.when(user, F.col("text")).alias("input.value"), F.when(user, F.col("text")).alias("output.value"),
     )
     span = F.parse_json(F.to_json(F.struct(F.col("role").alias("name"), F.concat(F.lit("s"), F.col("conv_id") * 1000 + turn).alias("spanId"), attributes.alias("attributes"))))
@@ -59,7 +59,7 @@ def flt6_quality(t):
     return traces.traces(spans(t)).select("item_id", "trace_quality")
 
 
-@query("""SELECT conv_id::VARCHAR AS item_id, sum(length(text))::BIGINT AS input_tokens, 0::BIGINT AS output_tokens, sum(CASE WHEN turn % 4 = 1 THEN turn END)::BIGINT AS reasoning_tokens, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY 1""")
+@query("""SELECT conv_id::VARCHAR AS item_id, sum(length(text))::BIGINT AS input_tokens, sum(CASE WHEN turn % 5 > 0 THEN turn * 3 ELSE 0 END)::BIGINT AS output_tokens, sum(CASE WHEN turn % 4 = 1 THEN turn END)::BIGINT AS reasoning_tokens, count(*) AS turns FROM conversations WHERE role = 'assistant' GROUP BY 1""")
 def agg1_usage(t):
     return traces.traces(spans(t)).select("item_id", "input_tokens", "output_tokens", "reasoning_tokens", "turns")
 
@@ -89,11 +89,12 @@ def flt8_labellable(t):
     return steps.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("traces"))
 
 
-@query("""SELECT 'dense' AS rule, 0::BIGINT AS n UNION ALL SELECT 'all', 0""")
+@query(f"""{_PARTS} SELECT 'dense' AS rule, count(DISTINCT item_id) AS n FROM parts WHERE item_id::BIGINT % 10 = 0 UNION ALL SELECT 'all', count(DISTINCT item_id) + count(*) FROM parts WHERE item_id::BIGINT % 10 = 0""")
 def seg14_invariants(t):
-    """Broken invariants of the steps: none, in each of two counts, so that an empty result is not mistaken for a check."""
+    """Broken invariants of the steps: none but where the ordinals are moved by one on purpose, in every tenth trace (a gap each, and a step_id of another ordinal for each step)."""
     s = spans(t)
-    bad = traces.violations(traces.steps(traces.calls(s), traces.tools(s)))
+    steps = traces.steps(traces.calls(s), traces.tools(s))
+    bad = traces.violations(steps.withColumn("ordinal", F.col("ordinal") + F.when(F.col("item_id").cast("long") % 10 == 0, 1).otherwise(0)))
     return bad.agg(F.count_if(F.expr("rule = 'dense'")).alias("dense"), F.count("*").alias("all")).select(F.explode(F.create_map(F.lit("dense"), F.col("dense"), F.lit("all"), F.col("all"))).alias("rule", "n"))
 
 
