@@ -30,7 +30,7 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import column, record_batch, slices
 
@@ -385,3 +385,25 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
             yield record_batch(out, column(batch, "doc_id"), texts)
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
+def token_split(calls: DataFrame, path: str | None, name: str | None = None, reasoning: str = "reasoning", answer: str = "content") -> DataFrame:
+    """calls with reasoning_tokens, answer_tokens and tokenizer: how many tokens of the file at `path` the two texts have.
+
+    Without a file both counts are NULL and never a guess; tokenizer then says which one is not there, or is NULL if none is known.
+    A NULL text has no tokens. Columns of these names are replaced.
+    """
+    rest = calls.drop("reasoning_tokens", "answer_tokens", "tokenizer")
+    if path is None:
+        none = F.lit(None).cast("long")
+        return rest.select("*", none.alias("reasoning_tokens"), none.alias("answer_tokens"), F.lit(f"{name} (unavailable)" if name else None).cast("string").alias("tokenizer"))
+    label = name or path.rsplit("/", 1)[-1]
+
+    def run(batches):
+        v = vocabulary(path)
+        for batch in batches:
+            counts = [pa.array([sum(map(len, streamed(t or "", v))) for t in column(batch, c)], pa.int64()) for c in (reasoning, answer)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array([label] * batch.num_rows, pa.string())], [*batch.schema.names, "reasoning_tokens", "answer_tokens", "tokenizer"])
+
+    schema = T.StructType([*rest.schema.fields, T.StructField("reasoning_tokens", T.LongType()), T.StructField("answer_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
+    return rest.mapInArrow(run, schema)

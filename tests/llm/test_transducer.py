@@ -90,3 +90,15 @@ def test_ids_and_back(spark):
     empty = spark.createDataFrame([], "doc_id long, ids array<int>")
     assert bpe.decoded(empty, BYTE).count() == 0
     assert [r.text for r in bpe.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), BYTE).collect()] == [""]
+
+
+def test_token_split(spark):
+    lib = Tokenizer.from_file(BYTE)
+    rows = [("a", "Let me think.", "42"), ("b", None, ""), ("c", "x" * 5000, "é😀")]
+    calls = spark.createDataFrame([(*r, 7, "old") for r in rows], "item_id string, reasoning string, content string, answer_tokens int, tokenizer string")
+    got = {r.item_id: r for r in bpe.token_split(calls, BYTE, "byte50k").collect()}
+    n = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
+    assert all((got[i].reasoning_tokens, got[i].answer_tokens, got[i].tokenizer) == (n(a), n(b), "byte50k") for i, a, b in rows)
+    for name, want in ((None, None), ("other", "other (unavailable)")):
+        r = bpe.token_split(calls, None, name).first()
+        assert (r.reasoning_tokens, r.answer_tokens, r.tokenizer) == (None, None, want)
