@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns of
 documents; the last returns doc_id, n_tokens and ids.
+
+Defined cases, for every stage: an empty table gives an empty one; doc_ids may be null or repeated, and rows count one by one (only
+near_duplicates drops repeated rows); columns beyond text and doc_id may be null, and further columns pass through, whatever
+their names. A null text counts as empty: it has the score of an empty text, is a near copy of other texts without words, holds
+no test item and no personal data (and stays null), and has no tokens.
 """
 
 from __future__ import annotations
@@ -14,27 +19,27 @@ from steploom.llm.common import documents, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects (score under 0.5) go; with no labelled row all stay."""
     return fm.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents stays, that of the least doc_id."""
+    """One document of each class of linked documents stays, that of the least doc_id (null last, equal ones by a hash of their columns)."""
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; with no test items all stay."""
     return decontam.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by the name of its kind."""
+    """Personal data is replaced by the name of its kind, and n_chars counts the new text."""
     return pii.redacted(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids."""
+    """doc_id, n_tokens, ids, of every document."""
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calculator, segmenter, text
+from ..operators.layout import spread
 from .base import query
 
 
@@ -90,4 +91,4 @@ def mth6_cost(t):
 @query(None)
 def seg_steps(t):
     """Steps of every document, as reasoning text."""
-    return t.documents.select("doc_id", F.posexplode(segmenter.segments(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.text")
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(segmenter.segments(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.text")
