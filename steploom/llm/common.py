@@ -11,11 +11,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-M64 = (1 << 64) - 1
+from ..operators.layout import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents, a partition for each core at least, for operators that work on each text where it lies."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.stored_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return rans.stored_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
 def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots.sharded(documents(spark, sf_dir), 16, map_path=slots.map_folder(spark))
+    return slots.sharded(_table(spark, sf_dir, "documents"), 16, map_path=slots.map_folder(spark))
 
 
 def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op6_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.fingerprinted(documents(spark, sf_dir))
+    return sketch.fingerprinted(_table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
