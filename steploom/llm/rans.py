@@ -275,7 +275,8 @@ def segments(docs: DataFrame, path: str, end_id: int, segment: int = SEGMENT) ->
             yield row()
 
     n = shuffle_partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's beginning parts rows that share an id or have none; its order is the text's.
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, SEGMENTS_DDL)
 
 

@@ -51,3 +51,17 @@ def test_segments_say_where_they_begin(spark):
         by[r.file] = r.before + r.n_tokens
     got = rans.read_documents(spark.createDataFrame(rows, rans.SEGMENTS_DDL)).orderBy("start").collect()
     assert [r.doc_id for r in got] == list(range(60)) and [r.start for r in got] == [sum(i % 7 + 1 for i in range(k)) for k in range(60)]
+
+
+def test_rows_without_an_id_are_parted(spark):
+    rng = random.Random(2)
+    rows = [(None if i % 3 else i, "".join(rng.choice("abc é") for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    files = rans.segments(docs, WORD, 2)
+    assert max(len([i for i in r.doc_ids if i is None]) for r in files.collect()) < 150  # of 200
+    got = rans.stored_ids(docs, WORD).orderBy("start").collect()
+    lib, at = Tokenizer.from_file(WORD), 0
+    for (doc, text), r in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())), got):
+        n = len(lib.encode(text, add_special_tokens=False).ids) + 1
+        assert (r.doc_id, r.start, r.n_tokens) == (doc, at, n)
+        at += n
