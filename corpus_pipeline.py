@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from steploom.llm import bpe, decontam, fm, jaccard, pii
-from steploom.llm.common import documents, stored
+from steploom.llm.common import documents, finished, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,10 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over the documents. With a folder, each stage is written there under its name, and a run that failed goes on after the stages it had finished."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        path = folder and f"{folder}/{i}-{name}"
+        docs = spark.read.parquet(path) if path and finished(spark, path) else stored(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
