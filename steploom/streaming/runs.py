@@ -59,7 +59,7 @@ def limited_stream(hits: DataFrame, limit: int, seconds: int, late: str = "0 sec
         if not state.hasTimedOut:
             for pdf in batches:
                 waiting += pdf["us"].tolist()
-        mark, out = 1000 * state.getCurrentWatermarkMs(), []
+        mark, out = 1000 * (state.getCurrentWatermarkMs() - 1), []
         waiting.sort()
         while waiting and waiting[0] <= mark:
             t = waiting.pop(0)
@@ -70,13 +70,14 @@ def limited_stream(hits: DataFrame, limit: int, seconds: int, late: str = "0 sec
         if waiting or (live and mark < live[-1] + seconds * 1_000_000):
             state.update((live, waiting))
             # A timeout fires once the watermark is beyond it.
-            state.setTimeoutTimestamp(max(mark // 1000 + 1, (waiting[0] if waiting else live[-1] + seconds * 1_000_000) // 1000 - 1))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, -(-(waiting[0] if waiting else live[-1] + seconds * 1_000_000) // 1000)))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"client": [key[0]] * len(out), "us": [t for t, _ in out], "admitted": [ok for _, ok in out]})
 
-    timed = hits.select("client", F.col("at").cast("timestamp").alias("at")).where("at is not null").withWatermark("at", late)
-    rows = timed.select("client", "at", F.unix_micros("at").alias("us"))
+    # Spark drops rows that are not after the watermark. Counted one millisecond later, the hits that can still come are those after `mark`, exactly.
+    seen = (F.col("at").cast("timestamp") + F.expr("INTERVAL 1 MILLISECOND")).alias("seen")
+    rows = hits.where("at is not null").select("client", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), seen).withWatermark("seen", late)
     out = rows.groupBy("client").applyInPandasWithState(fold, "client string, us long, admitted boolean", "live array<long>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("client", F.timestamp_micros("us").alias("at"), "admitted")
 
