@@ -202,7 +202,9 @@ def whole_copies(rows: DataFrame, buckets: int) -> DataFrame:
         k, c, d = (integers(part, n) for n in ("whole", "check", "doc_id"))
         return k.view(np.uint64), c.view(np.uint64) >> np.uint64(32), d, np.zeros(len(k), np.int64)
 
-    found = repeated_keys(rows.where("text is not null").select("doc_id", "whole", "check"), keys_of, buckets, True, None)
+    # A text of WINDOW words has 2 * WINDOW - 1 bytes at least; shorter ones lose nothing.
+    long_enough = rows.where(F.octet_length("text") >= 2 * WINDOW - 1)
+    found = repeated_keys(long_enough.select("doc_id", "whole", "check"), keys_of, buckets, True, None)
     return found.select("doc_id", "name", "ref", F.lit(WHOLE).alias("ref_at"))
 
 
