@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import stats
 from ..operators import guards, joins, judging, picks
 from ..streaming import runs
 from .base import query

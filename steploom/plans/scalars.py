@@ -7,7 +7,6 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import calculator, stats, text
 from ..operators import judging, picks, ranks
 from ..sources import writers
-from ..streaming import runs
 from .base import query
 from .statistics import wilson
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
-from ..functions import stats, text
-from ..operators import agreement as A, joins, picks, ranks, reports
+from ..functions import stats
+from ..operators import agreement as A, ranks, reports
 from .base import query
 
 WILSON = "(({s} / {n}::DOUBLE + 1.959963984540054 * 1.959963984540054 / (2 * {n})) {sign} 1.959963984540054 * sqrt(({s} / {n}::DOUBLE) * (1 - {s} / {n}::DOUBLE) / {n} + 1.959963984540054 * 1.959963984540054 / (4.0 * {n} * {n}))) / (1 + 1.959963984540054 * 1.959963984540054 / {n})"
