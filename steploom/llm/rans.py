@@ -33,7 +33,7 @@ from .common import column, record_batch, shuffle_partitions, slices, stored
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
+LANES = 2048
 BLOCK = 1 << 18
 SEGMENT = 1 << 20
 
@@ -153,11 +153,16 @@ END = "</w>"
 _LETTERS = "a-zß-öø-ÿ"
 #: What SPLIT finds in lower-case text of plain characters.
 WORD = re.compile(rf"[{_LETTERS}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^{_LETTERS}0-9\t-\r ]+")
-#: Characters whose normal form, case and class are not plain, and what may open an added token.
-NOT_PLAIN = re.compile(r"[^\t-\r -~¡§«°·»¿À-ÖØ-öø-ÿ–—‘-„…]|<\|")
+#: Text whose characters have a plain normal form, case and class.
+PLAIN = re.compile(r"[\t-\r -~¡§«°·»¿À-ÖØ-öø-ÿ–—‘-„…]*")
 BLANKS = re.compile(r"[\t-\r ]+")
 
 
+def plain(text: str) -> bool:
+    """Whether WORD finds in the lower-case text what SPLIT does, and no added token can begin in it."""
+    return PLAIN.fullmatch(text) is not None and "<|" not in text
+
+
 class Words:
     """Ids of texts by the public library, asked once for each new word of a slice of texts.
 
@@ -167,7 +172,7 @@ class Words:
     becomes the older of two generations, out of which words still in use are taken over.
     """
 
-    most, longest, marks = 250_000, 64, 1 << 22
+    most, longest, marks = 300_000, 64, 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -189,19 +194,19 @@ class Words:
         self.seen = bytearray(self.marks)
 
     def words(self, text: str) -> list[str]:
-        if not NOT_PLAIN.search(text):
+        if plain(text):
             return WORD.findall(text.lower())
         out = []
         for part in BLANKS.split(text):
             if part:
-                out += [part] if NOT_PLAIN.search(part) else WORD.findall(part.lower())
+                out += WORD.findall(part.lower()) if plain(part) else [part]
         return out
 
     def _ask(self, words: list[str]) -> None:
         """Looks up new words. A word's last token, and no other, has the mark of a word's end."""
-        plain = [w for w in words if not NOT_PLAIN.search(w)]
-        for k in range(0, len(plain), 4096):
-            some = plain[k : k + 4096]
+        known = [w for w in words if plain(w)]
+        for k in range(0, len(known), 4096):
+            some = known[k : k + 4096]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):
@@ -210,8 +215,8 @@ class Words:
             for w, end in zip(some, (4 * cuts).tolist()):
                 self.now[w] = raw[at:end]
                 at = end
-        if len(plain) < len(words):
-            odd = [w for w in words if NOT_PLAIN.search(w)]
+        if len(known) < len(words):
+            odd = [w for w in words if not plain(w)]
             for k in range(0, len(odd), 4096):
                 some = odd[k : k + 4096]
                 self.now.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)))
