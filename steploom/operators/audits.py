@@ -66,11 +66,17 @@ def inventory(spans: DataFrame, name: str, attributes: str) -> DataFrame:
     return pairs.groupBy("attribute").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
+#: The most concepts of a contract.
+CONCEPTS = 10_000
+
+
 def contract_delta(concepts: DataFrame, observed: DataFrame, name: str) -> DataFrame:
     """concepts: (concept, expected, pattern), a contract of a page or two, so it is what goes to the tasks; observed: any number of names.
 
     CONFIRMED if the expected name occurs, CORRECTED if only another that fits the pattern does, else ABSENT.
     """
+    if concepts.limit(CONCEPTS + 1).count() > CONCEPTS:
+        raise ValueError(f"a contract has {CONCEPTS} concepts at most: it is sent to all tasks")
     exact = F.col(name) == F.col("expected")
     hit = observed.select(name).join(F.broadcast(concepts), exact | F.regexp_like(F.col(name), F.col("pattern")))
     seen = hit.groupBy("concept").agg(F.bool_or(exact).alias("exact"))
