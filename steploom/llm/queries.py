@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fm, jaccard, langid, pii, rans, rlz, sketch, slots
+from . import audit, bpe, decontam, fm, jaccard, langid, pii, rans, rlz, sketch, slots
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.scored(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, pipeline)
+    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, op13_filter_audit, pipeline)
     return {f.__name__: f for f in all_}
 
 
@@ -110,5 +114,35 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN
 """
 
 
+_OP13 = r"""
+WITH marked AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT t, min(doc_id) AS first_id FROM marked GROUP BY t
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    MAP {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(first_id < doc_id, false)} AS f
+  FROM marked LEFT JOIN firsts USING (t) LEFT JOIN lab USING (doc_id)
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT o, s, o[s] AS c, string_split(o[1:s - 1], '') AS before FROM orders, range(1, 6) r(s)
+), sums AS (
+  SELECT part, o, s, c,
+    count(*) FILTER (NOT f[c] AND NOT early) AS kept, count(*) FILTER (f[c] AND NOT early) AS removed, count(*) FILTER (f[c] AND early) AS redundant,
+    count(*) FILTER (f[c] AND len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[x])) = 1) AS unique_fails,
+    count(*) FILTER (f[c] AND NOT early AND good = 1) AS good_lost, count(*) FILTER (f[c] AND NOT early AND toxic = 1) AS toxic_lost
+  FROM (SELECT j.*, o, s, c, len(list_filter(before, lambda x: x <> '' AND f[x])) > 0 AS early FROM judged j, steps)
+  GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8}
+    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8, "op13_filter_audit": _OP13}
