@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, decontam, fm, jaccard, langid, pii, rans, rlz, sketch, slots
+from . import audit, bpe, decontam, fm, jaccard, langid, pii, rans, resample, rlz, sketch, slots
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.scored(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, op13_filter_audit, pipeline)
+    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, op11_importance_resampling, op13_filter_audit, pipeline)
     return {f.__name__: f for f in all_}
 
 
@@ -114,6 +118,44 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN
 """
 
 
+_OP11 = r"""
+WITH RECURSIVE rounds AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM rounds WHERE k < 8
+), crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM rounds WHERE k = 8
+), texts AS (
+  SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), grams AS (
+  SELECT kind, doc_id, unnest(ws) AS g FROM words
+  UNION ALL SELECT kind, doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM words WHERE len(ws) > 1
+), hexed AS (
+  SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM grams)
+), bytes AS (
+  SELECT g, list_transform(range(len(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bs FROM hexed
+), buckets AS (
+  SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+), counts AS (
+  SELECT kind, doc_id, bucket, count(*) AS n FROM grams JOIN buckets USING (g) GROUP BY ALL
+), sums AS (
+  SELECT b.bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM range(10000) b(bucket) LEFT JOIN counts USING (bucket) GROUP BY b.bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (sum(s) OVER () + 10000) / (CAST(s + 1 AS DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM sums
+), means AS (
+  SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM counts JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY doc_id
+), hashed AS (
+  SELECT doc_id, len(ws) AS n_words, list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('7:' || doc_id)[i]) - 1 AS BIGINT)), lambda a, b: 16 * a + b) AS h FROM words WHERE kind = 'd'
+), scored AS (
+  SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM hashed LEFT JOIN means USING (doc_id)
+), places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (doc_id)
+"""
+
 _OP13 = r"""
 WITH marked AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -145,4 +187,4 @@ SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, kept, removed, redun
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8, "op13_filter_audit": _OP13}
+    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8, "op11_importance_resampling": _OP11, "op13_filter_audit": _OP13}
