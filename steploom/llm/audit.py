@@ -58,8 +58,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.col("text").cast("binary").alias("text"))
     rows = stored(rows.mapInArrow(run, "doc_id long, part string, bits int, digest binary"), "failed")
-    # One row for each text that occurs again; a hot text is one row of this side, and its many rows of the other can be split.
     firsts = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    # A row for each text that occurs again. It is written first, since Spark splits the many rows of a hot text only where nothing stands between the join and its exchanges.
+    firsts = stored(firsts, "firsts")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)).cast("int")
     every = rows.join(firsts, "digest", "left").select("doc_id", "part", (F.col("bits") + copy * (1 << FILTERS.index("E"))).alias("bits"))
