@@ -1,9 +1,9 @@
 """Operator 11: documents drawn like a target, by importance resampling over hashed n-grams.
 
 Each task hands its texts, some megabytes at a time, to a DuckDB connection of its own: SQL takes the words, unnests them, makes
-the n-grams with a window and counts them by bucket, through a registered zlib CRC function. The counts of each document are
-written as Parquet, once; Spark adds them up over all documents and all target texts, and scores each document by the
-stored counts. Documents are drawn without replacement by Gumbel noise that follows from seed and doc_id.
+the n-grams with a window and counts them by bucket, through a registered zlib CRC function. The counts of each document, and the
+sums of each task, are written as Parquet, once; Spark adds up the sums of all documents and all target texts, and scores each
+document by its stored counts. Documents are drawn without replacement by Gumbel noise that follows from seed and doc_id.
 
 Words are runs of 0-9, a-z and code points beyond ASCII, after A-Z are lower-cased; features are all runs of one and two words.
 A text longer than PIECE is cut between words and passes piece by piece, the last word of a piece with the next one; a task holds
@@ -29,7 +29,9 @@ from .common import column, record_batch, shuffle_partitions, stored
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 7, 25, 20
 #: Code points of a piece, and of the pieces that go to one statement.
-PIECE, AT_ONCE = 1_000_000, 4_000_000
+PIECE, AT_ONCE = 1_000_000, 2_000_000
+#: Documents whose counts are weighed at once.
+WEIGHED = 256
 
 _BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -91,15 +93,16 @@ def _lowered(word: str) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in word)
 
 
-SPILLED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-SPILLED_DDL = "doc_id long, n_words long, buckets array<int>, counts array<long>"
+SPILLED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64()))])
+SPILLED_DDL = "doc_id long, n_words long, buckets array<int>, counts array<int>, sums array<long>"
 
 
 def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_words, buckets (ascending) and their counts: a row for each row of texts (doc_id, text)."""
+    """doc_id, n_words, buckets (ascending) and their counts: a row for each row of texts (doc_id, text). And a row for each task, which has
+    sums alone: those of its documents, of every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = connection()
+        con, sums = connection(), np.zeros(buckets, np.int64)
 
         def counts_of(rows: list[int], some: list[str], before: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             # Pieces are numbered, so that each is a text of its own; the numbers are turned back into rows.
@@ -114,10 +117,11 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             row, bucket, n, n_words = counts_of(rows, some, before)
             key, at = np.unique(row * buckets + bucket, return_inverse=True)
             n = np.bincount(at, n, len(key)).astype(np.int64)
+            np.add.at(sums, key % buckets, n)
             words = np.bincount(row, n_words, len(ids)).astype(np.int64)
             ends = np.searchsorted(key, np.arange(len(ids) + 1) * buckets).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t)) for x, t in (((key % buckets).astype(np.int32), pa.int32()), (n, pa.int64()))]
-            return record_batch(SPILLED, ids, words, *lists)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % buckets, n)]
+            return record_batch(SPILLED, ids, words, *lists, [None] * len(ids))
 
         def long_text(doc: int | None, text: str) -> pa.RecordBatch:
             total, words = np.zeros(buckets, np.int64), 0
@@ -125,8 +129,9 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 _, bucket, n, n_words = counts_of([0], [piece], [before])
                 np.add.at(total, bucket, n)
                 words += int(n_words.sum())
+            np.add(sums, total, out=sums)
             some = np.flatnonzero(total)
-            return record_batch(SPILLED, [doc], [words], [some.tolist()], [total[some].tolist()])
+            return record_batch(SPILLED, [doc], [words], [some.tolist()], [total[some].tolist()], [None])
 
         for batch in batches:
             ids, some, size = [], [], 0
@@ -143,12 +148,13 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             if ids:
                 yield batch_of(ids, list(range(len(ids))), some, [None] * len(ids))
         con.close()
+        yield record_batch(SPILLED, [None], [None], [None], [None], [sums.tolist()])
 
     return texts.select("doc_id", "text").mapInArrow(run, SPILLED_DDL)
 
 
 def by_bucket(counts: DataFrame, name: str) -> DataFrame:
-    return counts.select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias(name))
+    return counts.where("sums is not null").select(F.posexplode("sums").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias(name))
 
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -165,18 +171,20 @@ def weighed(counts: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features, weight: the floored mean gain of a document's features."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_words", "n_features", "weight")])
 
-    def run(batches):
+    def means(some: pa.RecordBatch) -> pa.RecordBatch:
+        of = lambda c: some.column(some.schema.get_field_index(c))
+        ends = np.asarray(of("buckets").offsets) - of("buckets").offsets[0].as_py()
+        n = np.asarray(of("counts").flatten()).astype(np.int64)
+        upto, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, gain[np.asarray(of("buckets").flatten())] * n))
+        features = upto[ends[1:]] - upto[ends[:-1]]
+        return record_batch(schema, of("doc_id"), of("n_words"), features, (total[ends[1:]] - total[ends[:-1]]) // np.maximum(features, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(batch.schema.get_field_index(c)) for c in ("buckets", "counts")]
-            ends = np.asarray(lists[0].offsets) - lists[0].offsets[0].as_py() if len(batch) else np.zeros(1, np.int64)
-            bucket, n = (np.asarray(x.flatten()) for x in lists)
-            upto = np.concatenate([[0], np.cumsum(n)])
-            total = np.concatenate([[0], np.cumsum(gain[bucket] * n)])
-            features = upto[ends[1:]] - upto[ends[:-1]]
-            mean = (total[ends[1:]] - total[ends[:-1]]) // np.maximum(features, 1)
-            yield record_batch(schema, batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("n_words")), features, mean)
-
-    return counts.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+            for i in range(0, len(batch), WEIGHED):
+                yield means(batch.slice(i, WEIGHED))
+
+    return counts.where("sums is null").select("doc_id", "n_words", "buckets", "counts").mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
