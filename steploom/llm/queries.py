@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, decontam, fm, jaccard, langid, pii, rans, resample, rlz, sketch, slots
+from . import audit, bpe, decontam, fm, jaccard, langid, passages, pii, rans, resample, rlz, sketch, slots
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resampled(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.deduplicated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, op11_importance_resampling, op13_filter_audit, pipeline)
+    all_ = (op1_bpe_round_trip, op2_rans_token_files, op3_rlz_dedup, op4_mixture_langid, op5_virtual_slots, op6_pii_bilstm_crf, op7_scaled_sketch, op8_jaccard_join, op9_decontamination, op10_quality_fm, op11_importance_resampling, op12_bwt_dedup, op13_filter_audit, pipeline)
     return {f.__name__: f for f in all_}
 
 
@@ -156,6 +160,28 @@ WITH RECURSIVE rounds AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN places USING (doc_id)
 """
 
+_OP12 = r"""
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM hexed WHERE n >= 50)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s
+), hits AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS begins FROM strings JOIN firsts USING (s) WHERE first_id < doc_id
+), numbered AS (
+  SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM spans
+), cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN hexed USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM hexed LEFT JOIN cut USING (doc_id)
+"""
+
 _OP13 = r"""
 WITH marked AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
@@ -187,4 +213,4 @@ SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, kept, removed, redun
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8, "op11_importance_resampling": _OP11, "op13_filter_audit": _OP13}
+    return {"op3_rlz_dedup": _OP3, "op8_jaccard_join": _OP8, "op11_importance_resampling": _OP11, "op12_bwt_dedup": _OP12, "op13_filter_audit": _OP13}
