@@ -7,7 +7,8 @@ corpus fits no machine, so strings are dealt out first, such that all places of
   share one. Documents are dealt in blocks; a block names its anchors once each. Those that two documents have are told to the blocks.
 * A block sends, for each run of strings with such an anchor, the run's bytes (once for equal runs). The runs of a bucket of
   anchors are one text, of which `bwt.boundaries` derives the common prefixes from 0 up to LENGTH: suffixes between two places
-  with shorter ones are one string, and all but the places in its first document are repeats.
+  with shorter ones are one string, and all but the places in its first document are repeats. Runs that are alone with their anchor share
+  no string with others, and need no transform.
 * Where very many documents share an anchor (a common line), the runs around it differ in what stands beside it. There the strings
   go one by one, dealt by their own hash, and are merged in two levels: first in SALTS parts, then what was first in each.
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,7 +40,7 @@ from .rlz import planes, unplaned
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text in a block, about, and of those that are worked on at once; keys of anchors and bytes of runs in a bucket.
-BLOCK, SLICE, KEYS, RUNS = 8_000_000, 1_000_000, 500_000, 500_000
+BLOCK, SLICE, KEYS, RUNS = 8_000_000, 1_000_000, 500_000, 1_500_000
 #: Documents that share an anchor before its strings go one by one, and parts in which these are merged first.
 HOT, SALTS = 4_000, 64
 
@@ -108,9 +110,9 @@ class Block:
 ANCHORS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 TOLD = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("hot", pa.binary()), ("ids", pa.binary()), ("wholes", pa.binary())])
 TOLD_DDL = "block long, keys binary, hot binary, ids binary, wholes binary"
-PLACES = [("docs", 8), ("rows", 4), ("starts", 4), ("n", 4)]
+PLACES = [("docs", 8), ("blocks", 4), ("rows", 4), ("starts", 4), ("n", 4)]
 RUNS_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("sizes", pa.binary()), ("of", pa.binary()), *[(c, pa.binary()) for c, _ in PLACES]])
-RUNS_DDL = "bucket long, kind int, block long, data binary, sizes binary, of binary, docs binary, rows binary, starts binary, n binary"
+RUNS_DDL = "bucket long, kind int, block long, data binary, sizes binary, of binary, docs binary, blocks binary, rows binary, starts binary, n binary"
 #: Kinds of rows: places that are repeats; runs of strings; single strings of hot anchors, in parts, and those that were first in their part.
 FOUND, RUN, PART, WHOLE = range(4)
 
@@ -220,11 +222,12 @@ def block_runs(block: int, texts: pa.Table, told: pa.Table, buckets: int) -> pa.
     if not strings:
         return RUNS_SCHEMA.empty_table()
     of, rows, starts, n = (np.array(x, np.int64) for x in (of, rows, starts, n))
-    ids = docs.ids[rows]
+    ids, here = docs.ids[rows], np.full(len(rows), block)
     repeated = ids > split_places(ids, of, len(strings))[of]
     out = []
     if repeated.any():
-        out.append(runs_row(block, FOUND, block, [], of[:0], [x[repeated] for x in (ids, rows, starts, n)]))
+        out.append(runs_row(block, FOUND, block, [], of[:0], [x[repeated] for x in (ids, here, rows, starts, n)]))
+    here = here[~repeated]
     of, ids, rows, starts, n = (x[~repeated] for x in (of, ids, rows, starts, n))
     lot = np.array(bucket_of, np.int64) * 2 + (np.array(kind_of) == PART)
     by = np.argsort(lot[of], kind="stable")
@@ -233,44 +236,66 @@ def block_runs(block: int, texts: pa.Table, told: pa.Table, buckets: int) -> pa.
         i = by[a:b]
         mine, number = np.unique(of[i], return_inverse=True)
         x = int(lot[mine[0]])
-        out.append(runs_row(x // 2, PART if x % 2 else RUN, block, [strings[k] for k in mine.tolist()], number, [y[i] for y in (ids, rows, starts, n)]))
+        out.append(runs_row(x // 2, PART if x % 2 else RUN, block, [strings[k] for k in mine.tolist()], number, [y[i] for y in (ids, here, rows, starts, n)]))
     return pa.Table.from_batches([record_batch(RUNS_SCHEMA, *zip(*out))])
 
 
-def merged(rows: pa.Table, buckets: int) -> pa.Table:
+def merged(rows: pa.Table, lots: int) -> pa.Table:
     """Of a bucket: the places that are repeats, to each block; and those that were first in their part, for the next merge."""
-    out = []
+    of_kind = lambda kind: rows.filter(pc.equal(rows.column("kind"), kind))
+    known = of_kind(FOUND)
+    found, left = [[_column(known, c, size) for c, size in PLACES]] if len(known) else [], []
     for kind in (RUN, PART, WHOLE):
-        some = rows.filter(pa.compute.equal(rows.column("kind"), kind))
+        some = of_kind(kind)
         if len(some):
-            out += _merged(some, kind, buckets)
-    for r in rows.filter(pa.compute.equal(rows.column("kind"), FOUND)).to_pylist():
-        out.append(tuple(r[c] for c in RUNS_SCHEMA.names))
+            strings, of, places = _strings(some)
+            first_of, base = _firsts(strings, of, places[0], kind)
+            hits, missed = _judged(of, places, first_of, base)
+            found.append(hits)
+            if kind == PART:
+                left += _passed_on([strings[i] for i in of[missed].tolist()], [x[missed] for x in places], lots)
+    found = [np.concatenate(x) for x in zip(*found)]
+    out = left + (_by_block(found) if found else [])
     return pa.Table.from_batches([record_batch(RUNS_SCHEMA, *zip(*out))]) if out else RUNS_SCHEMA.empty_table()
 
 
-def _merged(rows: pa.Table, kind: int, buckets: int) -> list[tuple]:
+def _column(rows: pa.Table, name: str, size: int) -> np.ndarray:
+    return np.concatenate([unplaned(x, size) for x in rows.column(name).to_pylist()]).view(np.int64)
+
+
+def _strings(rows: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """The different strings of all rows, and of each place the number of its string."""
     known: dict[bytes, int] = {}
-    of, places, blocks = [], [], []
-    for r in rows.to_pylist():
-        ends = np.cumsum(unplaned(r["sizes"], 4)).astype(np.int64).tolist()
-        data = r["data"]
-        number = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64)
-        of.append(number[unplaned(r["of"], 4).astype(np.int64)])
-        places.append([unplaned(r[c], size).view(np.int64) for c, size in PLACES])
-        blocks.append(np.full(len(of[-1]), r["block"]))
-    strings, of, blocks = list(known), np.concatenate(of), np.concatenate(blocks)
-    docs, row, start, n = (np.concatenate(x) for x in zip(*places))
+    of = []
+    for data, sizes, number in zip(*(rows.column(c).to_pylist() for c in ("data", "sizes", "of"))):
+        ends = np.cumsum(unplaned(sizes, 4)).astype(np.int64).tolist()
+        mine = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip([0, *ends], ends)], np.int64)
+        of.append(mine[unplaned(number, 4).astype(np.int64)])
+    return list(known), np.concatenate(of), [_column(rows, c, size) for c, size in PLACES]
+
+
+def _firsts(strings: list[bytes], of: np.ndarray, docs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every start of LENGTH bytes in each string in turn, the first document that has those bytes; and where each string's begin."""
     least = split_places(docs, of, len(strings))
-    # Of every place of LENGTH bytes in a string, the first document that has those bytes.
-    owner, at, group = repeats(strings, LENGTH)
-    begins = np.flatnonzero(np.diff(group, prepend=-1))
-    first = np.minimum.reduceat(least[owner], begins)[np.cumsum(np.diff(group, prepend=-1) != 0) - 1]
-    fits = np.array([len(s) - LENGTH + 1 for s in strings], np.int64)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    fits = sizes - LENGTH + 1
     base = np.cumsum(fits) - fits
-    first_of = np.empty(int(fits.sum()), np.int64)
-    first_of[base[owner] + at] = first
-    # Each place of a string is judged string by string of LENGTH bytes; what follows on in it is one repeat.
+    out = np.repeat(least, fits)
+    some = np.arange(len(strings))
+    if kind == RUN:
+        key = anchors(np.frombuffer(b"".join(strings), np.uint8))[np.cumsum(sizes) - sizes]
+        some = np.flatnonzero((np.unique(key, return_counts=True)[1] > 1)[np.unique(key, return_inverse=True)[1]])
+    if len(some):
+        owner, at, group = repeats([strings[i] for i in some.tolist()], LENGTH)
+        owner = some[owner]
+        new = np.diff(group, prepend=-1) != 0
+        out[base[owner] + at] = np.minimum.reduceat(least[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out, base
+
+
+def _judged(of: np.ndarray, places: list[np.ndarray], first_of: np.ndarray, base: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The repeats among the places, string by string of LENGTH bytes, what follows on in a place as one; and the places with none."""
+    docs, blocks, rows, starts, n = places
     each, which = ranges(base[of], base[of] + n)
     hit = first_of[each] < docs[which]
     edge = np.ones(len(each), bool)
@@ -279,24 +304,29 @@ def _merged(rows: pa.Table, kind: int, buckets: int) -> list[tuple]:
     length = np.diff(np.append(a, len(each)))
     a, length = a[hit[a]], length[hit[a]]
     w = which[a]
-    out = _by_block(blocks[w], [docs[w], row[w], start[w] + each[a] - base[of[w]], length])
-    if kind == PART:
-        left = np.flatnonzero(~hit)  # single strings: a place each
-        bucket = np.array([xxhash.xxh3_64_intdigest(s) % buckets for s in strings], np.int64)[of[left]]
-        lot = np.lexsort((blocks[left], bucket))
-        left, bucket = left[lot], bucket[lot]
-        cuts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(blocks[left], prepend=-1) != 0))
-        for x, y in zip(cuts, [*cuts[1:], len(left)]):
-            i = left[x:y]
-            mine, number = np.unique(of[i], return_inverse=True)
-            out.append(runs_row(int(bucket[x]), WHOLE, int(blocks[i[0]]), [strings[k] for k in mine.tolist()], number, [docs[i], row[i], start[i], n[i]]))
+    missed = np.ones(len(of), bool)
+    missed[w] = False
+    return [docs[w], blocks[w], rows[w], starts[w] + each[a] - base[of[w]], length], np.flatnonzero(missed)
+
+
+def _passed_on(strings: list[bytes], places: list[np.ndarray], lots: int) -> list[tuple]:
+    """Rows of WHOLE, one for each bucket: single strings and their places."""
+    bucket = np.array([xxhash.xxh3_64_intdigest(s) % lots for s in strings], np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(by)]):
+        known: dict[bytes, int] = {}
+        of = np.array([known.setdefault(strings[i], len(known)) for i in by[a:b].tolist()], np.int64)
+        out.append(runs_row(int(bucket[by[a]]), WHOLE, -1, list(known), of, [x[by[a:b]] for x in places]))
     return out
 
 
-def _by_block(blocks: np.ndarray, places: list[np.ndarray]) -> list[tuple]:
-    by = np.argsort(blocks, kind="stable")
-    cuts = np.flatnonzero(np.diff(blocks[by], prepend=-1))
-    return [runs_row(int(blocks[by[a]]), FOUND, int(blocks[by[a]]), [], np.zeros(0, np.int64), [x[by[a:b]] for x in places]) for a, b in zip(cuts, [*cuts[1:], len(by)])]
+def _by_block(places: list[np.ndarray]) -> list[tuple]:
+    by = np.argsort(places[1], kind="stable")
+    blocks = places[1][by]
+    cuts = np.flatnonzero(np.diff(blocks, prepend=-1))
+    return [runs_row(int(blocks[a]), FOUND, int(blocks[a]), [], np.zeros(0, np.int64), [x[by[a:b]] for x in places]) for a, b in zip(cuts, [*cuts[1:], len(by)])]
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
@@ -319,7 +349,7 @@ def without(doc_id: int | None, text: bytes, starts: np.ndarray, ends: np.ndarra
 def block_results(texts: pa.Table, told: pa.Table, copies: pa.Table) -> pa.Table:
     docs = Block(texts, copies_in(copies))
     found = [[unplaned(x, size).view(np.int64) for x in told.column(c).to_pylist()] for c, size in PLACES]
-    _, rows, starts, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    _, _, rows, starts, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
     by = np.argsort(rows, kind="stable")
     rows, starts, ends = rows[by], starts[by], (starts + n + LENGTH - 1)[by]
     cuts = np.searchsorted(rows, np.arange(len(docs.texts) + 1))
@@ -365,8 +395,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     named = texts.cogroup(copies.groupBy("block")).applyInArrow(lambda t, told: block_anchors(block_of(t, told), t, told, buckets), "bucket long, block long, keys binary, n binary")
     shared = named.groupBy("bucket").applyInArrow(shared_anchors, TOLD_DDL)
     sent = texts.cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(lambda t, told: block_runs(block_of(t, told), t, told, lots), RUNS_DDL)
-    for _ in range(2):
-        sent = sent.groupBy("bucket").applyInArrow(lambda part: merged(part, lots), RUNS_DDL)
+    for _ in range(2):  # what is left after the first merge is little
+        sent = sent.groupBy("bucket").applyInArrow(lambda part: merged(part, max(lots // 16, partitions)), RUNS_DDL)
     nothing = F.lit(b"")
     found = sent.select("block", *[c for c, _ in PLACES], nothing.alias("ids"), nothing.alias("wholes")).unionByName(copies.select("block", *[nothing.alias(c) for c, _ in PLACES], "ids", "wholes"))
     out = texts.cogroup(found.groupBy("block")).applyInArrow(lambda t, told: block_results(t, told, told), RESULT_DDL)
