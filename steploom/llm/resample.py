@@ -29,7 +29,7 @@ from .common import column, record_batch, shuffle_partitions, stored
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 7, 25, 20
 #: Code points of a piece, and of the pieces that go to one statement.
-PIECE, AT_ONCE = 1_000_000, 2_000_000
+PIECE, AT_ONCE = 500_000, 500_000
 #: Documents whose counts are weighed at once.
 WEIGHED = 256
 
@@ -63,7 +63,7 @@ def crc32(grams: pa.Array) -> pa.Array:
 
 
 def connection() -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
     con.create_function("crc32", crc32, ["VARCHAR"], "UINTEGER", type="arrow")
     return con
 
