@@ -6,7 +6,7 @@ most TRAIN_WINDOWS windows (a documented bound), of documents of 200 to 20,000 c
 of overlapping windows: WINDOW characters, one every STRIDE. No kind can be written without a digit or @, so a window with
 neither is known to hold none and is not scored. Windows that overlap are reconciled globally: the emissions of a
 character are averaged over the windows it lies in, by its distance from their edges, and one Viterbi pass under the CRF's
-transitions decodes each stretch of windows as a whole (stretches over LONGEST windows in parts that overlap by a window).
+transitions decodes each stretch of windows as a whole; a long one is scored in blocks of windows, and only its back pointers are held.
 What it finds must then pass the check of its kind (`plausible`), such as a card's check digit, and touch no base span. It finds
 what the patterns, which take the longest match and try no other, lose where one kind stands next to another.
 
@@ -37,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PHONE_LIKE = re.compile(r"(\+[0-9]{1,3}[ .-]?)?(\([0-9]{1,4}\)[ .-]?)?[0-9]+([ .-][0-9]+)*")
 HINT = re.compile(r"[0-9@]")
 
-WINDOW, STRIDE, LONGEST = 64, 32, 128
+WINDOW, STRIDE = 64, 32
 TRAIN_WINDOWS, SAMPLE_DOCS, EPOCHS, HIDDEN, EMBED = 3000, 400, 8, 16, 10
 TAGS = 1 + 2 * len(KINDS)
 
@@ -236,19 +236,39 @@ class Tagger:
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """The likeliest tags of rows of emissions (rows x characters x tags)."""
         n, t, _ = e.shape
-        step, tags = self._steps(), np.empty((n, t), np.int8)
-        best, back = e[:, 0] + np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0), 0, -1e4), np.empty((n, t, TAGS), np.int8)
-        for i in range(1, t):
-            s = best[:, :, None] + step
-            back[:, i] = s.argmax(axis=1)
-            best = s.max(axis=1) + e[:, i]
+        tags = np.empty((n, t), np.int8)
+        best, back = self._forward(None, e)
         tag = best.argmax(axis=1)
         for i in range(t - 1, -1, -1):
             tags[:, i] = tag
-            if i:
-                tag = back[np.arange(n), i, tag]
+            tag = back[np.arange(n), i, tag]
         return tags
 
+    def likeliest(self, blocks) -> np.ndarray:
+        """The likeliest tags of one row of emissions that comes in blocks (characters x tags)."""
+        best, backs = None, []
+        for e in blocks:
+            best, back = self._forward(best, e[None])
+            backs.append(back[0])
+        back = np.concatenate(backs)
+        tags, tag = np.empty(len(back), np.int8), int(best[0].argmax())
+        for i in range(len(back) - 1, -1, -1):
+            tags[i] = tag
+            tag = back[i, tag]
+        return tags
+
+    def _forward(self, best: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best scores behind the emissions (rows x characters x tags), given those before them, and where each came from."""
+        n, t, _ = e.shape
+        step, back, first = self._steps(), np.zeros((n, t, TAGS), np.int8), 0
+        if best is None:
+            best, first = e[:, 0] + np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0), 0, -1e4), 1
+        for i in range(first, t):
+            s = best[:, :, None] + step
+            back[:, i] = s.argmax(axis=1)
+            best = s.max(axis=1) + e[:, i]
+        return best, back
+
 
 #: Windows scored at once, and bytes of text taken at once.
 BATCH, STEP = 2048, 2_000_000
@@ -269,72 +289,79 @@ def padded(code: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(out, WINDOW)[::STRIDE]
 
 
-def stretches(k: np.ndarray, longest: int = LONGEST) -> list[tuple[int, int, bool, bool]]:
-    """Runs of neighbouring windows: from and to (in k), and whether it goes on before and after; long ones in parts that share a window."""
-    out = []
+def stretches(k: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of neighbouring windows: from and to (in k)."""
     cuts = [0, *(np.flatnonzero(np.diff(k) != 1) + 1).tolist(), len(k)]
-    for a, b in zip(cuts, cuts[1:]):
-        i = a
-        while b - i > longest:
-            out.append((i, i + longest, i > a, True))
-            i += longest - 1
-        out.append((i, b, i > a, False))
-    return out
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
-def reconciled(e: np.ndarray) -> np.ndarray:
-    """Emissions of a stretch's characters from those of its windows: averages, by the distance from a window's edges."""
+def in_part(e: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions of the characters of neighbouring windows: averages, by the distance from a window's edges. `before` is the weighted second half
+    of the window that stands before these, if one does; the last window's is returned apart, for the one after it."""
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    out, total = np.zeros((len(e) + 1, STRIDE, TAGS), np.float32), np.zeros((len(e) + 1, STRIDE), np.float32)
-    for half in (0, 1):
-        w = weight[half * STRIDE : (half + 1) * STRIDE]
-        out[half : half + len(e)] += e[:, half * STRIDE : (half + 1) * STRIDE] * w[:, None]
-        total[half : half + len(e)] += w
-    return (out / total[:, :, None]).reshape(-1, TAGS)
+    first, second = weight[:STRIDE], weight[STRIDE:]
+    out, after = e[:, :STRIDE] * first[:, None], e[:, STRIDE:] * second[:, None]
+    out[1:] += after[:-1]
+    total = np.tile(first + second, (len(e), 1))
+    if before is None:
+        total[0] = first
+    else:
+        out[0] += before
+    return (out / total[:, :, None]).reshape(-1, TAGS), after[-1]
+
+
+def ended(after: np.ndarray) -> np.ndarray:
+    """The emissions of the last window's second half, which no other window shares."""
+    return after / np.arange(STRIDE, 0, -1).astype(np.float32)[:, None]
+
+
+def reconciled(e: np.ndarray) -> np.ndarray:
+    """Emissions of all characters of a stretch from those of its windows."""
+    some, after = in_part(e)
+    return np.concatenate([some, ended(after)])
 
 
 assert WINDOW == 2 * STRIDE
 
 
+def blocks_of(x: np.ndarray, model: Tagger):
+    """The reconciled emissions of one stretch's windows, a block at a time."""
+    after = None
+    for i in range(0, len(x), BATCH):
+        e, after = in_part(model.emissions(x[i : i + BATCH]), after)
+        yield e
+    yield ended(after)
+
+
 def tagged(texts: list[str], model: Tagger) -> list[list[tuple[str, int, int]]]:
     """The tagger's spans in each text."""
     rows, parts, base = [], [], 0  # windows, and for each stretch: text, first window, rows
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for t, text in enumerate(texts):
         if HINT.search(text):
             code = classes(text)
-            k = grid(code)
-            rows.append(padded(code)[k])
-            parts += [(t, int(k[a]), base + a, base + b, before, after) for a, b, before, after in stretches(k)]
-            base += len(k)
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    if not rows:
-        return out
-    x = np.concatenate(rows)
-    e = np.concatenate([model.emissions(x[i : i + BATCH]) for i in range(0, len(x), BATCH)])
+            k, windows = grid(code), padded(code)
+            for a, b in stretches(k):
+                if b - a > BATCH:
+                    out[t] += spans_of(model.likeliest(blocks_of(windows[k[a] : k[b - 1] + 1], model)), int(k[a]) * STRIDE, len(text))
+                else:
+                    rows.append(windows[k[a] : k[b - 1] + 1])
+                    parts.append((t, int(k[a]), base, base + b - a))
+                    base += b - a
+    x = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.uint8)
+    e = np.concatenate([model.emissions(x[i : i + BATCH]) for i in range(0, max(1, len(x)), BATCH)])
     parts.sort(key=lambda p: p[3] - p[2])
-    found: dict[int, list] = {}
     at = 0
-    while at < len(parts):
+    while at < len(parts):  # stretches of one length are decoded side by side
         size = parts[at][3] - parts[at][2]
         end = at
         while end < len(parts) and parts[end][3] - parts[end][2] == size and (end - at) * size < 16_384:
             end += 1
-        tags = model.viterbi(np.stack([reconciled(e[a:b]) for _, _, a, b, _, _ in parts[at:end]]))
-        for (t, k, _, _, before, after), row in zip(parts[at:end], tags):
-            # Of the window that two parts share, each decides a half.
-            lo, hi = STRIDE if before else 0, len(row) - (STRIDE if after else 0)
-            found.setdefault(t, []).append((k * STRIDE + lo, row[lo:hi]))
+        tags = model.viterbi(np.stack([reconciled(e[a:b]) for _, _, a, b in parts[at:end]]))
+        for (t, k, _, _), row in zip(parts[at:end], tags):
+            out[t] += spans_of(row, k * STRIDE, len(texts[t]))
         at = end
-    for t, some in found.items():
-        some.sort(key=lambda s: s[0])
-        i = 0
-        while i < len(some):  # parts of one stretch stand side by side
-            j = i + 1
-            while j < len(some) and some[j][0] == some[j - 1][0] + len(some[j - 1][1]):
-                j += 1
-            out[t] += spans_of(np.concatenate([r for _, r in some[i:j]]), some[i][0], len(texts[t]))
-            i = j
-    return out
+    return [sorted(some, key=lambda s: s[1]) for some in out]
 
 
 def spans_of(tags: np.ndarray, start: int, stop: int) -> list[tuple[str, int, int]]:

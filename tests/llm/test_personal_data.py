@@ -1,6 +1,7 @@
 """Base spans against the patterns as they are stated, and the tagger on labelled spans it was not fitted on."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -92,17 +93,71 @@ def test_windows_without_hints_change_nothing(model):
         quiet = ~pii.HINTS[x].any(axis=1)
         k = np.flatnonzero(~quiet)
         want = []
-        for a, b, _, _ in pii.stretches(k):
+        for a, b in pii.stretches(k):
             want += pii.spans_of(model.viterbi(pii.reconciled(e[k[a:b]])[None])[0], int(k[a]) * pii.STRIDE, len(text))
         assert got == want
 
 
-def test_long_stretches_are_decoded_in_parts(model):
+def test_long_stretches_are_decoded_as_a_whole(model, monkeypatch):
+    """However the windows of a stretch are dealt to blocks, it has the tags of one pass over all of it."""
     rng = random.Random(3)
     text = " ".join(f"{pii.card(rng)}, +44 20 7946 {rng.randint(1000, 9999)}" for _ in range(400))
-    k = pii.grid(pii.classes(text))
-    assert len(k) > 2 * pii.LONGEST
-    assert sum(b - a for a, b, _, _ in pii.stretches(k)) == len(k) + len(pii.stretches(k)) - 1
-    whole = pii.spans_of(model.viterbi(pii.reconciled(model.emissions(pii.padded(pii.classes(text))[k]))[None])[0], int(k[0]) * pii.STRIDE, len(text))
-    assert len(set(pii.tagged([text], model)[0]) ^ set(whole)) <= 2
+    x = pii.padded(pii.classes(text))[pii.grid(pii.classes(text))]
+    want = pii.spans_of(model.viterbi(pii.reconciled(model.emissions(x))[None])[0], 0, len(text))
+    assert len(x) > 400 and len(want) > 700
+    for batch in (1, 7, 100, len(x) - 1, len(x), 10_000):
+        monkeypatch.setattr(pii, "BATCH", batch)
+        assert pii.tagged(["7", text, ""], model)[1] == want
     assert pii.tagged(["", "no hints", "7", "@" * 300], model)[:2] == [[], []]
+
+
+def test_likeliest_tags_by_enumeration():
+    """Viterbi, the marginals and the pair counts of the CRF against all tag sequences of a short row."""
+    rng = np.random.default_rng(4)
+    m = pii.Tagger()
+    m.p["trans"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    e = rng.standard_normal((2, 4, pii.TAGS)).astype(np.float32)
+    step, p, pairs = m._steps().astype(float), np.zeros(e.shape), np.zeros((pii.TAGS, pii.TAGS))
+    for r in range(2):
+        scores = {}
+        for tags in itertools.product(range(pii.TAGS), repeat=4):
+            if tags[0] % 2 == 1 or tags[0] == 0:
+                scores[tags] = sum(float(e[r, i, t]) for i, t in enumerate(tags)) + sum(step[a, b] for a, b in zip(tags, tags[1:]))
+        top = max(scores.values())
+        z = sum(np.exp(v - top) for v in scores.values())
+        for tags, v in scores.items():
+            w = np.exp(v - top) / z
+            p[r, np.arange(4), tags] += w
+            np.add.at(pairs, (tags[:-1], tags[1:]), w)
+        assert m.viterbi(e)[r].tolist() == list(max(scores, key=scores.get))
+        assert m.likeliest(iter([e[r, :1], e[r, 1:3], e[r, 3:]])).tolist() == m.viterbi(e)[r].tolist()
+    got, got_pairs = m._marginals(e)
+    assert np.allclose(got, p, atol=1e-5) and np.allclose(got_pairs, pairs, atol=1e-5)
+
+
+def test_gradients_by_differences():
+    """Back propagation through the LSTMs and the CRF against differences of the likelihood, in doubles."""
+    rng = np.random.default_rng(8)
+    m = pii.Tagger()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, y = rng.integers(0, pii.CLASSES, (3, 6)), np.array([[0, 1, 2, 0, 3, 4], [5, 6, 6, 0, 0, 7], [0, 0, 0, 1, 1, 2]])
+
+    def loss():
+        e, step = m.emissions(x).astype(float), m._steps().astype(float)
+        fw = e[:, 0] + np.where(np.arange(pii.TAGS) % 2 + (np.arange(pii.TAGS) == 0), 0, -1e4)
+        for i in range(1, 6):
+            fw = np.logaddexp.reduce(fw[:, :, None] + step, axis=1) + e[:, i]
+        gold = e[np.arange(3)[:, None], np.arange(6), y].sum(axis=1) + step[y[:, :-1], y[:, 1:]].sum(axis=1)
+        return float((np.logaddexp.reduce(fw, axis=1) - gold).mean())
+
+    g = m._gradients(x, y)
+    for name in m.p:
+        flat, size = m.p[name].reshape(-1), 1e-2
+        for i in rng.choice(len(flat), 12, replace=False) if len(flat) > 12 else range(len(flat)):
+            old = flat[i]
+            flat[i] = old + size
+            up = loss()
+            flat[i] = old - size
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * size) - np.asarray(g[name]).reshape(-1)[i]) < 3e-3, (name, i)
