@@ -5,7 +5,8 @@ a mixture: each of its words was drawn from one of its languages, with a likelih
 expectation-maximisation estimates the proportions. The language set is chosen by penalised likelihood: a further language must
 raise the log likelihood by more than PENALTY plus half the logarithm of the number of words.
 
-Training counts come from at most about TRAIN_ROWS labelled rows, a fixed share by hash of doc_id (a documented bound).
+Training counts come from at most about TRAIN_ROWS labelled rows, a fixed share by hash of doc_id and text (a documented bound; rows that are alike in both
+are in or out together).
 
 Defined cases: a text that is null or has no letter is `und`, with score 0; ties go to the language first in
 alphabetical order; with no training rows all is `und`; null or equal doc_ids are rows of their own.
@@ -71,8 +72,11 @@ def fitted(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarr
     """Languages, and log probabilities (bucket x language): a table of fixed size."""
     train = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = train.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(max(1, -(-n // most)))) == 0
+    # By id and text, so that rows of one id are not in or out together; only where all rows are alike can the share be empty, and then all serve.
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(max(1, -(-n // most)))) == 0
     got = counts(train.where(share).select("lang", "text")).toPandas()
+    if n and not len(got):
+        got = counts(train.select("lang", "text")).toPandas()
     langs = sorted(got["lang"].unique())
     table = np.ones((BUCKETS, len(langs)))
     for i, lang in enumerate(langs):
