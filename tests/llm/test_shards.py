@@ -44,14 +44,15 @@ def test_shards_equal_brute_force(spark):
     got = slots.sharded(docs, 16, map_path=path).collect()
     assert sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.slot, r.grown_shard) for r in got) == sorted(brute(data, 16))
     assert all(r.law == "key" and r.grown_shard in (r.shard, 16) for r in got)
-    assert slots.latest(spark, path) == (17, slots.grown(slots.slot_map(16), 16))
+    assert slots.versions(spark, path) == [(1, 16, True), (2, 17, False)] and slots.latest(spark, path) == (1, slots.slot_map(16))
+    assert slots.shards_of(spark, path, 2) == slots.grown(slots.slot_map(16), 16)
 
 
 def test_rebalancing_reads_edits_and_stores(spark):
     data = rows(500, 3) + [(9, "x" * 3000)] * 40
     docs = spark.createDataFrame(data, "doc_id long, text string")
     path = slots.map_folder(spark)
-    slots.store_map(slots.map_frame(spark, {1: slots.slot_map(4)}), path)
+    slots.store_map(slots.map_frame(spark, 1, slots.slot_map(4)), path)
     load = lambda: [sum(r.size for r in slots.assigned(docs, path).collect() if r.shard == k) for k in range(6)]
     before = load()
     assert slots.rebalance(docs, path) == 2
@@ -65,6 +66,40 @@ def test_rebalancing_reads_edits_and_stores(spark):
     moved = {r.doc_id for r in slots.assigned(docs, path, 2).collect()}  # an older version can still be read
     assert moved == {d for d, _ in data}
     with pytest.raises(Exception):
-        slots.store_map(slots.map_frame(spark, {3: old}), path)
+        slots.store_map(slots.map_frame(spark, 3, old), path)
     empty = docs.where("false")
     assert slots.assigned(empty, path).count() == 0 and slots.rebalance(empty, path) == 3
+
+
+def test_shards_by_a_map_that_was_rebalanced(spark):
+    """Sharded, rebalanced, sharded again, grown by a shard and sharded again, on one folder; what is stored is read back and not made anew."""
+    data = rows(400, 7) + [(9, "x" * 3000)] * 40
+    docs, path = spark.createDataFrame(data, "doc_id long, text string"), slots.map_folder(spark)
+
+    def placed(n):
+        got = slots.sharded(docs, n, map_path=path).collect()
+        of, at = {}, {}
+        for r in got:
+            of[r.vslot] = r.shard
+            at.setdefault(r.shard, []).append(r.slot)
+            assert r.grown_shard in (r.shard, n)
+        assert all(sorted(x) == list(range(len(x))) for x in at.values())
+        load = [sum(r.size for r in got if r.shard == k) for k in range(n)]
+        return of, load, {r.law for r in got}
+
+    first, load, law = placed(4)
+    assert law == {"key"} and slots.versions(spark, path) == [(1, 4, True), (2, 5, False)]
+    assert placed(4) == (first, load, law) and len(slots.versions(spark, path)) == 2
+    assert slots.rebalance(docs, path) == 3
+    second, even, law = placed(4)
+    assert law == {"map"} and sum(even) == sum(load) and max(even) - min(even) < max(load) - min(load)
+    held = {r.vslot: r.n_bytes for r in slots.slot_bytes(docs).collect()}
+    want = slots.rebalanced(slots.slot_map(4), [held.get(i, 0) for i in range(slots.SLOTS)], 4)
+    assert all(want[v] == s for v, s in second.items())
+    assert slots.versions(spark, path) == [(1, 4, True), (2, 5, False), (3, 4, True), (4, 5, False)]
+    with pytest.raises(ValueError, match="rebalance it first"):
+        slots.sharded(docs, 5, map_path=path)
+    assert slots.rebalance(docs, path, 5) == 5
+    third, wider, _ = placed(5)
+    assert min(wider) > 0 and all(third[v] in (s, 4) or max(even) > 0 for v, s in second.items())
+    assert slots.versions(spark, path)[4:] == [(5, 5, True), (6, 6, False)]
