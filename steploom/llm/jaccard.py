@@ -20,6 +20,7 @@ so equal short texts are linked and others are not; equal doc_ids are rows of th
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 import numpy as np
@@ -291,9 +292,14 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows count one by one: repeated rows and null doc_ids are copies as any others. Between rows of one doc_id a hash of all columns decides, then
     the row's place.
     """
-    # Written once, so that a row has one key in both reads.
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    classes = linked(keyed.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), "class_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row")
-    kept = keyed.select("_row", order.alias("order")).join(classes, "_row").groupBy("class_id").agg(F.min("order")["_row"].alias("_row"))
-    return keyed.join(kept, "_row", "left_semi").drop("_row")
+    # Written once, so that a row has one key in both reads. The key's name is no other column's.
+    key = "row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    classes = linked(keyed.select(F.col(key).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias(key), "class_id")
+    # Spark hashes no maps and no variants; as JSON they can be told apart as well.
+    told = [F.to_json(F.struct(f"`{c}`")) if re.search("map<|variant", kind) else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*told), key)
+    kept = keyed.select(key, order.alias("order")).join(classes, key).groupBy("class_id").agg(F.min("order")[key].alias(key))
+    return keyed.join(kept, key, "left_semi").drop(key)

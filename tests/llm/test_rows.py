@@ -46,3 +46,70 @@ def test_links_of_rows_without_an_id(spark):
     got = jaccard.linked(docs)
     assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == sorted((d, n) for d, _, n in want)
     assert sum(n > 0 for _, _, n in want) > 100
+
+
+def test_one_row_of_each_class_with_columns_of_any_name_and_kind(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, i, {"a": i}, f"k{i}", 2.5, i) for i in range(3)] + [(2, "other words", 9, None, None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int, m map<string,int>, Row string, `a.b` double, order int").selectExpr("*", "parse_json('[1]') AS v")
+    got = jaccard.one_of_each(docs.repartition(2))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+    one = next(r for r in kept if r.doc_id == 1)
+    assert one._row == one.m["a"] == one.order and one.Row == f"k{one._row}" and one["a.b"] == 2.5
+
+
+def test_languages_where_labelled_rows_share_an_id(spark):
+    from steploom.llm.common import held_out
+
+    words = {"aa": "mala pola tora", "bb": "zuk brin wex"}
+    rows = [(1, f"{words[k]} {words[k].split()[i % 3]} {i}", k) for i in range(150) for k in words]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert docs.where(held_out()).count() == 0
+    langs, table = langid.fitted(docs, 100)
+    assert langs == ["aa", "bb"] and (table.max(axis=0) > table.min(axis=0)).all()
+    n = langid.counts(docs.select("lang", "text")).agg({"n": "sum"}).first()[0]
+    some = np.exp(table)  # with one added to each bucket, the least share is 1 in (all words + buckets)
+    assert (1 / some.min(axis=0) - langid.BUCKETS).sum() < 0.7 * n
+    same = spark.createDataFrame([(1, "mala pola", "aa")] * 300, "doc_id long, text string, lang string")
+    assert langid.fitted(same, 10)[0] == ["aa"]
+
+
+def plain_mixture(like):
+    """One text's proportions, word by word: like (words x languages) are log likelihoods."""
+    n, langs = like.shape
+    p = [[float(np.exp(x)) for x in row] for row in like]
+
+    def em(pi):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * langs
+            for row in p:
+                whole = sum(a * b for a, b in zip(row, pi))
+                for j in range(langs):
+                    new[j] += row[j] * pi[j] / whole / n
+            pi = new
+        return pi
+
+    sums = [sum(float(x) for x in like[:, j]) for j in range(langs)]
+    best = max(range(langs), key=lambda j: sums[j])
+    out, kept = [float(j == best) for j in range(langs)], sums[best]
+    full = em([1 / langs] * langs)
+    order = sorted(range(langs), key=lambda j: -full[j])
+    for k in range(2, langs + 1):
+        start = [full[j] + 1e-6 if j in order[:k] else 0.0 for j in range(langs)]
+        pi = em([x / sum(start) for x in start])
+        gain = sum(np.log(sum(a * b for a, b in zip(row, pi))) for row in p) - (k - 1) * (langid.PENALTY + 0.5 * np.log(max(n, 2)))
+        if gain > kept:
+            out, kept = pi, gain
+    return out
+
+
+def test_mixtures_by_a_plain_loop():
+    """EM and the choice of languages, of random texts side by side, against each text worked out alone by plain arithmetic."""
+    rng = np.random.default_rng(11)
+    sizes = rng.integers(1, 40, 60)
+    likes = [rng.normal(-8, 3, (n, 4)).astype(np.float32) for n in sizes]
+    got = langid.mixtures(np.concatenate(likes), sizes)
+    for like, row in zip(likes, got):
+        assert np.allclose(row, plain_mixture(like), atol=1e-4)
