@@ -11,8 +11,11 @@ no test item and no personal data (and stays null), and has no tokens.
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steploom.llm import bpe, decontam, fm, jaccard, pii
 from steploom.llm.common import documents, finished, stored
@@ -49,10 +52,30 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 ORACLE_SQL = None
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the files of the tables that the stages read: their paths, sizes and times."""
+    said = []
+    for table in ("documents", "labels", "benchmark"):
+        try:
+            files = spark.read.parquet(f"{sf_dir}/{table}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        # Summed where the files are, so that their number does not matter.
+        said.append((table, *files.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()))
+    return str(said)
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """All stages over the documents. With a folder, each stage is written there under its name, and a run that failed goes on after the stages it had finished."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents. With a folder, each stage is written there, and a run that failed goes on after the stages it had finished.
+
+    A stage's folder is named by a digest of the files of the input and of the stages up to it, so a run over other input, or with other stages, takes
+    none of what an earlier one left there. What it no longer needs stays until it is deleted.
+    """
+    docs, digest = documents(spark, sf_dir), folder and state_of(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES[:-1]):
-        path = folder and f"{folder}/{i}-{name}"
+        digest = digest and hashlib.sha256(f"{digest} {name} {stage.__module__}.{stage.__qualname__}".encode()).hexdigest()
+        path = digest and f"{folder}/{i}-{name}-{digest[:16]}"
         docs = spark.read.parquet(path) if path and finished(spark, path) else stored(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
