@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import calculator, stats, text
 from ..operators import judging, picks, ranks
 from ..sources import writers
+from ..streaming import limiter, runs
 from .base import query
 from .statistics import wilson
 
@@ -256,12 +257,15 @@ def set7_unmatched_union(t):
     return t.labels.where("quality is null").select("doc_id").union(none).distinct()
 
 
-@query("""SELECT user_id AS client, max(epoch_us(ts)) >= (SELECT max(epoch_us(ts)) FROM events) - 172800000000 AS live FROM events GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, t, [t] AS live, true AS admitted FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t, CASE WHEN len(list_filter(r.live, lambda x: e.t - x < 172800)) < 3 THEN list_append(list_filter(r.live, lambda x: e.t - x < 172800), e.t) ELSE list_filter(r.live, lambda x: e.t - x < 172800) END, len(list_filter(r.live, lambda x: e.t - x < 172800)) < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id AS client, count(*) AS n_live, min(t) AS first_live FROM r WHERE admitted AND t + 172800 > (SELECT max(t) FROM e) GROUP BY 1""")
 def stm4_expired(t):
-    """Clients whose last hit is young enough for their state to be kept; age decides, not emptiness."""
-    now = t.events.agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("now"))  # one row
-    last = t.events.groupBy(c("user_id").alias("client")).agg(F.unix_micros(F.max("ts").cast("timestamp")).alias("at"))
-    return last.crossJoin(F.broadcast(now)).select("client", (c("at") >= c("now") - 172_800_000_000).alias("live"))
+    """Whose state is kept at the time of the last event, and how much: admitted hits that can still count. Age decides, not emptiness."""
+    decided = runs.limited(t.events, "user_id", "ts", 3, 172800)
+    now = decided.agg(F.max("t").alias("now"))  # one row
+    kept = limiter.live_after(decided.crossJoin(F.broadcast(now)), 172800, c("now"))
+    return kept.groupBy("client").agg(F.count("*").alias("n_live"), F.min("t").alias("first_live"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'retired' ELSE 'items' END AS pool FROM part WHERE p_partkey % 3 = 0""")

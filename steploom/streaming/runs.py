@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .limiter import admissions, with_state_store
 
 STAGES = ["accepted", "generating", "segmenting", "classifying", "assembling"]
 
@@ -47,39 +47,9 @@ def limited(hits: DataFrame, client: str, at: str, limit: int, seconds: int) ->
 
 
 def limited_stream(hits: DataFrame, limit: int, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """hits (client, at) as a stream: client, at, admitted, by event time alone.
-
-    A hit is decided once the watermark has reached it, so hits up to `late` out of order are judged in order, in whatever batches
-    they come; later ones are dropped, as Spark does with late rows. State is the admitted times still live and the hits that wait; it goes when the
-    watermark has passed the last live one by `seconds`, so an idle time between batches forgets nothing.
-    """
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        live, waiting = (list(x) for x in state.get) if state.exists else ([], [])
-        if not state.hasTimedOut:
-            for pdf in batches:
-                waiting += pdf["us"].tolist()
-        mark, out = 1000 * (state.getCurrentWatermarkMs() - 1), []
-        waiting.sort()
-        while waiting and waiting[0] <= mark:
-            t = waiting.pop(0)
-            live = [x for x in live if t - x < seconds * 1_000_000]
-            out.append((t, len(live) < limit))
-            if out[-1][1]:
-                live.append(t)
-        if waiting or (live and mark < live[-1] + seconds * 1_000_000):
-            state.update((live, waiting))
-            # A timeout fires once the watermark is beyond it.
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, -(-(waiting[0] if waiting else live[-1] + seconds * 1_000_000) // 1000)))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"client": [key[0]] * len(out), "us": [t for t, _ in out], "admitted": [ok for _, ok in out]})
-
-    # Spark drops rows that are not after the watermark. Counted one millisecond later, the hits that can still come are those after `mark`, exactly.
-    seen = (F.col("at").cast("timestamp") + F.expr("INTERVAL 1 MILLISECOND")).alias("seen")
-    rows = hits.where("at is not null").select("client", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), seen).withWatermark("seen", late)
-    out = rows.groupBy("client").applyInPandasWithState(fold, "client string, us long, admitted boolean", "live array<long>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.select("client", F.timestamp_micros("us").alias("at"), "admitted")
+    """The same rule over a stream of hits (client, at), by `limiter.admissions`; sets the state store that it needs."""
+    with_state_store(hits.sparkSession)
+    return admissions(hits, limit, seconds, late)
 
 
 def replayed(events: DataFrame) -> DataFrame:
