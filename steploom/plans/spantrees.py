@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import joins, traces
 from ..sources import writers
-from ..streaming import runs
+from ..streaming import frames, runs
 from .base import query
 
 
@@ -118,6 +118,17 @@ def snk1_canonical(t):
     return t.conversations.select("conv_id", "turn", writers.canonical("turn", "role", "conv_id").alias("line"))
 
 
+@query("""WITH e AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn >= 3 THEN 'assembling' ELSE role END AS stage, CASE WHEN length(text) < 40 THEN 'failed' ELSE 'ok' END AS status FROM conversations),
+m AS (SELECT *, CASE WHEN status = 'failed' THEN 'failed' WHEN stage = 'assembling' THEN 'done' END AS fin, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM e),
+k AS (SELECT *, count(fin) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM m)
+SELECT conv_id AS run_id, turn AS seq, 'progress' AS kind, stage, status FROM k WHERE place = turn AND ended = 0 UNION ALL SELECT conv_id, turn + 1, 'end', NULL, fin FROM k WHERE place = turn AND ended = 0 AND fin IS NOT NULL""")
+def stm1_frames(t):
+    """What a subscriber of each run sees, though each event is logged twice: all from the first on, and the end last."""
+    stage = F.when((F.col("role") == "assistant") & (F.col("turn") >= 3), frames.LAST_STAGE).otherwise(F.col("role"))
+    e = t.conversations.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), stage.alias("stage"), F.when(F.length("text") < 40, "failed").otherwise("ok").alias("status"), F.lit("d").alias("detail"), F.lit(0.0).alias("at"))
+    return frames.framed(e.unionByName(e.withColumn("at", F.lit(1.0)))).select("run_id", "seq", "kind", "stage", "status")
+
+
 @query("""SELECT conv_id AS run_id, turn AS seq, role AS stage FROM conversations""")
 def stm2_replay(t):
     """Every event once, though each is logged twice."""
