@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, record_batch, shuffle_partitions, stored
+from .common import column, record_batch, shuffle_partitions, slices, stored
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 7, 25, 20
-#: Code points of a piece, and of the pieces that go to one statement.
+#: Code points of a piece, and bytes of the texts that go to one statement, about.
 PIECE, AT_ONCE = 500_000, 500_000
 #: Documents whose counts are weighed at once.
 WEIGHED = 256
@@ -134,19 +134,16 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             return record_batch(SPILLED, [doc], [words], [some.tolist()], [total[some].tolist()], [None])
 
         for batch in batches:
-            ids, some, size = [], [], 0
-            for doc, text in zip(column(batch, "doc_id"), column(batch, "text")):
-                if text and len(text) > PIECE:
-                    yield long_text(doc, text)
-                    continue
-                ids.append(doc)
-                some.append(text or "")
-                size += len(some[-1])
-                if size >= AT_ONCE:
+            for part in slices(batch, "text", AT_ONCE):
+                ids, some = [], []
+                for doc, text in zip(column(part, "doc_id"), column(part, "text")):
+                    if text and len(text) > PIECE:
+                        yield long_text(doc, text)
+                    else:
+                        ids.append(doc)
+                        some.append(text or "")
+                if ids:
                     yield batch_of(ids, list(range(len(ids))), some, [None] * len(ids))
-                    ids, some, size = [], [], 0
-            if ids:
-                yield batch_of(ids, list(range(len(ids))), some, [None] * len(ids))
         con.close()
         yield record_batch(SPILLED, [None], [None], [None], [None], [sums.tolist()])
 
