@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import calculator, stats, text
+from ..functions import calculator, schema, stats, text
 from ..operators import judging, picks, ranks
 from ..sources import writers
 from ..streaming import limiter, runs
@@ -201,6 +201,56 @@ def jsn3_validation(t):
     return t.events.select("event_id", row.alias("r")).select("event_id", F.array_join(judging.row_errors(c("r")), ",").alias("faults"))
 
 
+#: What an event's record has to be; the faults are those of the events themselves.
+EVENT_SCHEMA = {
+    "type": "object", "required": ["id", "kind", "props"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 0}, "kind": {"enum": ["click", "view", "purchase"]}, "value": {"type": "number", "maximum": 200}, "props": {"$ref": "#/$defs/props"},
+        "tags": {"type": "array", "maxItems": 2, "items": {"type": "string", "pattern": "^(u1|[a-z]+$)"}}, "count": {"type": ["integer", "null"]},
+    },
+    "if": {"properties": {"kind": {"const": "error"}}}, "then": {"required": ["detail"], "properties": {"value": {"maximum": 50}}}, "else": {"required": ["value"]},
+    "$defs": {"props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 10, "exclusiveMaximum": 95}}}},
+}
+
+
+@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)
+SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN value < 1 THEN '$.note:additionalProperties' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN '$.kind:enum' END, CASE WHEN value > 200 THEN '$.value:maximum' END,
+  CASE WHEN k < 10 THEN '$.props.k:minimum' END, CASE WHEN k >= 95 THEN '$.props.k:exclusiveMaximum' END, CASE WHEN NOT starts_with('u' || user_id, 'u1') THEN '$.tags[1]:pattern' END, CASE WHEN value <> floor(value) THEN '$.count:type' END,
+  CASE WHEN event_type = 'error' THEN '$.detail:required' END, CASE WHEN event_type = 'error' AND value > 50 THEN '$.value:maximum' END], lambda x: x IS NOT NULL)), ' ') AS faults FROM e""")
+def jsn3_schema(t):
+    """Records against a schema with a reference and a condition, each fault with its path."""
+    record = F.to_json(F.struct(
+        c("event_id").alias("id"), c("event_type").alias("kind"), "value", F.from_json("props", "k int").alias("props"), F.array("event_type", F.concat(F.lit("u"), "user_id")).alias("tags"), c("value").alias("count"),
+        F.when(c("value") < 1, "low").alias("note"),
+    ))
+    found = t.events.select("event_id", schema.faults_of_text(record, EVENT_SCHEMA).alias("f"))
+    return found.select("event_id", F.array_join(F.array_sort(F.transform("f", lambda x: F.concat_ws(":", x["path"], x["rule"]))), " ").alias("faults"))
+
+
+#: A report of a conversation: its arms are its turns.
+REPORT_SCHEMA = {
+    "type": "object", "required": ["version", "arms", "verdict"], "properties": {"version": {"const": "1.0"}, "arms": {"type": "array", "minItems": 2, "maxItems": 8, "items": {"$ref": "#/$defs/arm"}}, "verdict": {"type": ["string", "null"]}},
+    "$defs": {"arm": {
+        "type": "object", "required": ["strategy", "steps"], "properties": {"strategy": {"type": "string", "enum": ["user", "assistant"]}, "steps": {"$ref": "#/$defs/steps"}, "status": {"enum": ["ok", "failed"]}},
+        "if": {"properties": {"status": {"const": "failed"}}}, "then": {"required": ["degraded"]},
+    }, "steps": {"type": "integer", "minimum": 6, "maximum": 60}},
+}
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, role, length(text) // 8 AS steps, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id, '$.arms[' || i || '].strategy' AS path, 'enum' AS rule FROM a WHERE role NOT IN ('user', 'assistant')
+UNION ALL SELECT conv_id, '$.arms[' || i || '].steps', CASE WHEN steps < 6 THEN 'minimum' ELSE 'maximum' END FROM a WHERE steps < 6 OR steps > 60
+UNION ALL SELECT conv_id, '$.arms[' || i || '].degraded', 'required' FROM a WHERE steps < 10
+UNION ALL SELECT conv_id, '$.arms', CASE WHEN count(*) < 2 THEN 'minItems' ELSE 'maxItems' END FROM a GROUP BY 1 HAVING count(*) NOT BETWEEN 2 AND 8
+UNION ALL SELECT conv_id, '$.verdict', 'required' FROM a GROUP BY 1 HAVING bool_and(role <> 'system')""")
+def jsn3_reports(t):
+    """Built reports against the schema of a report: a row for each fault."""
+    arm = F.struct(c("role").alias("strategy"), F.floor(F.length("text") / 8).alias("steps"), F.when(F.length("text") < 80, "failed").otherwise("ok").alias("status"))
+    reports = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", arm.alias("arm")))), lambda x: x["arm"]).alias("arms"), F.bool_or(c("role") == "system").alias("system"))
+    text_of = F.to_json(F.struct(F.lit("1.0").alias("version"), "arms", F.when(c("system"), "judged").alias("verdict")))
+    return reports.select("conv_id", F.explode(schema.faults_of_text(text_of, REPORT_SCHEMA)).alias("f")).select("conv_id", "f.path", "f.rule")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_linenumber < 4 AS ok FROM lineitem""")
 def udf1_tool_dispatch(t):
     """A tool never raises: a bad expression gives an error and not a result."""
