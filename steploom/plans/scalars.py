@@ -105,6 +105,30 @@ def str24_contract(t):
     return t.events.groupBy("user_id").agg(table.alias("m")).select("user_id", text.tool_contract(F.lit("Looks up."), c("m")).alias("contract"))
 
 
+def _attempts(t):
+    """What a judge said of each turn, at first and after its repair, as the turn's own length has it: cut off, a step short, with a fault, or fine."""
+    n, step = F.length("text"), c("turn").cast("string")
+    fault = F.when(n % 11 == 0, "musing").otherwise("linear")
+    row = lambda behaviour: F.struct(step.alias("step_id"), behaviour.alias("behavior"), F.lit(0.9).alias("behavior_confidence"), F.lit("sound").alias("verdict"), F.lit(0.9).alias("validity_confidence"), c("text").alias("rationale"))
+    said = lambda behaviour: F.to_json(F.struct(F.array(row(behaviour)).alias("steps")))
+    first = F.when(n % 5 == 0, F.substring(said(fault), 1, 30)).when(n % 3 == 0, F.lit('{"steps": []}')).otherwise(said(fault))
+    second = F.when(n % 14 == 0, F.lit("sorry")).otherwise(F.concat(F.lit("```json\n"), said(F.lit("linear")), F.lit("\n```")))
+    both = F.array(F.struct(F.lit(0).alias("attempt"), first.alias("payload"), n.alias("tokens")), F.struct(F.lit(1).alias("attempt"), second.alias("payload"), (n * 2).alias("tokens")))
+    return t.conversations.select("conv_id", c("turn").alias("chunk"), F.array(step).alias("wanted"), F.explode(both).alias("a")).select("conv_id", "chunk", "wanted", "a.*")
+
+
+@query("""WITH a AS (SELECT conv_id, turn, length(text) AS n, n % 5 = 0 OR n % 3 = 0 OR n % 11 = 0 AS bad0, n % 14 = 0 AS bad1, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place, count(*) OVER (PARTITION BY conv_id) AS chunks FROM conversations),
+b AS (SELECT *, min(CASE WHEN bad0 AND bad1 THEN place END) OVER (PARTITION BY conv_id) AS failed FROM a),
+w AS (SELECT *, failed IS NULL AS kept, failed IS NULL OR place <= failed AS asked FROM b)
+SELECT conv_id, bool_and(kept) AS ok, count(*) AS chunks, CAST(sum(CASE WHEN NOT asked THEN 0 WHEN bad0 THEN 2 ELSE 1 END) AS BIGINT) AS calls, count(*) FILTER (asked AND bad0) AS repairs, count(*) FILTER (kept AND n > 200) AS truncations,
+  CAST(sum(CASE WHEN NOT kept THEN 0 WHEN bad0 THEN 2 * n ELSE n END) AS BIGINT) AS tokens, count(*) FILTER (kept) AS n_rows,
+  max(CASE WHEN place = failed THEN 'chunk ' || failed || '/' || chunks || ': ' || CASE WHEN n % 5 = 0 THEN 'no JSON object with steps' WHEN n % 3 = 0 THEN 'step_id mismatch: 1 missing, 0 unknown' ELSE turn || ': behavior' END END) AS detail
+FROM w GROUP BY conv_id""")
+def ext3_repaired(t):
+    """One repair of each rejected chunk, counters, and a trace voided as a whole where the repair fails too."""
+    return judging.classified(_attempts(t), ["conv_id"]).select("conv_id", "ok", "chunks", "calls", "repairs", "truncations", "tokens", "n_rows", "degraded.detail")
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'sound' WHEN 1 THEN 'sound' WHEN 2 THEN 'unsound' END AS label FROM events""")
 def str26_literal(t):
     said = F.when(c("event_id") % 4 == 0, "s").when(c("event_id") % 4 == 1, " Sound ").when(c("event_id") % 4 == 2, "U").otherwise("maybe")
