@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stats import proportion, ratio, truthy, wilson
@@ -78,30 +77,74 @@ def absent(df: DataFrame, truth: str, predicted: str, classes: list[str]) -> Col
     return F.array_except(F.array(*map(F.lit, classes)), seen)
 
 
+#: A rational approximation of the normal quantile, the middle and (of sqrt(-2 ln u)) the tails; 1e-9 is its error.
+_MIDDLE = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+_MIDDLE_BELOW = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+_TAIL = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+_TAIL_BELOW = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+#: Counts up to which a Poisson quantile is summed up term by term; beyond, an expansion that is off by less than one count serves.
+SUMMED = 10_000
+
+
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the first 32 bits of an MD5, so that any engine draws the same."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", *[x.cast("string") for x in parts])), 1, 8), 16, 10).cast("double")
+    return (h + 0.5) / 4294967296.0
+
+
+def normal_quantile(u: Column) -> Column:
+    def poly(coefficients: list[float], x: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for k in coefficients[1:]:
+            out = out * x + k
+        return out
+
+    side = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
+    tail = poly(_TAIL, side) / poly(_TAIL_BELOW, side)
+    middle = (u - 0.5) * poly(_MIDDLE, (u - 0.5) * (u - 0.5)) / poly(_MIDDLE_BELOW, (u - 0.5) * (u - 0.5))
+    return F.when(u < 0.02425, tail).when(u > 0.97575, -tail).otherwise(middle)
+
+
+def poisson_steps(n: Column) -> Column:
+    """struct(first, cdf) of a Poisson variable of mean n: its distribution function over all values that matter, from `first` on."""
+    wide = F.ceil(8 * F.sqrt(n.cast("double"))) + 10
+    first = F.greatest(n - wide, F.lit(0)).cast("long")
+    log_first = F.aggregate(F.when(first > 0, F.sequence(F.lit(1).cast("long"), first)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, k: s + F.log(k.cast("double")))
+    start = F.struct((first * F.log(n.cast("double")) - n - log_first).alias("p"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("cdf"))
+
+    def step(s, k):
+        p = F.when(k > first, s["p"] + F.log(n.cast("double")) - F.log(k.cast("double"))).otherwise(s["p"])
+        total = s["sum"] + F.exp(p)
+        return F.struct(p.alias("p"), total.alias("sum"), F.array_append(s["cdf"], total).alias("cdf"))
+
+    cdf = F.aggregate(F.sequence(first, (n + wide).cast("long")), start, step, lambda s: s["cdf"])
+    return F.struct(first.alias("first"), cdf.alias("cdf"))
+
+
+def resampled(cell: DataFrame, resamples: int, seed: int, keys: list[str] = ()) -> DataFrame:
+    """keys, rep, a, b, n: the cells of every resample. In one of a large number of rows each counts Poisson(1) times, so a cell counts Poisson(n)
+    times: the quantile of a hash of seed, resample and cell. Cells are drawn where they lie; neither rows nor other cells are needed."""
+    some = cell.where("n > 0").withColumn("steps", F.when(F.col("n") <= SUMMED, poisson_steps(F.col("n"))))
+    each = some.select(*keys, "a", "b", "n", "steps", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
+    each = each.withColumn("u", uniform(F.lit(seed), F.col("rep"), *[F.col(k) for k in keys], F.col("a"), F.col("b")))
+    z, n = normal_quantile(F.col("u")), F.col("n").cast("double")
+    beyond = F.greatest(F.round(n + z * F.sqrt(n) + (z * z - 1) / 6 - 0.5), F.lit(0.0)).cast("long")
+    drawn = F.when(F.col("steps").isNull(), beyond).otherwise(F.col("steps.first") + F.size(F.filter("steps.cdf", lambda x: x < F.col("u"))))
+    return each.select(*keys, "rep", "a", "b", drawn.alias("n"))
+
+
 def bootstrap_kappa(cell: DataFrame, resamples: int = 2000, seed: int = 20260930) -> DataFrame:
-    """value, n, low, high, defined, note. Kappa depends on the contingency table alone, so a resample is one multinomial draw of its
-    cells, whatever the number of rows. The interval is left out if fewer than half of the resamples are defined."""
-    total = cell.agg(F.sort_array(F.collect_list(F.struct("a", "b", "n"))).alias("cells")).withColumn("n", F.aggregate("cells", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
-
-    def draw(batches):
-        for pdf in batches:
-            for got, n in zip(pdf["cells"], pdf["n"]):
-                names = sorted({x for c in got for x in (c["a"], c["b"])})
-                at = {x: i for i, x in enumerate(names)}
-                p = np.zeros((len(names), len(names)))
-                for c in got:
-                    p[at[c["a"]], at[c["b"]]] += c["n"]
-                t = np.random.default_rng(seed).multinomial(n, (p / max(1, n)).ravel(), resamples).reshape(resamples, *p.shape) if n else np.zeros((0, 1, 1))
-                rows, cols = t.sum(2), t.sum(1)
-                ok = ~((rows == n) & (cols == n)).any(1)  # chance is 1 only where one class has all
-                po, pe = np.trace(t, axis1=1, axis2=2)[ok] / max(1, n), (rows[ok] / max(1, n) * (cols[ok] / max(1, n))).sum(1)
-                k = np.sort((po - pe) / (1 - pe))
-                m = len(k)
-                wide = m * 2 >= resamples and m > 0
-                yield pdf.head(1)[["n"]].assign(low=k[int(0.025 * m)] if wide else None, high=k[min(m - 1, int(0.975 * m))] if wide else None, defined=m, note="" if wide else "too few defined resamples")
-
-    bounds = total.mapInPandas(draw, "n long, low double, high double, defined long, note string")
-    return kappa_of(cell).select(F.col("kappa").alias("value")).crossJoin(bounds)
+    """value, n, low, high, defined, note. Kappa depends on the contingency table alone, so a resample draws counts for its cells, whatever the number
+    of rows. Undefined resamples are dropped and counted; the interval is left out if fewer than half are defined."""
+    drawn = kappa_of(resampled(cell, resamples, seed).where("n > 0"), ["rep"])
+    # One number for each resample.
+    every = drawn.agg(F.sort_array(F.collect_list("kappa")).alias("k"))
+    m = F.size("k")
+    wide = (m * 2 >= resamples) & (m > 0)
+    at = lambda share: F.when(wide, F.element_at("k", F.least(m, F.floor(share * m).cast("int") + 1)))
+    bounds = every.select(at(0.025).alias("low"), at(0.975).alias("high"), m.cast("long").alias("defined"), F.when(wide, "").otherwise("too few defined resamples").alias("note"))
+    total = cell.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return kappa_of(cell).select(F.col("kappa").alias("value")).crossJoin(total).crossJoin(bounds)  # one row each
 
 
 def by_group(df: DataFrame, keys: list[str], success: Column) -> DataFrame:

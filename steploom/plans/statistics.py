@@ -51,7 +51,19 @@ def agg15_kappa_by_group(t):
     return A.kappa_of(A.cells(d, "quality", "toxic", ["source"]), ["source"]).select("source", F.col("total").alias("n"), "kappa")
 
 
-@query(None)
+@query("""WITH cells AS (SELECT quality::VARCHAR AS a, toxic::VARCHAR AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL),
+steps AS (SELECT a, b, n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY a, b ORDER BY k) AS upto FROM (SELECT *, unnest(range(greatest(n - CAST(ceil(8 * sqrt(n)) AS BIGINT) - 10, 0), n + CAST(ceil(8 * sqrt(n)) AS BIGINT) + 11)) AS k FROM cells)),
+lists AS (SELECT a, b, min(k) AS first, list(upto ORDER BY k) AS cdf FROM steps GROUP BY a, b),
+draws AS (SELECT rep, a, b, md5('20260930:' || rep || ':' || a || ':' || b) AS h FROM lists, range(1, 2001) r(rep)),
+us AS (SELECT rep, a, b, (list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', h[i]) - 1 AS BIGINT)), lambda x, y: 16 * x + y) + 0.5) / 4294967296.0 AS u FROM draws),
+counts AS (SELECT rep, a, b, first + len(list_filter(cdf, lambda x: x < u)) AS m FROM us JOIN lists USING (a, b)),
+every AS (SELECT rep, a, b, m FROM counts UNION ALL SELECT 0, a, b, n FROM cells),
+tables AS (SELECT rep, sum(m) AS t, sum(m) FILTER (a = b) AS hits FROM every GROUP BY rep),
+sides AS (SELECT rep, c, sum(na) AS na, sum(nb) AS nb FROM (SELECT rep, a AS c, m AS na, 0 AS nb FROM every UNION ALL SELECT rep, b, 0, m FROM every) GROUP BY rep, c),
+chance AS (SELECT rep, sum(na * nb) AS s FROM sides GROUP BY rep),
+kappas AS (SELECT rep, CASE WHEN s <> t * t THEN (coalesce(hits, 0) / t::DOUBLE - s / (t * t)::DOUBLE) / (1 - s / (t * t)::DOUBLE) END AS kappa FROM tables JOIN chance USING (rep)),
+sorted AS (SELECT list(kappa ORDER BY kappa) AS k FROM kappas WHERE rep > 0 AND kappa IS NOT NULL)
+SELECT (SELECT kappa FROM kappas WHERE rep = 0) AS value, (SELECT CAST(sum(n) AS BIGINT) FROM cells) AS n, k[1 + CAST(floor(0.025 * len(k)) AS BIGINT)] AS low, k[least(len(k), 1 + CAST(floor(0.975 * len(k)) AS BIGINT))] AS high, len(k) AS defined, '' AS note FROM sorted""")
 def agg13_bootstrap_kappa(t):
     return A.bootstrap_kappa(A.cells(t.labels, "quality", "toxic"))
 
