@@ -34,9 +34,23 @@ def chunks(df: DataFrame, size: int, ordinal: str = "ordinal") -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col(ordinal) / size).cast("int"))
 
 
-def context(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """preceding: all texts before each row."""
-    return df.withColumn("preceding", F.collect_list(text).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)))
+def running(df: DataFrame, keys: list[str], order: list[str], text: str, size: int, gap: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+    """What comes before each chunk of `size` texts, by reference: (wholes, parts).
+
+    wholes: keys and whole, the group's texts joined by `gap`, once for each group. parts: a row for each chunk, with keys, chunk, n, start and stop
+    (of its own texts in whole, in characters); what precedes it is whole up to start. So the bytes are those of the texts, however many chunks there are.
+    NULL and empty texts take no room.
+    """
+    marked = chunks(ordinals(offsets(df, keys, order, text, len(gap)), keys, order), size)
+    wholes = marked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.length(text) > 0, F.struct("ordinal", F.col(text).alias("t"))))), lambda x: x["t"]), gap).alias("whole"))
+    parts = marked.groupBy(*keys, "chunk").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max(F.when(F.length(text) > 0, F.col("start") + F.length(text))).alias("stop"))
+    return wholes, parts.withColumn("stop", F.coalesce("stop", "start"))
+
+
+def preceding(parts: DataFrame, wholes: DataFrame, keys: list[str], gap: str = "\n\n") -> DataFrame:
+    """parts with preceding: the texts before each chunk, spelled out. For chunks that are rendered now; of all chunks of a group it is quadratic in its length."""
+    text = F.when(F.col("start") > 0, F.substring("whole", 1, F.greatest(F.col("start") - len(gap), F.lit(0)).cast("int"))).otherwise("")
+    return with_totals(parts, wholes, keys).withColumn("preceding", text).drop("whole")
 
 
 def with_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,9 +26,25 @@ def win5_ordinals_offsets(t):
     return picks.chunks(picks.offsets(c, ["conv_id"], ["turn"], "text"), 3).select("conv_id", "turn", F.col("ordinal").cast("long").alias("ordinal"), "start", "chunk")
 
 
-@query("""SELECT conv_id, turn, coalesce(string_agg(text, ' | ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS preceding FROM conversations""")
+@query("""WITH c AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations),
+s AS (SELECT conv_id, chunk, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS own, sum(length(text) + 2) AS room FROM c GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(room) OVER (PARTITION BY conv_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
+SELECT conv_id, CAST(chunk AS INTEGER) AS chunk, n, CAST(start AS BIGINT) AS start, CAST(start + length(own) AS BIGINT) AS stop, own FROM o""")
 def win9_context(t):
-    return picks.context(t.conversations, ["conv_id"], ["turn"], "text").select("conv_id", "turn", F.array_join("preceding", " | ").alias("preceding"))
+    """Each chunk of three turns with the range of its own text; what precedes it is the conversation's one text up to there."""
+    wholes, parts = picks.running(t.conversations, ["conv_id"], ["turn"], "text", 3)
+    both = picks.with_totals(parts, wholes, ["conv_id"])
+    return both.select("conv_id", "chunk", "n", "start", "stop", F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("own"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS chunk FROM conversations),
+l AS (SELECT *, max(chunk) OVER (PARTITION BY conv_id) AS last FROM c)
+SELECT conv_id, CAST(last AS INTEGER) AS chunk, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (chunk < last), '') AS preceding FROM l GROUP BY ALL""")
+def win9_rendered(t):
+    """The context spelled out, for the chunk of each conversation that is asked about next."""
+    wholes, parts = picks.running(t.conversations, ["conv_id"], ["turn"], "text", 3)
+    last = parts.groupBy("conv_id").agg(F.max(F.struct("chunk", "start", "stop")).alias("p")).select("conv_id", "p.*")
+    return picks.preceding(last, wholes, ["conv_id"]).select("conv_id", "chunk", "preceding")
 
 
 @query("""SELECT user_id, event_id, rank, n, n > 8 AS capped FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'view')::INT, value, event_id) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rank <= 8""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import agreement as A, ranks, reports
+from ..operators import agreement as A, postings, ranks, reports
 from .base import query
 
 WILSON = "(({s} / {n}::DOUBLE + 1.959963984540054 * 1.959963984540054 / (2 * {n})) {sign} 1.959963984540054 * sqrt(({s} / {n}::DOUBLE) * (1 - {s} / {n}::DOUBLE) / {n} + 1.959963984540054 * 1.959963984540054 / (4.0 * {n} * {n}))) / (1 + 1.959963984540054 * 1.959963984540054 / {n})"
@@ -138,9 +138,14 @@ def agg29_tag_index(t):
     return t.documents.groupBy(F.col("source").alias("tag")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("""SELECT role AS tag, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT DISTINCT role, conv_id FROM conversations) GROUP BY 1""")
+@query("""WITH p AS (SELECT tag, id, (row_number() OVER (PARTITION BY tag ORDER BY id) - 1) // 16 AS block FROM (SELECT DISTINCT role AS tag, conv_id AS id FROM conversations))
+SELECT tag, block, min(id) AS first, CAST(count(*) AS INTEGER) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM p GROUP BY tag, block""")
 def agg30_ids_by_tag(t):
-    return t.conversations.select("role", "conv_id").distinct().groupBy(F.col("role").alias("tag")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    """The conversations of each role, in blocks; a role that most of them have is in many."""
+    blocks = postings.posted(t.conversations, "role", "conv_id", 16)
+    ids = postings.listed(blocks).select(F.col("tag").alias("t"), F.col("block").alias("b"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    both = blocks.join(ids, F.col("tag").eqNullSafe(F.col("t")) & (F.col("block") == F.col("b")))
+    return both.select("tag", "block", "first", "n", "ids")
 
 
 @query("""SELECT event_type AS cue, user_id % 4 AS regime, count(*) AS n, count(*) FILTER (value > 40) AS flips, count(*) FILTER (value > 40 AND event_id % 3 <> 0) AS silent, count(*) FILTER (value > 40) / count(*)::DOUBLE AS flip_rate FROM events GROUP BY ALL""")

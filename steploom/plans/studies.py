@@ -139,9 +139,11 @@ def jon16_price_lookup(t):
     return j.select("o_orderkey", reports.cost(F.lit(100), F.col("o_orderkey") % 50, F.col("pi"), F.col("po"), F.col("model").isNotNull()).alias("usd"))
 
 
-@query("""SELECT user_id, event_type, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = e.user_id) GROUP BY ALL""")
+@query("""SELECT user_id, event_type, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = e.user_id AND b.event_type = e.event_type AND b.value < 0.5) GROUP BY ALL""")
 def jon18_without_baseline(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).join(t.orders.select(F.col("o_custkey").alias("user_id")).distinct(), "user_id", "left_anti")
+    """Trials (kinds of events of a user) none of which is a baseline (of next to no value)."""
+    baseline = t.events.where("value < 0.5").select("user_id", "event_type").distinct()
+    return t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")).join(baseline, ["user_id", "event_type"], "left_anti")
 
 
 @query("""SELECT user_id, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (value > 20 AND event_type <> 'click' AND NOT ok), '') AS collateral FROM (SELECT e.*, event_type IN (SELECT event_type FROM events b WHERE b.user_id = e.user_id AND b.value < 0.5) AS ok FROM events e) GROUP BY 1""")
@@ -232,9 +234,10 @@ def agg42_inventory(t):
     return audits.inventory(spans, "event_type", "a").select("attribute", F.array_join("spans", ",").alias("spans"))
 
 
-@query("""SELECT * FROM (VALUES ('open', 'CONFIRMED'), ('buy', 'CORRECTED'), ('thought', 'ABSENT')) v(concept, state)""")
+@query("""SELECT concept, CASE WHEN EXISTS (SELECT 1 FROM events WHERE event_type = expected) THEN 'CONFIRMED' WHEN EXISTS (SELECT 1 FROM events WHERE event_type GLOB pattern) THEN 'CORRECTED' ELSE 'ABSENT' END AS state
+FROM (VALUES ('open', 'view', 'vi*'), ('buy', 'bought', 'purch*'), ('thought', 'reasoning', '*reason*'), ('enter', 'login', 'sign?p')) v(concept, expected, pattern)""")
 def agg43_contract_delta(t):
-    contract = t.spark.createDataFrame([("open", "view", "^vi.*$"), ("buy", "bought", text.glob("purch*")), ("thought", "reasoning", text.glob("*reason*"))], "concept string, expected string, pattern string")
+    contract = t.spark.createDataFrame([("open", "view", text.glob("vi*")), ("buy", "bought", text.glob("purch*")), ("thought", "reasoning", text.glob("*reason*")), ("enter", "login", text.glob("sign?p"))], "concept string, expected string, pattern string")
     return audits.contract_delta(contract, t.events.select("event_type").distinct(), "event_type")
 
 
