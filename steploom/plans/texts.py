@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import calculator, segmenter, text
+from ..functions import calculator, segmenter, tables, text
 from ..operators.layout import spread
 from .base import query
 
@@ -88,7 +88,81 @@ def mth6_cost(t):
     return e.select("user_id", "event_id", reports.cost(F.col("value"), F.lit(2), F.lit(3.0), F.lit(15.0), F.lit(True)).alias("usd"))
 
 
-@query(None)
+#: White space as the segmenter sees it.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The segmenter rule by rule: places of code, mathematics, blank lines and sentence ends from the lengths of what stands between them; paragraphs, cuts at
+#: markers, short pieces joined, long ranges halved again and again. @SOURCE has doc_id and text.
+_STEPS = r"""
+WITH RECURSIVE norm AS (
+  SELECT doc_id, regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '</?think>', '', 'g'), '^@W+|@W+$', '', 'g') AS t FROM @SOURCE
+), found AS (
+  SELECT doc_id, 'code' AS kind, regexp_extract_all(t, '(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)') AS ms, regexp_split_to_array(t, '(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)') AS ps FROM norm
+  UNION ALL SELECT doc_id, 'maths', regexp_extract_all(t, '(?s)\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$'), regexp_split_to_array(t, '(?s)\\\[.*?\\\]|\\\(.*?\\\)|\$\$.*?\$\$') FROM norm
+  UNION ALL SELECT doc_id, 'blank', regexp_extract_all(t, '\n[ \t]*\n@W*'), regexp_split_to_array(t, '\n[ \t]*\n@W*') FROM norm
+  UNION ALL SELECT doc_id, 'stop', regexp_extract_all(t, '[.!?]+@W+'), regexp_split_to_array(t, '[.!?]+@W+') FROM norm
+  UNION ALL SELECT doc_id, 'line', regexp_extract_all(t, '\n'), regexp_split_to_array(t, '\n') FROM norm
+), parts AS (
+  SELECT doc_id, kind, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, unnest(range(len(ms))) AS k FROM found WHERE len(ms) > 0
+), spans AS (
+  SELECT doc_id, kind, CAST(sum(length(p)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS a, CAST(sum(length(p)) OVER w + sum(length(m)) OVER w AS BIGINT) AS b FROM parts WINDOW w AS (PARTITION BY doc_id, kind ORDER BY k)
+), code AS (
+  SELECT * FROM spans WHERE kind = 'code'
+), shields AS (
+  SELECT doc_id, a, b FROM code UNION ALL SELECT doc_id, a, b FROM spans s WHERE kind = 'maths' AND NOT EXISTS (SELECT 1 FROM code c WHERE c.doc_id = s.doc_id AND c.a < s.a AND s.a < c.b)
+), open AS (
+  SELECT * FROM spans s WHERE kind IN ('blank', 'stop', 'line') AND NOT EXISTS (SELECT 1 FROM shields c WHERE c.doc_id = s.doc_id AND c.a < s.a AND s.a < c.b)
+), lists AS (
+  SELECT doc_id, t, coalesce(list({'a': a, 'b': b} ORDER BY a) FILTER (kind <> 'blank'), []) AS starts, coalesce(list({'a': a, 'b': b} ORDER BY a) FILTER (kind = 'blank'), []) AS blanks FROM norm LEFT JOIN open USING (doc_id) GROUP BY doc_id, t
+), rough AS (
+  SELECT doc_id, t, starts, unnest(list_prepend(CAST(0 AS BIGINT), list_transform(blanks, lambda x: x.b))) AS a, unnest(list_append(list_transform(blanks, lambda x: x.a), length(t))) AS b FROM lists
+), paragraphs AS (
+  SELECT doc_id, t, starts, a + length(s) - length(regexp_replace(s, '^@W+', '')) AS a, b - length(s) + length(regexp_replace(s, '@W+$', '')) AS b FROM (SELECT *, substr(t, a + 1, b - a) AS s FROM rough) WHERE regexp_replace(s, '^@W+', '') <> ''
+), cuts AS (
+  SELECT doc_id, t, starts, a, b, list_sort(list_distinct(list_append(list_append(list_filter(list_transform(list_filter(starts, lambda x: x.a >= paragraphs.a AND x.b < paragraphs.b), lambda x: x.b), lambda s: s > paragraphs.a AND regexp_matches(substr(t, s + 1), '^(?:(?:Wait|Hmm|Actually|Alternatively|However|Let me|Let''s|First|Second|Next|Then|Therefore|Thus|Check|Verify|Now|Instead|Hold on|Recall)(?:[^\p{L}\p{N}_]|\z)|But |So |@W*(?:\p{Nd}+[.)]|[-*]|Step \p{Nd}+))')), a), b))) AS cs FROM paragraphs
+), between AS (
+  SELECT doc_id, t, starts, unnest(cs[1:len(cs) - 1]) AS a, unnest(cs[2:]) AS b FROM cuts
+), pieces AS (
+  SELECT doc_id, t, starts, a + length(s) - length(regexp_replace(s, '^@W+', '')) AS a, b - length(s) + length(regexp_replace(s, '@W+$', '')) AS b, len(list_filter(regexp_split_to_array(s, '@W+'), lambda x: x <> '')) AS n
+  FROM (SELECT *, substr(t, a + 1, b - a) AS s FROM between) WHERE regexp_replace(s, '^@W+', '') <> ''
+), sums AS (
+  SELECT *, sum(n) OVER w AS upto FROM pieces WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), opened AS (
+  SELECT *, coalesce(lag(upto) OVER (PARTITION BY doc_id ORDER BY a), 0) >= 10 AND n >= 10 AS opens FROM sums
+), grouped AS (
+  SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY a) AS g FROM opened
+), halves AS (
+  SELECT doc_id, any_value(t) AS t, any_value(starts) AS starts, min(a) AS a, max(b) AS b FROM grouped GROUP BY doc_id, g
+  UNION ALL SELECT doc_id, t, starts, x.a, x.b FROM (
+    SELECT doc_id, t, starts, unnest([{'a': a, 'b': a + length(regexp_replace(substr(t, a + 1, cut - a), '@W+$', ''))}, {'a': b - length(regexp_replace(substr(t, cut + 1, b - cut), '^@W+', '')), 'b': b}]) AS x FROM (
+      SELECT *, list_sort(list_transform(list_filter(starts, lambda x: x.a >= halves.a AND x.b < halves.b AND x.b > halves.a), lambda x: {'d': abs(2 * x.b - halves.a - halves.b), 's': x.b}))[1].s AS cut
+      FROM halves WHERE len(list_filter(regexp_split_to_array(substr(t, a + 1, b - a), '@W+'), lambda x: x <> '')) > 138
+    ) WHERE cut IS NOT NULL)
+), leaves AS (
+  SELECT * FROM halves WHERE len(list_filter(regexp_split_to_array(substr(t, a + 1, b - a), '@W+'), lambda x: x <> '')) <= 138 OR len(list_filter(starts, lambda x: x.a >= halves.a AND x.b < halves.b AND x.b > halves.a)) = 0
+)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS ordinal, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", substr(t, a + 1, b - a) AS text FROM leaves
+"""
+
+
+def _steps_of(source: str) -> str:
+    return _STEPS.replace("@W", _SPACE).replace("@SOURCE", source)
+
+
+@query(_steps_of("documents"))
 def seg_steps(t):
     """Steps of every document, as reasoning text."""
     return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(segmenter.segments(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.text")
+
+
+@query(_steps_of("documents"))
+def udf4_lateral(t):
+    """The steps of every document by a table function, called from SQL for each row."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT d.doc_id, s.* FROM {docs} d, LATERAL text_steps(d.text) s", docs=spread(t.documents.select("doc_id", "text")))
+
+
+@query(_steps_of("(SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)").replace("SELECT doc_id, CAST(row_number()", "SELECT doc_id AS conv_id, CAST(row_number()"))
+def udf4_traces(t):
+    """The steps of every conversation as one text, by a table function of its turns, partitioned and in order."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT key AS conv_id, ordinal, start, `end`, text FROM trace_steps(TABLE(SELECT conv_id AS key, turn, text FROM {turns}) PARTITION BY key ORDER BY turn)", turns=t.conversations)
