@@ -23,7 +23,7 @@ def steps_of(text):
 
 
 def test_segmenter_equals_its_statement_in_sql():
-    texts = [*texts_of(1, 300), None, "", " \n ", "```never closed. Wait", "$$ a $$ b", "one. two"]
+    texts = [*texts_of(1, 400), None, "", " \n ", "```never closed. Wait", "$$ a $$ b", "one. two"]
     con = duckdb.connect()
     con.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
     got = sorted(con.sql(registry.oracle_sql()["seg_steps"]).fetchall())
