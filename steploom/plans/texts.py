@@ -144,24 +144,24 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS IN
 """
 
 
-def _steps_of(source: str) -> str:
+def steps_of(source: str) -> str:
     return _STEPS.replace("@W", _SPACE).replace("@SOURCE", source)
 
 
-@query(_steps_of("documents"))
+@query(steps_of("documents"))
 def seg_steps(t):
     """Steps of every document, as reasoning text."""
     return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(segmenter.segments(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.text")
 
 
-@query(_steps_of("documents"))
+@query(steps_of("documents"))
 def udf4_lateral(t):
     """The steps of every document by a table function, called from SQL for each row."""
     tables.register(t.spark)
     return t.spark.sql("SELECT d.doc_id, s.* FROM {docs} d, LATERAL text_steps(d.text) s", docs=spread(t.documents.select("doc_id", "text")))
 
 
-@query(_steps_of("(SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)").replace("SELECT doc_id, CAST(row_number()", "SELECT doc_id AS conv_id, CAST(row_number()"))
+@query(steps_of("(SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)").replace("SELECT doc_id, CAST(row_number()", "SELECT doc_id AS conv_id, CAST(row_number()"))
 def udf4_traces(t):
     """The steps of every conversation as one text, by a table function of its turns, partitioned and in order."""
     tables.register(t.spark)

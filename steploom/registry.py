@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import decisions, ordering, scalars, spantrees, statistics, studies, texts  # noqa: F401  each registers its queries
+from .plans import decisions, files, ordering, scalars, spantrees, statistics, studies, texts  # noqa: F401  each registers its queries
 from .plans.base import QUERIES, SQL
 
 

@@ -19,6 +19,12 @@ def span_files(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("item_id", "strategy", F.posexplode_outer(listed).alias("pos", "span"))
 
 
+def span_lines(spark: SparkSession, path: str) -> DataFrame:
+    """item_id, strategy, pos, span: the trees that `writers.write_lines` has written, one a line."""
+    rows = spark.read.schema("item_id string, strategy string, spans array<variant>").json(path)
+    return rows.select("item_id", "strategy", F.posexplode_outer("spans").alias("pos", "span"))
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
     """The bank, one JSON document an item; answers as an array, with answer_is_list."""
     raw = spark.read.schema(ITEM).json(path, multiLine=True)

@@ -264,7 +264,7 @@ def swept(path: str, older: float = 86_400) -> int:
 
 
 def register(spark: SparkSession) -> None:
-    for kind in (RunLog, Ledger):
+    for kind in (RunLog, Ledger, Cassettes):
         spark.dataSource.register(kind)
 
 
@@ -363,3 +363,95 @@ def book(spend: DataFrame, path: str, tries: int = 5) -> int:
             if "Conflict" not in str(e) or not left:
                 raise
     raise AssertionError
+
+
+TAPE = "name string, digest string, payload string, kind string"
+
+
+class Cassettes(DataSource):
+    """Format `cassettes`, option `path`: recorded responses. A recording is one commit, whose manifest names its files and how many responses of each kind
+    they have; it is made over what was there before (option `version`), so of two recorders at a time one gets an error. Read, it is all recordings."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cassettes"
+
+    def schema(self) -> str:
+        return TAPE
+
+    def reader(self, schema) -> "TapeReader":
+        return TapeReader(folder_of(self.options))
+
+    def writer(self, schema, overwrite: bool) -> "TapeWriter":
+        return TapeWriter(folder_of(self.options), int(self.options["version"]))
+
+
+@dataclass
+class Tape(Parts):
+    kinds: dict
+
+
+class TapeReader(DataSourceReader):
+    def __init__(self, folder: str):
+        log = Log(folder)
+        self.parts = log.parts({}, log.following({}))
+
+    def partitions(self) -> list[Part]:
+        return self.parts or [Part("")]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        if partition.path:
+            with open(partition.path) as f:
+                for line in f:
+                    r = json.loads(line)
+                    yield r["name"], r["digest"], r["payload"], r["kind"]
+
+
+class TapeWriter(DataSourceWriter):
+    def __init__(self, folder: str, version: int):
+        self.folder, self.version = folder, version
+
+    def write(self, iterator: Iterator) -> Tape:
+        kinds: dict = {}
+
+        def counted() -> Iterator:
+            for row in iterator:
+                kinds[row["kind"]] = kinds.get(row["kind"], 0) + 1
+                yield row
+
+        part = write_part(self.folder, counted())
+        return Tape(part.files, part.rows, kinds)
+
+    def commit(self, messages: list) -> None:
+        total: dict = {}
+        for m in messages:
+            for kind, n in (m.kinds if m else {}).items():
+                total[kind] = total.get(kind, 0) + n
+        content = {"files": [name for m in messages if m for name in m.files], "rows": sum(total.values()), "kinds": total}
+        if not create(Log(self.folder).path("tapes", self.version), content):
+            drop_parts(self.folder, messages)
+            raise Conflict(f"recording {self.version + 1} has been made by someone else")
+
+    def abort(self, messages: list) -> None:
+        drop_parts(self.folder, messages)
+
+
+def tape(responses: DataFrame, path: str, analysis: list[str], version: int | None = None) -> int:
+    """Records responses (name, digest, payload) over a version (the last, if none is named), and returns the next; kinds by the first part of the name."""
+    register(responses.sparkSession)
+    at = Log(folder_of({"path": path})).following({}).get("tapes", 0) if version is None else version
+    kind = F.when(F.split_part("name", F.lit("."), F.lit(1)).isin(analysis), "analysis").otherwise("generation")
+    responses.select("name", "digest", "payload", kind.alias("kind")).write.format("cassettes").mode("append").option("path", path).option("version", at).save()
+    return at + 1
+
+
+def tapes(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded responses, with their kind."""
+    register(spark)
+    return spark.read.format("cassettes").option("path", path).load()
+
+
+def manifests(path: str) -> list[dict]:
+    """The manifests of all recordings, in order."""
+    log = Log(folder_of({"path": path}))
+    return [load(log.path("tapes", n)) for n in range(log.following({}).get("tapes", 0))]

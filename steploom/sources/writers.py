@@ -54,3 +54,9 @@ def manifest(responses: DataFrame, analysis: list[str]) -> DataFrame:
     """How many recorded responses are analyses (by the first part of their name) and how many generations."""
     kind = F.when(F.split_part("name", F.lit("."), F.lit(1)).isin(analysis), "analysis").otherwise("generation")
     return responses.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def write_arrays(docs: DataFrame, path: str, files: int, value: str = "value") -> None:
+    """JSON documents (one a row), as arrays in so many files at most: for readers of whole documents, where one file for each would be too many."""
+    parts = docs.where(F.col(value).isNotNull()).groupBy(F.pmod(F.xxhash64(value), F.lit(files)).alias("part")).agg(F.sort_array(F.collect_list(value)).alias("all"))
+    parts.select("part", F.concat(F.lit("["), F.array_join("all", ","), F.lit("]")).alias("value")).write.mode("overwrite").partitionBy("part").text(path)

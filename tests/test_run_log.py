@@ -148,3 +148,15 @@ def test_two_writers_of_a_ledger(spark, tmp_path):
     assert run_log.book(spend(("d1", 100.0)), path) == 3
     assert {r.day: r.spent for r in run_log.ledger(spark, path).collect()} == {"d1": 103.5, "d2": 5.0}
     assert {r.day: r.spent for r in run_log.ledger(spark, path, 1).collect()} == {"d1": 3.5, "d2": 4.0}
+
+
+def test_recordings_and_their_manifests(spark, tmp_path):
+    path = str(tmp_path / "tapes")
+    rows = lambda *names: spark.createDataFrame([(n, "d", f"said {n}") for n in names], "name string, digest string, payload string").repartition(2)
+    assert run_log.manifests(path) == []
+    assert run_log.tape(rows("classify.a", "gen.b", "classify.c"), path, ["classify"]) == 1
+    assert run_log.tape(rows("gen.d"), path, ["classify"]) == 2
+    with pytest.raises(Exception, match="Conflict"):
+        run_log.tape(rows("gen.e"), path, ["classify"], 1)
+    assert [(m["rows"], m["kinds"]) for m in run_log.manifests(path)] == [(3, {"analysis": 2, "generation": 1}), (1, {"generation": 1})]
+    assert sorted((r.name, r.kind, r.payload) for r in run_log.tapes(spark, path).collect()) == [("classify.a", "analysis", "said classify.a"), ("classify.c", "analysis", "said classify.c"), ("gen.b", "generation", "said gen.b"), ("gen.d", "generation", "said gen.d")]
