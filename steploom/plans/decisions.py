@@ -45,7 +45,8 @@ def flt16_17_flags(t):
 @query("""SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND count(*) FILTER (turn = 4) = 0 THEN 'underdetermined' WHEN conv_id % 3 = 0 THEN 'contradicts' ELSE 'supports' END AS verdict, conv_id % 3 = 0 AND count(*) FILTER (turn = 4) > 0 AS flagged FROM conversations GROUP BY 1""")
 def flt18_consistency(t):
     """A contradiction has to cite a step that the trace has."""
-    ids = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("turn").cast("int"))).alias("ids"))
+    # Of a trace's steps, only those that are cited are collected.
+    ids = t.conversations.groupBy("conv_id").agg(F.collect_set(F.when(F.col("turn") == 4, F.col("turn").cast("int"))).alias("ids"))
     c = judging.consistency(F.when(F.col("conv_id") % 3 == 0, "contradicts").otherwise("supports"), joins.cited(F.col("ids"), F.array(F.lit(4))))
     return ids.select("conv_id", c.alias("c")).select("conv_id", "c.verdict", "c.flagged")
 
@@ -55,8 +56,8 @@ FROM (SELECT conv_id, count(*) AS n_turns, CASE conv_id % 3 WHEN 0 THEN 'contrad
 def ext4_consistency(t):
     """Nothing is judged in a conversation of one turn, or where the check failed (no verdict)."""
     verdict = F.when(F.col("conv_id") % 3 == 0, "contradicts").when(F.col("conv_id") % 3 == 1, "follows")
-    per = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.collect_set("turn").alias("ids"))
-    got = judging.consistency_of(F.col("n_turns"), verdict, joins.cited(F.array(F.lit(3).cast("int")), F.transform("ids", lambda x: x.cast("int"))))
+    per = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.collect_set(F.when(F.col("turn") == 3, F.col("turn").cast("int"))).alias("ids"))
+    got = judging.consistency_of(F.col("n_turns"), verdict, joins.cited(F.array(F.lit(3).cast("int")), F.col("ids")))
     return per.select("conv_id", "n_turns", got.alias("c")).select("conv_id", "n_turns", "c.verdict", "c.flagged")
 
 
@@ -129,9 +130,8 @@ def flt34_35_pins(t):
 
 @query("""SELECT conv_id, count(*) FILTER (length(text) < 60) AS short, bool_or(role = 'system') AS has_system FROM conversations GROUP BY 1""")
 def flt40_41_filters(t):
-    """A tag filter, and arms of a nested array that meet a predicate."""
-    c = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("arms"))
-    return c.select("conv_id", F.size(F.filter("arms", lambda a: rules.yes(F.length(a["text"]) < 60))).cast("long").alias("short"), F.array_contains("arms.role", "system").alias("has_system"))
+    """A tag filter, and how many arms meet a predicate: counted, and not collected."""
+    return t.conversations.groupBy("conv_id").agg(F.count_if(rules.yes(F.length("text") < 60)).alias("short"), F.bool_or(F.col("role") == "system").alias("has_system"))
 
 
 @query("""SELECT gate, count(*) AS n FROM (SELECT coalesce(quality = 1, false) AS gate FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1""")
