@@ -85,15 +85,16 @@ def fitted(docs: DataFrame, most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarr
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def proportions(like: np.ndarray, at: np.ndarray, of: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """EM: like (word x language), at where each text's words begin, of the text of each word, start the first guess (text x language)."""
-    pi = start
-    n = np.diff(np.append(at, len(like)))[:, None]
+def proportions(like: np.ndarray, at: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """EM: like (word x language), at where each text's words begin, start the first guess (text x language)."""
+    # A row for each language: there are few, and sums along long rows are fast.
+    pi, like = np.ascontiguousarray(start.T), np.ascontiguousarray(like.T)
+    n, r = np.diff(np.append(at, like.shape[1])), np.empty(like.shape)
     for _ in range(rounds):
-        r = like * pi[of]
-        r /= r.sum(axis=1, keepdims=True)
-        pi = np.add.reduceat(r, at, axis=0) / n
-    return pi
+        np.multiply(like, np.repeat(pi, n, axis=1), out=r)
+        r /= r.sum(axis=0)
+        pi = np.add.reduceat(r, at, axis=1) / n
+    return pi.T
 
 
 def mixtures(log_like: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def mixtures(log_like: np.ndarray, words: np.ndarray) -> np.ndarray:
     n = words[open_]
     some, at2 = like[pick], np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
     of2 = np.repeat(np.arange(len(n)), n)
-    full = proportions(some, at2, of2, np.full((len(n), langs), 1 / langs))
+    full = proportions(some, at2, np.full((len(n), langs), 1 / langs))
     order = np.argsort(-full, axis=1, kind="stable")
     kept = score[open_]
     for k in range(2, langs + 1):
@@ -131,7 +132,7 @@ def mixtures(log_like: np.ndarray, words: np.ndarray) -> np.ndarray:
         allowed = np.zeros_like(full)
         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
         start = allowed * (full + 1e-6)
-        pi = proportions(some, at2, of2, start / start.sum(axis=1, keepdims=True))
+        pi = proportions(some, at2, start / start.sum(axis=1, keepdims=True))
         gain = base[open_] + np.add.reduceat(np.log((some * pi[of2]).sum(axis=1)), at2) - (k - 1) * cost[open_]
         better = gain > kept
         out[open_[better]] = pi[better]
