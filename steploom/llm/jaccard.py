@@ -3,7 +3,7 @@
 A document is the set of its SHINGLE-word shingles (words lie between ASCII white space, unchanged); two documents are linked if
 the Jaccard index of their sets is THRESHOLD or more.
 
-1. Each document gets a MinHash signature; documents with equal sets become one node with a count.
+1. Each document gets a MinHash signature; documents with equal sets (by 96 bits of hash) become one node with a count.
 2. Nodes that agree on a band of BAND values are candidates: at an index of 0.8 a pair misses all BANDS bands with a probability of 7e-6.
 3. Candidate pairs are compared a few MinHash values at a time, and dropped as soon as the posterior probability (uniform
    prior) of reaching the threshold falls below TOLERANCE. A pair is taken up in its first common band only.
@@ -11,7 +11,8 @@ the Jaccard index of their sets is THRESHOLD or more.
 5. Links are summed per node, and classes are the connected components of links, by label propagation with pointer jumping.
 
 Large buckets are cut into blocks of about TILE nodes, and each two blocks are a task's tile; a tile keeps its pairs as packed
-numbers and returns a row for each node (links, and a root in the tile), so no list of pairs is shuffled or expanded.
+numbers and returns a row for each node (links, and a root in the tile), so no list of pairs is shuffled or expanded. Pairs go to the
+verification in rows, and rows in groups, whose sets have a bounded number of bytes, so long texts need no more memory than short ones.
 
 Defined cases: a null or empty text is the empty sequence of words; a text of fewer than SHINGLE words has one shingle, all its words,
 so equal short texts are linked and others are not; equal doc_ids are rows of their own; null doc_ids count as the largest.
@@ -37,6 +38,8 @@ VALUES = BANDS * BAND
 TILE = 512
 #: Keys, of 16 bytes each, that are sent to all tasks at most.
 SENT = 100_000
+#: Bytes of shingle sets that a row of candidate pairs needs at most (unless one pair needs more), and a group of such rows about.
+ROOM, GROUP = 64_000_000, 16_000_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,19 +96,30 @@ def pruned(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float = TH
     return left
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
+def check_of(s: np.ndarray) -> int:
+    """32 bits more, which tell apart sets of one name."""
+    return int(np.bitwise_xor.reduce(mixed(s + np.uint64(0x5851F42D4C957F2D))) >> np.uint64(32))
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("size", pa.int64()), ("sig", pa.binary())])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, said (the text's hash), node, sig of every document."""
+    """doc_id, said (the text's hash), node, check, size (of the set) and sig of every document."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingles(t) for t in column(part, "text")]
-                yield record_batch(SIGNED, column(part, "doc_id"), column(part, "said"), [node_of(s) for s in sets], [signature(s).tobytes() for s in sets])
+                yield record_batch(SIGNED, column(part, "doc_id"), column(part, "said"), [node_of(s) for s in sets], [check_of(s) for s in sets], [len(s) for s in sets], [signature(s).tobytes() for s in sets])
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, said long, node long, check long, size long, sig binary")
+
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, said long, node long, sig binary")
+def told_apart(df: DataFrame, clashes: DataFrame) -> DataFrame:
+    """df (node, check, ...) with new names for the nodes that several sets share."""
+    other = df.join(clashes.withColumn("clash", F.lit(True)), "node", "left")
+    return other.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(*df.columns)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -134,7 +148,7 @@ def _candidates(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, VALUES)
     bands, keys, nodes = band_keys(sigs), pdf["key"].to_numpy().view(np.uint64), pdf["doc_id"].to_numpy()
     band = (bands == keys[:, None]).argmax(axis=1)
-    block, i, j = (pdf[c].to_numpy() for c in ("block", "i", "j"))
+    block, i, j, size = (pdf[c].to_numpy() for c in ("block", "i", "j", "size"))
     at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
     out, held, n = [], [], 0
 
@@ -152,9 +166,10 @@ def _candidates(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         a, b = a[left], b[left]
         cuts = np.flatnonzero(np.diff(keys[a], prepend=~keys[a[:1]]) != 0) if len(a) else []
         for x, y in zip(cuts, [*cuts[1:], len(a)]):
-            used, back = np.unique(np.concatenate([a[x:y], b[x:y]]), return_inverse=True)
-            pairs = back.astype(np.uint16).reshape(2, -1)
-            out.append((int(mixed(keys[a[x : x + 1]] + np.uint64(i[a[x]] * 65599 + j[a[x]] + 7))[0].view(np.int64)), nodes[used].tolist(), pairs.tobytes()))
+            for n_part, (c, d) in enumerate(fitting(a[x:y], b[x:y], size)):
+                used, back = np.unique(np.concatenate([c, d]), return_inverse=True)
+                pairs = back.astype(np.uint16).reshape(2, -1)
+                out.append((int(mixed(keys[a[x : x + 1]] + np.uint64(i[a[x]] * 65599 + j[a[x]] + 7 + n_part * 7919))[0].view(np.int64)), nodes[used].tolist(), pairs.tobytes(), 8 * int(size[used].sum())))
         held, n = [], 0
 
     for x, y in zip(at, [*at[1:], len(keys)]):
@@ -168,7 +183,20 @@ def _candidates(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if n > 500_000:
             flush()
     flush()
-    return pd.DataFrame(out, columns=["vid", "nodes", "pairs"])
+    return pd.DataFrame(out, columns=["vid", "nodes", "pairs", "bytes"])
+
+
+def fitting(a: np.ndarray, b: np.ndarray, size: np.ndarray):
+    """The pairs (a, b) in parts whose nodes' sets fit in ROOM together; size is of each node's set."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if len(a) == 1 or 8 * size[np.unique(np.concatenate([a, b]))].sum() <= ROOM:
+            yield a, b
+            continue
+        by = a if a.min() < a.max() else b
+        low = by < (by.min() + by.max() + 1) // 2
+        todo += [(a[low], b[low]), (a[~low], b[~low])]
 
 
 def _verified(sets: pd.DataFrame, tiles: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -233,7 +261,12 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     rows = stored(signed(docs), "signed")
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "said")).alias("of"), F.count("*").alias("m"), F.first("sig").alias("sig")).select("node", "of.rep", "of.said", "m", "sig"), "nodes")
+    sets = rows.groupBy("node", "check").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "said")).alias("of"), F.count("*").alias("m"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    nodes = stored(sets.select("node", "check", "of.rep", "of.said", "m", "size", "sig"), "nodes")
+    clashes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    if not clashes.isEmpty():  # next to never: names have 64 bits
+        clashes = stored(clashes, "clashes")
+        rows, nodes = stored(told_apart(rows, clashes), "signed"), stored(told_apart(nodes, clashes), "nodes")
 
     def keys_of(part):
         keys = band_keys(np.frombuffer(b"".join(column(part, "sig")), np.uint16).reshape(-1, VALUES)).ravel()
@@ -255,12 +288,13 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # Small buckets share a task's group; each tile of a large one is a group of its own.
         .withColumn("group", F.when(t == 1, F.pmod("key", spread)).otherwise(F.xxhash64("key", "i", "j")))
         .drop("n")
-        .join(nodes.select(F.col("node").alias("doc_id"), "sig"), "doc_id")
+        .join(nodes.select(F.col("node").alias("doc_id"), "size", "sig"), "doc_id")
     )
-    found = stored(tiles.groupBy("group").applyInPandas(lambda pdf: _candidates(pdf, threshold), "vid long, nodes array<long>, pairs binary"), "candidates")
+    found = stored(tiles.groupBy("group").applyInPandas(lambda pdf: _candidates(pdf, threshold), "vid long, nodes array<long>, pairs binary, bytes long"), "candidates")
 
-    spread = F.lit(max(4 * parts, found.agg(F.sum(F.size("nodes"))).first()[0] or 0) // 1500 + 4 * parts)
-    found = found.withColumn("group", F.pmod("vid", spread))
+    # So many groups that each has about GROUP bytes of sets, however long the texts are.
+    spread = F.lit((found.agg(F.sum("bytes")).first()[0] or 0) // GROUP + 4 * parts)
+    found = found.drop("bytes").withColumn("group", F.pmod("vid", spread))
     needed = found.select("group", F.explode("nodes").alias("node")).distinct().join(nodes.select("node", "rep", "said", "m"), "node")
     by_text = needed.groupBy("rep", "said", "node", "m").agg(F.collect_set("group").alias("groups"))
     out = pa.schema([("node", pa.int64()), ("m", pa.int64()), ("set", pa.binary()), ("groups", pa.list_(pa.int64()))])

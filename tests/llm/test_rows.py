@@ -113,3 +113,31 @@ def test_mixtures_by_a_plain_loop():
     got = langid.mixtures(np.concatenate(likes), sizes)
     for like, row in zip(likes, got):
         assert np.allclose(row, plain_mixture(like), atol=1e-4)
+
+
+def test_pairs_in_parts_of_bounded_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = np.triu_indices(40, 1)
+    size = rng.integers(1, 2000, 50)
+    size[7] = 100_000
+    monkeypatch.setattr(jaccard, "ROOM", 8 * 9000)
+    parts = list(jaccard.fitting(a, b, size))
+    assert sorted((x, y) for c, d in parts for x, y in zip(c.tolist(), d.tolist())) == list(zip(a.tolist(), b.tolist()))
+    assert all(len(c) == 1 or size[np.unique(np.concatenate([c, d]))].sum() <= 9000 for c, d in parts) and len(parts) > 20
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 5, 1), (2, 5, 2), (3, 5, 1), (4, 6, 1)], "doc_id long, node long, check long")
+    got = {r.doc_id: r.node for r in jaccard.told_apart(rows, rows.where("node = 5").select("node").distinct()).collect()}
+    assert got[1] == got[3] and len(set(got.values())) == 3 and got[4] == 6
+
+
+def test_near_copies_of_long_texts(spark):
+    """Texts of many sizes in one cluster; long ones are verified like short ones."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 10**9, 60_000)]
+    rows = [(i, " ".join(base[: 60_000 - 4000 * i])) for i in range(6)] + [(10 + i, " ".join(base[100:160] + [f"x{k}" for k in range(i)])) for i in range(12)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = {d: sum(len(s & o) >= 0.8 * len(s | o) for o in sets) - 1 for (d, _), s in zip(rows, sets)}
+    got = {r.doc_id: r.n_links for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) > 20
