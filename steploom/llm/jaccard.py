@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import column, integers, mixed, record_batch, rolled, shuffle_partitions, shared_dir, slices, stored, word_hashes
-from .rlz import LAST, repeated_keys
+from .rlz import BLOCK, LAST, repeated_keys
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND, TOLERANCE, STEP = 30, 5, 1e-7, 30
@@ -274,7 +274,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return keys, zero, np.repeat(integers(part, "doc_id"), BANDS), zero.astype(np.int64)
 
     total = nodes.count()
-    shared = stored(repeated_keys(nodes.select(F.col("node").alias("doc_id"), "sig"), keys_of, max(4 * parts, total * BANDS // 200_000), sized="sig").select("doc_id", "key"), "shared")
+    shared = stored(repeated_keys(nodes.select(F.col("node").alias("doc_id"), "sig"), keys_of, max(4 * parts, total * BANDS // 200_000), sized="sig", blocks=total * 2 * VALUES // BLOCK + 1).select("doc_id", "key"), "shared")
     # Only keys with more nodes than a tile need their count; they are few, and sent to all tasks where they are.
     large = stored(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE), "large")
     few = large.count() <= SENT

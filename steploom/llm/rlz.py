@@ -12,8 +12,9 @@ The index is exact and spread over all tasks. Listing every window of the corpus
 hold, so it is built in two steps. Each window has an anchor, the least hash of an ANCHOR-gram in it; equal windows have
 equal anchors. First, the anchors that occur in two documents are found; then only windows with such an anchor are
 indexed. Keys move in sorted blocks, one for each reference block (a batch of documents) and bucket; a block names a key once,
-with its first place, so a key that all documents share costs a bucket one entry for each block. Anchors are compared by
-hashes of 64 bits, windows by 96 bits, made of two hashes of each word.
+with its first place, so a key that all documents share costs one entry for each block. Of more than MERGED blocks, so many are
+merged first, and what is left of each merge is one entry a key again: no task sees a key more often than MERGED times, or once for
+each merge. Anchors are compared by hashes of 64 bits, windows by 96 bits, made of two hashes of each word.
 
 Words are runs of bytes other than ASCII white space, unchanged.
 
@@ -38,6 +39,8 @@ WINDOW, ANCHOR = 13, 6
 LAST = (1 << 63) - 1
 #: Keys that a bucket holds, about, and bytes of text in a reference block.
 BUCKET, BLOCK = 200_000, 1_000_000
+#: Blocks whose entries of a key meet at once, about.
+MERGED = 10_000
 #: Marks, in the place of a word, a text that is a copy as a whole.
 WHOLE = -1
 
@@ -164,12 +167,33 @@ def _found(pdf: pd.DataFrame, places: bool) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def repeated_keys(rows: DataFrame, keys_of, buckets: int, places: bool = False, sized: str | None = "text", block: int = BLOCK) -> DataFrame:
+def _merged(pdf: pd.DataFrame, places: bool, buckets: int) -> pd.DataFrame:
+    """Of some blocks: rows of BLOCKS again. Of each key its first entry, and the further ones as those of documents whose reference is known."""
+    own = pdf["many"].map(len) > 0
+    own, passed = pdf[own], pdf[~own]
+    if not len(own):
+        return passed
+    k, d = np.concatenate([np.cumsum(unplaned(x), dtype=np.uint64) for x in own["keys"]]), _read(own, "docs").view(np.int64)
+    zero = np.zeros(len(k), np.uint64)
+    c, at = (_read(own, "checks", 4), _read(own, "at", 4)) if places else (zero, zero)
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(y) // 8] for x, y in zip(own["many"], own["keys"])])
+    out = pd.DataFrame(blocks_of(k, c, d, at.astype(np.int64), buckets, places), columns=[f.name for f in BLOCKS])
+    # Keys that a block has more than once stay marked.
+    marked = np.unique(k[many > 0])
+    some = out["many"].map(len) > 0
+    for i in out.index[some]:
+        keys = np.cumsum(unplaned(out.at[i, "keys"]), dtype=np.uint64)
+        bits = np.unpackbits(np.frombuffer(out.at[i, "many"], np.uint8))[: len(keys)] | np.isin(keys, marked)
+        out.at[i, "many"] = np.packbits(bits).tobytes()
+    return pd.concat([out, passed[out.columns]])
+
+
+def repeated_keys(rows: DataFrame, keys_of, buckets: int, places: bool = False, sized: str | None = "text", block: int = BLOCK, *, blocks: int = 1, merged: int = MERGED) -> DataFrame:
     """doc_id, key: the keys of each document that another document has too; with places, doc_id, name, ref and ref_at: the first place of those that an earlier one has.
 
     keys_of gets a batch of rows, with about `block` bytes of column `sized`, and returns four arrays: keys, checks, documents and
     places. No row lists a group's members: a reference block sends a key once, and names the further documents that have it
-    in rows of their own, dealt evenly.
+    in rows of their own, dealt evenly. `blocks` is about how many blocks there are; above `merged`, they are merged in parts first.
     """
 
     def run(batches):
@@ -180,7 +204,14 @@ def repeated_keys(rows: DataFrame, keys_of, buckets: int, places: bool = False,
                     yield record_batch(BLOCKS, *zip(*blocks_of(*got, buckets, places)))
 
     out = "doc_id long, name long, ref long, ref_at int" if places else "doc_id long, key long"
-    return rows.mapInArrow(run, BLOCKS_DDL).groupBy("bucket").applyInPandas(lambda pdf: _found(pdf, places), out)
+    every = rows.mapInArrow(run, BLOCKS_DDL)
+    salts = -(-blocks // merged)
+    if salts > 1:
+        # A block's rows go to one part of all blocks, and there to as many groups as keep a group's size.
+        lot = F.pmod("bucket", F.lit(max(1, buckets // salts))) * salts + F.pmod(F.xxhash64("keys", "docs"), F.lit(salts))
+        names = [f.name for f in BLOCKS]
+        every = every.withColumn("lot", lot).groupBy("lot").applyInPandas(lambda pdf: _merged(pdf[names], places, buckets), BLOCKS_DDL)
+    return every.groupBy("bucket").applyInPandas(lambda pdf: _found(pdf, places), out)
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -195,7 +226,7 @@ def text_names(part: pa.RecordBatch) -> np.ndarray:
     return names(integers(part, "whole").view(np.uint64), integers(part, "check").view(np.uint64) >> np.uint64(32)).view(np.int64)
 
 
-def whole_copies(rows: DataFrame, buckets: int) -> DataFrame:
+def whole_copies(rows: DataFrame, buckets: int, blocks: int = 1) -> DataFrame:
     """doc_id, name, ref, ref_at (WHOLE), of rows with a doc_id: those whose text (by 96 bits of hash) an earlier document has; the name is the text's."""
 
     def keys_of(part):
@@ -204,11 +235,11 @@ def whole_copies(rows: DataFrame, buckets: int) -> DataFrame:
 
     # A text of WINDOW words has 2 * WINDOW - 1 bytes at least; shorter ones lose nothing.
     long_enough = rows.where(F.octet_length("text") >= 2 * WINDOW - 1)
-    found = repeated_keys(long_enough.select("doc_id", "whole", "check"), keys_of, buckets, True, None)
+    found = repeated_keys(long_enough.select("doc_id", "whole", "check"), keys_of, buckets, True, None, blocks=blocks)
     return found.select("doc_id", "name", "ref", F.lit(WHOLE).alias("ref_at"))
 
 
-def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int, blocks: int = 1) -> DataFrame:
     """doc_id, name, ref, ref_at, of rows with a doc_id: the first place of each window that starts in an earlier document too. Whole copies send no windows."""
 
     def anchor_keys(part):
@@ -220,7 +251,7 @@ def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFram
         zero = np.zeros(int(keep.sum()), np.uint64)
         return a[keep], zero, integers(part, "doc_id")[of[keep]], zero.astype(np.int64)
 
-    shared = repeated_keys(rows.select("doc_id", "text"), anchor_keys, buckets)
+    shared = repeated_keys(rows.select("doc_id", "text"), anchor_keys, buckets, blocks=blocks)
     none = F.lit(None).cast("long")
     marks = shared.select("doc_id", "key", none.alias("name")).unionByName(copies.select("doc_id", none.alias("key"), "name"))
     marks = marks.groupBy("doc_id").agg(F.collect_list("key").alias("shared"), F.collect_list("name").alias("copied"))
@@ -238,7 +269,7 @@ def copied_windows(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFram
         k, c = windows(h)
         return k[where], c[where], integers(part, "doc_id")[of], at
 
-    return repeated_keys(rows.join(marks, "doc_id"), window_keys, buckets, True)
+    return repeated_keys(rows.join(marks, "doc_id"), window_keys, buckets, True, blocks=blocks)
 
 
 def factors(hit: np.ndarray, ref: np.ndarray, ref_at: np.ndarray) -> np.ndarray:
@@ -261,10 +292,10 @@ def covered(found: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
-def bucket_count(docs: DataFrame, per_word: float = 0.5) -> int:
-    """So many buckets that each holds about BUCKET keys, from the bytes of all texts."""
+def sizes_of(docs: DataFrame, per_word: float = 0.5) -> tuple[int, int]:
+    """From the bytes of all texts: so many buckets that each holds about BUCKET keys, and about how many blocks there are."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    return max(int(total / 6 * per_word / BUCKET) + 1, 4 * shuffle_partitions(docs.sparkSession))
+    return max(int(total / 6 * per_word / BUCKET) + 1, 4 * shuffle_partitions(docs.sparkSession)), total // BLOCK + 1
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("factors", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string())])
@@ -287,11 +318,11 @@ def parsed(n: int, h: np.ndarray, whole: int, name: np.ndarray, ref: np.ndarray,
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, factors (start, length, source document, source word; lengths and places in words) and kept (the text that is left, its words joined by blanks)."""
-    rows, buckets = rows_of(docs), bucket_count(docs)
+    rows, (buckets, blocks) = rows_of(docs), sizes_of(docs)
     # Both joins of the texts are by doc_id over the same rows and columns, so they share one shuffle; rows without an id need none.
     known, others = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    copies = stored(whole_copies(known, buckets), "copies")
-    places = copied_windows(known, copies, buckets).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("name", "ref", "ref_at")).alias("found"))
+    copies = stored(whole_copies(known, buckets, blocks), "copies")
+    places = copied_windows(known, copies, buckets, blocks).unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("name", "ref", "ref_at")).alias("found"))
 
     def run(batches):
         for batch in batches:
