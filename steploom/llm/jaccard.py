@@ -39,7 +39,7 @@ TILE = 512
 #: Keys, of 16 bytes each, that are sent to all tasks at most.
 SENT = 100_000
 #: Bytes of shingle sets that a row of candidate pairs needs at most (unless one pair needs more), and a group of such rows about.
-ROOM, GROUP = 64_000_000, 16_000_000
+ROOM, GROUP = 12_000_000, 6_000_000
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
