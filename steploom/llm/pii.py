@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, record_batch, slices
+from .common import column, finished, record_batch, shared_dir, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -134,7 +134,7 @@ class Tagger:
             self.allowed[:, 2 + 2 * k] = False
             self.allowed[[1 + 2 * k, 2 + 2 * k], 2 + 2 * k] = True
 
-    def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+    def _run(self, x: np.ndarray, d: str) -> np.ndarray:
         n, t = x.shape
         h = np.zeros((n, HIDDEN), np.float32)
         c = np.zeros_like(h)
@@ -144,73 +144,87 @@ class Tagger:
             z = table[x[:, i]] + h @ self.p[f"wh{d}"]
             g = _sigmoid(z[:, : 3 * HIDDEN])
             a, f, o, u = g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
-            last_h, last_c = h, c
             c = f * c + a * u
-            s = np.tanh(c)
-            h = o * s
+            h = o * np.tanh(c)
             out[:, i] = h
-            if keep is not None:
-                keep.append((i, a, f, o, u, s, last_c, last_h))
         return out
 
-    def emissions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        keeps = [None, None] if keep is None else [keep.setdefault("f", []), keep.setdefault("b", [])]
-        h = np.concatenate([self._run(x, "f", keeps[0]), self._run(x, "b", keeps[1])], axis=2)
-        if keep is not None:
-            keep["h"] = h
-        return h @ self.p["out"] + self.p["outb"]
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2) @ self.p["out"] + self.p["outb"]
 
     def _steps(self) -> np.ndarray:
         return np.where(self.allowed, self.p["trans"], np.float32(-1e4))
 
     def _marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of tags, and summed over positions of pairs of tags, by forward-backward."""
+        """Of tags, and summed over positions of pairs of tags, by forward-backward; each position's weights are scaled to a sum of 1."""
         n, t, _ = e.shape
-        step = self._steps()
-        start = np.where(np.arange(TAGS) % 2 + (np.arange(TAGS) == 0), 0, -1e4)
-
-        def lse(x, axis):
-            m = x.max(axis=axis, keepdims=True)
-            return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-        fw = np.empty_like(e)
-        fw[:, 0] = e[:, 0] + start
-        for i in range(1, t):
-            fw[:, i] = lse(fw[:, i - 1][:, :, None] + step, 1) + e[:, i]
-        bw = np.zeros_like(e)
+        step = np.exp(self._steps().astype(np.float64))
+        w = np.exp(e - e.max(axis=2, keepdims=True), dtype=np.float64)
+        fw, bw, scale = np.empty_like(w), np.empty_like(w), np.empty((n, t, 1))
+        a = w[:, 0] * (np.arange(TAGS) % 2 + (np.arange(TAGS) == 0))
+        for i in range(t):
+            if i:
+                a = (fw[:, i - 1] @ step) * w[:, i]
+            scale[:, i] = a.sum(axis=1, keepdims=True)
+            fw[:, i] = a / scale[:, i]
+        w /= scale
+        bw[:, -1] = 1
         for i in range(t - 2, -1, -1):
-            bw[:, i] = lse(step + (e[:, i + 1] + bw[:, i + 1])[:, None, :], 2)
-        z = lse(fw[:, -1], 1)[:, None]
-        pairs = np.zeros((TAGS, TAGS))
-        for i in range(1, t):
-            pairs += np.exp(np.minimum(fw[:, i - 1][:, :, None] + step + (e[:, i] + bw[:, i])[:, None, :] - z[:, :, None], 0)).sum(axis=0)
-        return np.exp(np.minimum(fw + bw - z[:, :, None], 0)), pairs
+            bw[:, i] = (w[:, i + 1] * bw[:, i + 1]) @ step.T
+        pairs = step * (fw[:, :-1].reshape(-1, TAGS).T @ (w[:, 1:] * bw[:, 1:]).reshape(-1, TAGS))
+        return fw * bw, pairs
+
+    def _recurrent(self) -> dict[str, np.ndarray]:
+        """The weights of both directions, the forward one first."""
+        return {k: np.stack([self.p[f"{k}f"], self.p[f"{k}b"]]) for k in ("wx", "wh", "b")}
+
+    def _forward_both(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Both LSTMs side by side, the second from the end on: all that back propagation needs, by step."""
+        n, t = x.shape
+        q, xs = self._recurrent(), np.stack([x, x[:, ::-1]])
+        table = self.p["emb"] @ q["wx"] + q["b"][:, None, :]
+        z0 = np.stack([table[d][xs[d]] for d in (0, 1)])
+        gates = np.empty((t, 2, n, 4 * HIDDEN), z0.dtype)
+        hs, cs, ss = (np.zeros((t + 1, 2, n, HIDDEN), z0.dtype) for _ in range(3))
+        for i in range(t):
+            z = z0[:, :, i] + hs[i] @ q["wh"]
+            g = gates[i]
+            g[..., : 3 * HIDDEN] = _sigmoid(z[..., : 3 * HIDDEN])
+            g[..., 3 * HIDDEN :] = np.tanh(z[..., 3 * HIDDEN :])
+            cs[i + 1] = g[..., HIDDEN : 2 * HIDDEN] * cs[i] + g[..., :HIDDEN] * g[..., 3 * HIDDEN :]
+            ss[i + 1] = np.tanh(cs[i + 1])
+            hs[i + 1] = g[..., 2 * HIDDEN : 3 * HIDDEN] * ss[i + 1]
+        h = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], axis=2).transpose(1, 0, 2)
+        return {"xs": xs, "gates": gates, "hs": hs, "cs": cs, "ss": ss, "h": h} | q
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        keep: dict = {}
-        e = self.emissions(x, keep)
+        k = self._forward_both(x)
+        e = k["h"] @ self.p["out"] + self.p["outb"]
         p, pairs = self._marginals(e)
         n, t = x.shape
-        de = p.copy()
-        de[np.arange(n)[:, None], np.arange(t), y] -= 1
-        de = (de / n).astype(np.float32)
+        p[np.arange(n)[:, None], np.arange(t), y] -= 1
+        de = (p / n).astype(e.dtype)
         np.subtract.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        g = {"trans": np.where(self.allowed, pairs / n, 0), "out": np.einsum("nth,ntk->hk", keep["h"], de), "outb": de.sum(axis=(0, 1)), "emb": np.zeros_like(self.p["emb"])}
-        dh_all = de @ self.p["out"].T
-        for d, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            wx, wh = self.p[f"wx{d}"], self.p[f"wh{d}"]
-            g |= {f"wx{d}": np.zeros_like(wx), f"wh{d}": np.zeros_like(wh), f"b{d}": np.zeros_like(self.p[f"b{d}"])}
-            dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            for i, a, f, o, u, s, last_c, last_h in reversed(keep[d]):
-                dh = dh + dh_all[:, i, part]
-                dc = dc + dh * o * (1 - s * s)
-                dz = np.concatenate([dc * u * a * (1 - a), dc * last_c * f * (1 - f), dh * s * o * (1 - o), dc * a * (1 - u * u)], axis=1)
-                g[f"wh{d}"] += last_h.T @ dz
-                g[f"b{d}"] += dz.sum(axis=0)
-                emb = self.p["emb"][x[:, i]]
-                g[f"wx{d}"] += emb.T @ dz
-                np.add.at(g["emb"], x[:, i], dz @ wx.T)
-                dh, dc = dz @ wh.T, dc * f
+        g = {"trans": np.where(self.allowed, pairs / n, 0), "out": np.einsum("nth,ntk->hk", k["h"], de), "outb": de.sum(axis=(0, 1)), "emb": np.zeros_like(self.p["emb"])}
+        back = (de @ self.p["out"].T).transpose(1, 0, 2)
+        dhs = np.stack([back[:, :, :HIDDEN], back[::-1, :, HIDDEN:]], axis=1)
+        dz, dh, dc = np.empty_like(k["gates"]), np.zeros_like(k["hs"][0]), np.zeros_like(k["hs"][0])
+        wh = k["wh"].transpose(0, 2, 1)
+        for i in range(t - 1, -1, -1):
+            a, f, o, u = (k["gates"][i][..., j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
+            s, dh = k["ss"][i + 1], dh + dhs[i]
+            dc = dc + dh * o * (1 - s * s)
+            z = dz[i]
+            z[..., :HIDDEN], z[..., HIDDEN : 2 * HIDDEN] = dc * u * a * (1 - a), dc * k["cs"][i] * f * (1 - f)
+            z[..., 2 * HIDDEN : 3 * HIDDEN], z[..., 3 * HIDDEN :] = dh * s * o * (1 - o), dc * a * (1 - u * u)
+            dh, dc = z @ wh, dc * f
+        # What no later step waits for is summed over all steps at once.
+        for d, name in enumerate("fb"):
+            z, at = dz[:, d].reshape(-1, 4 * HIDDEN), k["xs"][d].T.ravel()
+            g[f"wx{name}"] = self.p["emb"][at].T @ z
+            g[f"wh{name}"] = k["hs"][:-1, d].reshape(-1, HIDDEN).T @ z
+            g[f"b{name}"] = z.sum(axis=0)
+            np.add.at(g["emb"], at, z @ k["wx"][d].T)
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.03, seed: int = 5) -> "Tagger":
@@ -483,7 +497,29 @@ def fitted(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Tagger:
     # The share is taken where the rows are, and repeated rows count once: only about 4 x sample texts at most leave the tasks, however many tasks there are.
     some = rows.where(F.pmod("h", F.when(F.col("hint"), every.get(True, 1)).otherwise(every.get(False, 1))) == 0).distinct().collect()
     texts = [r["text"] for r in sorted(some, key=lambda r: (not r["hint"], r["h"], r["text"]))]
-    return Tagger().fit(*training(texts))
+    # Whoever has fitted on these texts before has left the model where all can read it.
+    spark, said = docs.sparkSession, hashlib.sha256(repr((TRAIN_WINDOWS, EPOCHS, HIDDEN, EMBED, WINDOW)).encode())
+    for t in texts:
+        said.update(b"%d:" % len(t) + t.encode("utf-8", "surrogatepass"))
+    path = f"{shared_dir(spark)}/tagger-{said.hexdigest()[:32]}"
+    if finished(spark, path):
+        return loaded(spark, path)
+    model = Tagger().fit(*training(texts))
+    saved(spark, model, path)
+    return model
+
+
+def saved(spark, model: Tagger, path: str) -> None:
+    """A model as a table: a row for each array. What is there already stays."""
+    rows = [(k, list(a.shape), bytearray(np.ascontiguousarray(a, np.float32).tobytes())) for k, a in sorted(model.p.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("ignore").parquet(path)
+
+
+def loaded(spark, path: str) -> Tagger:
+    model = Tagger()
+    for r in spark.read.parquet(path).collect():  # a dozen rows
+        model.p[r["name"]] = np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]).copy()
+    return model
 
 
 def joined(spans) -> str:

@@ -161,3 +161,15 @@ def test_gradients_by_differences():
             down = loss()
             flat[i] = old
             assert abs((up - down) / (2 * size) - np.asarray(g[name]).reshape(-1)[i]) < 3e-3, (name, i)
+
+
+def test_a_fitted_model_is_stored_and_read_back(spark, monkeypatch, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice([CARRIER[0][:60], pii.written(rng)[1]]) for _ in range(8))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, f"{tmp_path} " * 20)], "doc_id long, text string")  # texts that no earlier run had
+    first = pii.fitted(docs)
+    monkeypatch.setattr(pii.Tagger, "fit", lambda *a: pytest.fail("fitted anew"))
+    again = pii.fitted(docs)
+    assert set(again.p) == set(first.p) and all(np.array_equal(first.p[k], again.p[k]) and again.p[k].dtype == np.float32 for k in first.p)
+    with pytest.raises(BaseException, match="fitted anew"):
+        pii.fitted(docs.where("doc_id < 30"))
