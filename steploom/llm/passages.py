@@ -84,27 +84,33 @@ class Block:
         self.copy = np.array([x in copies for x in zip(self.ids.tolist(), whole[order].tolist())], bool)
 
     def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Document (its number here), start, number of strings, and anchor, of runs of strings with one anchor; a piece of the block at a time."""
+        """Document (its number here), start, number of strings, and anchor, of runs of strings with one anchor; a piece of the block at a time.
+
+        A long text is cut into pieces of SLICE strings, which overlap by a string less a byte; a run that a cut meets is two.
+        """
         some, size = [], 0
         for i, t in enumerate(self.texts):
             if len(t) >= LENGTH and not self.copy[i]:
-                some.append(i)
-                size += len(t)
-                if size >= SLICE:
-                    yield self._runs(some)
-                    some, size = [], 0
+                for at in range(0, len(t) - LENGTH + 1, SLICE):
+                    stop = min(at + SLICE + LENGTH - 1, len(t))
+                    some.append((i, at, stop))
+                    size += stop - at
+                    if size >= SLICE:
+                        yield self._runs(some)
+                        some, size = [], 0
         if some:
             yield self._runs(some)
 
-    def _runs(self, some: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(self.texts[i]) for i in some], np.int64)
+    def _runs(self, some: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        docs, starts, stops = np.array(some, np.int64).T
+        sizes = stops - starts
         first = np.cumsum(sizes) - sizes
         at, of = ranges(first, first + sizes - LENGTH + 1)
-        key = anchors(np.frombuffer(b"".join([self.texts[i] for i in some]), np.uint8))[at]
+        key = anchors(np.frombuffer(b"".join([self.texts[i][a:b] for i, a, b in some]), np.uint8))[at]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
         begin = np.flatnonzero(new)
-        return np.array(some, np.int64)[of[begin]], at[begin] - first[of[begin]], np.diff(np.append(begin, len(key))), key[begin]
+        return docs[of[begin]], starts[of[begin]] + at[begin] - first[of[begin]], np.diff(np.append(begin, len(key))), key[begin]
 
 
 ANCHORS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])

@@ -65,7 +65,7 @@ def test_rounds_without_spark(monkeypatch, hot):
     """All rounds by hand over several blocks, with every anchor hot, some, and none."""
     monkeypatch.setattr(passages, "HOT", hot)
     monkeypatch.setattr(passages, "SALTS", 2)
-    monkeypatch.setattr(passages, "SLICE", 300)
+    monkeypatch.setattr(passages, "SLICE", 130)
     rng = random.Random(hot)
     for _ in range(12):
         rows = [(rng.randrange(20), t.encode()) for t in corpus(rng, 25, rng.choice(["ab", "abcdefgh \n"]))]
