@@ -4,7 +4,8 @@ The suffixes of a text are sorted by as many bytes as are asked for, by doubling
 neighbouring suffixes follow breadth first: an interval of suffixes that begin with one string is extended backward by each byte
 that stands before them, and where the extended interval ends at a place that has no value yet, that place's common prefix is the
 length of the string. Values come in ascending order, so the expansion stops at the least length that matters: the
-places that have no value by then join suffixes that agree in so many bytes.
+places that have no value by then join suffixes that agree in so many bytes. The first values, below FIRST, are seen in the keys by which
+suffixes are sorted first, so the expansion begins with strings of FIRST bytes.
 
 Byte 0 of the code stands between strings. It is never extended over; a string that holds it has no meaning here.
 """
@@ -13,25 +14,28 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Codes, of 9 bits each, in the first key of a suffix.
+FIRST = 7
 #: Intervals of more suffixes than this are extended byte by byte, by search; shorter ones by looking at each suffix.
 WIDE = 256
 
 
-def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
-    """Where suffixes start, in the order of their first `depth` codes (a text ends in zeros)."""
+def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where suffixes start, in the order of their first `depth` codes (a text ends in zeros); and the common prefix of each with the one before, FIRST at most."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(7, text.dtype)])
+    padded = np.concatenate([text, np.zeros(FIRST - 1, text.dtype)])
     key = np.zeros(n, np.uint64)
-    for i in range(7):  # of 9 bits each
+    for i in range(FIRST):
         key = key << np.uint64(9) | padded[i : i + n]
     order = np.argsort(key)
     key = key[order]
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
+    apart = np.concatenate([[np.uint64((1 << 64) - 1)], key[1:] ^ key[:-1]])
+    near = sum((apart < np.uint64(1 << 9 * (FIRST - k))).astype(np.int8) for k in range(1, FIRST + 1))
+    new = near < FIRST
     rank = np.zeros(n + depth + 1, np.int64)  # of the first suffix that begins alike, plus one; 0 beyond the end
     heads = np.flatnonzero(new)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n))) + 1
-    known = 7
+    known = FIRST
     while known < depth:
         step = min(known, depth - known)
         single = new & np.append(new[1:], True)
@@ -48,7 +52,7 @@ def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         heads = np.flatnonzero(fresh)
         rank[order[slots]] = np.repeat(slots[heads], np.diff(np.append(heads, len(slots)))) + 1
         known += step
-    return order
+    return order, near
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,56 +62,94 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) + np.repeat(lo - np.cumsum(size) + size, size), of
 
 
-def boundaries(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+class Transform:
+    """The transform of a sorted text: the code before each suffix, and the step from a suffix to the one that is longer by it."""
+
+    def __init__(self, text: np.ndarray, order: np.ndarray):
+        n = len(text)
+        self.last = text[order - 1]
+        self.last[order == 0] = 0
+        by = np.argsort(self.last, kind="stable")
+        self.step = np.empty(n, np.int32)
+        self.step[by] = np.arange(n, dtype=np.int32)
+        self.step[self.last == 0] = -1  # no string goes on over a 0
+        cuts = np.searchsorted(self.last[by], np.arange(258))
+        #: Of each code that occurs: its first longer suffix, and the suffixes that it stands before.
+        self.codes = [(cuts[c], by[cuts[c] : cuts[c + 1]]) for c in range(1, 257) if cuts[c] < cuts[c + 1]]
+
+    def singles(self, at: np.ndarray) -> np.ndarray:
+        longer = self.step[at]
+        return longer[longer >= 0]
+
+    def pairs(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of intervals of two suffixes: the extended intervals of two, and of one."""
+        a, b = self.step[lo], self.step[lo + 1]
+        same = (a >= 0) & (b == a + 1) & (self.last[lo] == self.last[lo + 1])
+        apart = np.concatenate([a[~same], b[~same]])
+        return a[same], apart[apart >= 0]
+
+    def few(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Extended intervals of short ones, by looking at each suffix: those of one interval and code follow each other there."""
+        at, of = ranges(lo, hi)
+        longer = self.step[at]
+        real = longer >= 0
+        at, of, longer = at[real], of[real], longer[real]
+        put = np.argsort(of * len(self.step) + longer)
+        of, longer, code = of[put], longer[put], self.last[at[put]]
+        begins = np.ones(len(of), bool)
+        begins[1:] = (longer[1:] != longer[:-1] + 1) | (code[1:] != code[:-1]) | (of[1:] != of[:-1])
+        return longer[begins], longer[np.append(begins[1:], True) if len(of) else begins] + 1
+
+    def many(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Extended intervals of long ones, by a search in the places of each code."""
+        los, his = [], []
+        for first, places in self.codes:
+            a, b = np.searchsorted(places, lo), np.searchsorted(places, hi)
+            los.append((first + a[a < b]).astype(np.int32))
+            his.append((first + b[a < b]).astype(np.int32))
+        return np.concatenate(los), np.concatenate(his)
+
+
+def boundaries(text: np.ndarray, order: np.ndarray, near: np.ndarray, depth: int) -> np.ndarray:
     """Before which suffixes (in order) the common prefix with the one before is shorter than `depth`.
 
     Only boundaries of strings without a zero are sought: among suffixes that begin with one, or meet one within `depth`, some are missed.
     """
     n = len(text)
-    last = text[order - 1]
-    last[order == 0] = 0
-    by = np.argsort(last, kind="stable")
-    step = np.empty(n, np.int64)  # from a suffix to the one that is longer by the byte before it
-    step[by] = np.arange(n)
-    first = np.searchsorted(last[by], np.arange(258))
-    codes = [c for c in range(1, 257) if first[c] < first[c + 1]]
-    unset = np.ones(n + 1, bool)
-    unset[[0, n]] = False
-    lo, hi = np.array([0]), np.array([n])
-    for _ in range(depth):
-        size = hi - lo
-        one = lo[size == 1]
-        one = step[one[last[one] != 0]]
-        los, his = [one], [one + 1]
-        few = (size > 1) & (size <= WIDE)
-        if few.any():
-            at, of = ranges(lo[few], hi[few])
-            real = last[at] != 0
-            at, of = at[real], of[real]
-            # Suffixes of one interval that have the same byte before them follow each other there; so each byte's are a run.
-            longer = step[at]
-            key = of * n + longer
-            put = np.argsort(key)
-            key, code = key[put], last[at[put]]
-            begins = np.ones(len(key), bool)
-            begins[1:] = (key[1:] != key[:-1] + 1) | (code[1:] != code[:-1]) | (of[put[1:]] != of[put[:-1]])
-            ends = np.append(begins[1:], True) if len(key) else begins
-            los.append(key[begins] % n)
-            his.append(key[ends] % n + 1)
-        wide = size > WIDE
-        if wide.any():
-            for c in codes:
-                places = by[first[c] : first[c + 1]]
-                a, b = np.searchsorted(places, lo[wide]), np.searchsorted(places, hi[wide])
-                some = a < b
-                los.append(first[c] + a[some])
-                his.append(first[c] + b[some])
+    if depth <= FIRST:
+        return near < depth
+    unset = np.append(near == FIRST, False)
+    heads = np.append(np.flatnonzero(~unset[:n]), n).astype(np.int32)
+    # Strings of FIRST codes whose interval ends where the common prefix is one code less.
+    lo, hi = heads[:-1], heads[1:]
+    real = np.ones(len(lo), bool)
+    padded = np.concatenate([text, np.zeros(FIRST, text.dtype)])
+    for k in range(FIRST):
+        real &= padded[order[lo] + k] > 0
+    some = real & (np.append(near, 0)[hi] == FIRST - 1)
+    lo, hi = lo[some], hi[some]
+    t, one = Transform(text, order), lo[hi == lo + 1]
+    lo, hi = lo[hi > lo + 1], hi[hi > lo + 1]
+    for _ in range(FIRST, depth):
+        size, los, his = hi - lo, [], []
+        two, apart = t.pairs(lo[size == 2])
+        los.append(two)
+        his.append(two + 2)
+        for which, extended in (((size > 2) & (size <= WIDE), t.few), (size > WIDE, t.many)):
+            if which.any():
+                a, b = extended(lo[which], hi[which])
+                los.append(a)
+                his.append(b)
         lo, hi = np.concatenate(los), np.concatenate(his)
-        fresh = unset[hi]
+        one = np.concatenate([t.singles(one), apart, lo[hi == lo + 1]])
+        lo, hi = lo[hi > lo + 1], hi[hi > lo + 1]
+        # All have one length, so no two end at one place.
+        one, fresh = one[unset[one + 1]], unset[hi]
         lo, hi = lo[fresh], hi[fresh]
-        if not len(lo):
-            break
+        unset[one + 1] = False
         unset[hi] = False
+        if not len(one) and not len(lo):
+            break
     return ~unset[:n]
 
 
@@ -117,8 +159,8 @@ def repeats(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, n
     Rows are in order of class.
     """
     text, owner, place = coded(strings)
-    order = suffixes(text, depth)
-    group = np.cumsum(boundaries(text, order, depth))
+    order, near = suffixes(text, depth)
+    group = np.cumsum(boundaries(text, order, near, depth))
     sizes = np.array([len(s) for s in strings], np.int64)
     fits = (owner[order] >= 0) & (place[order] <= sizes[owner[order]] - depth)
     return owner[order][fits], place[order][fits], group[fits]

@@ -7,8 +7,7 @@ corpus fits no machine, so strings are dealt out first, such that all places of
   share one. Documents are dealt in blocks; a block names its anchors once each. Those that two documents have are told to the blocks.
 * A block sends, for each run of strings with such an anchor, the run's bytes (once for equal runs). The runs of a bucket of
   anchors are one text, of which `bwt.boundaries` derives the common prefixes from 0 up to LENGTH: suffixes between two places
-  with shorter ones are one string, and all but the places in its first document are repeats. Runs that are alone with their anchor share
-  no string with others, and need no transform.
+  with shorter ones are one string, and all but the places in its first document are repeats.
 * Where very many documents share an anchor (a common line), the runs around it differ in what stands beside it. There the strings
   go one by one, dealt by their own hash, and are merged in two levels: first in SALTS parts, then what was first in each.
 
@@ -255,7 +254,7 @@ def merged(rows: pa.Table, lots: int) -> pa.Table:
         some = of_kind(kind)
         if len(some):
             strings, of, places = _strings(some)
-            first_of, base = _firsts(strings, of, places[0], kind)
+            first_of, base = _firsts(strings, of, places[0])
             hits, missed = _judged(of, places, first_of, base)
             found.append(hits)
             if kind == PART:
@@ -280,22 +279,15 @@ def _strings(rows: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]
     return list(known), np.concatenate(of), [_column(rows, c, size) for c, size in PLACES]
 
 
-def _firsts(strings: list[bytes], of: np.ndarray, docs: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _firsts(strings: list[bytes], of: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every start of LENGTH bytes in each string in turn, the first document that has those bytes; and where each string's begin."""
     least = split_places(docs, of, len(strings))
-    sizes = np.array([len(s) for s in strings], np.int64)
-    fits = sizes - LENGTH + 1
+    fits = np.array([len(s) for s in strings], np.int64) - LENGTH + 1
     base = np.cumsum(fits) - fits
-    out = np.repeat(least, fits)
-    some = np.arange(len(strings))
-    if kind == RUN:
-        key = anchors(np.frombuffer(b"".join(strings), np.uint8))[np.cumsum(sizes) - sizes]
-        some = np.flatnonzero((np.unique(key, return_counts=True)[1] > 1)[np.unique(key, return_inverse=True)[1]])
-    if len(some):
-        owner, at, group = repeats([strings[i] for i in some.tolist()], LENGTH)
-        owner = some[owner]
-        new = np.diff(group, prepend=-1) != 0
-        out[base[owner] + at] = np.minimum.reduceat(least[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
+    owner, at, group = repeats(strings, LENGTH)
+    new = np.diff(group, prepend=-1) != 0
+    out = np.empty(int(fits.sum()), np.int64)
+    out[base[owner] + at] = np.minimum.reduceat(least[owner], np.flatnonzero(new))[np.cumsum(new) - 1]
     return out, base
 
 
