@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import chain
 
 import numpy as np
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.layout import spread
+from ..operators.layout import shared_dir, spread, stored  # noqa: F401  the operators take them from here
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,25 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, spark.checkpoint.dir. Only a session on one machine may do without, and gets one there; a cluster may not."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file:/tmp/checkpoints/steploom")
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder (or over what a path holds) and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written to its end: the mark that a job leaves last is there."""
     try:
