@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, record_batch, shuffle_partitions, slices, stored
+from ..operators.layout import in_order
+from .common import column, record_batch, slices, stored
 
 BUCKETS, SEED, PERCENT, LEAST_WORDS = 10_000, 7, 25, 20
 #: Code points of a piece, and bytes of the texts that go to one statement, about.
@@ -204,17 +205,14 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
         gain[r["bucket"]] = r["gain"]
     scored = weighed(counts, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("fit", F.col("n_words") >= least_words)
     order = [F.col("fit").desc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"), F.col("weight")]
-    ranged = scored.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    # The id of a row is its partition's number and its place there. Written once, it no longer depends on how rows were dealt.
-    ranged = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "scores")
-    part, within = F.shiftrightunsigned("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r["part"], r["n"], r["fits"]) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_if("fit").alias("fits")).collect())  # a row a partition
+    ranged = in_order(scored, order)
+    sizes = sorted((r["part"], r["n"], r["fits"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.count_if("fit").alias("fits")).collect())  # a row a range
     drawn = percent * sum(fits for _, _, fits in sizes) // 100
     before, at = [], 0
     for p, n, _ in sizes:
         before.append((p, at))
         at += n
     offsets = spark.createDataFrame(before, "part long, before long")
-    place = F.col("before") + within + 1
-    rows = ranged.withColumn("part", part).join(F.broadcast(offsets), "part")
+    place = F.col("before") + F.col("at") + 1
+    rows = ranged.join(F.broadcast(offsets), "part")
     return rows.select("doc_id", "n_features", "weight", "score", F.when(place <= drawn, place).alias("rank"))
