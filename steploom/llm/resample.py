@@ -94,13 +94,39 @@ def _lowered(word: str) -> str:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in word)
 
 
-SPILLED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64()))])
-SPILLED_DDL = "doc_id long, n_words long, buckets array<int>, counts array<int>, sums array<long>"
+#: Of a document: its buckets as differences from one to the next, and their counts, both in 16 bits. A count beyond MOST is several, of one bucket.
+SPILLED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary()), ("sums", pa.list_(pa.int64()))])
+SPILLED_DDL = "doc_id long, n_words long, buckets binary, counts binary, sums array<long>"
+MOST = (1 << 16) - 1
+
+
+def packed(rows: int, row: np.ndarray, bucket: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """The two columns of so many rows, from entries in order of row and bucket."""
+    times = -(-n // MOST)
+    of = np.repeat(np.arange(len(n)), times)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    row, bucket, count = row[of], bucket[of], np.minimum(n[of] - nth * MOST, MOST)
+    delta = bucket.copy()
+    delta[1:] -= np.where(row[1:] == row[:-1], bucket[:-1], 0)
+    ends = (2 * np.searchsorted(row, np.arange(rows + 1))).astype(np.int32)
+    return [pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(x.astype("<u2"))]) for x in (delta, count)]
+
+
+def unpacked(buckets: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's entries end (and the first begin), their buckets and their counts."""
+    parts = []
+    for col in (buckets, counts):
+        at = np.frombuffer(col.buffers()[1], np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset : col.offset + len(col) + 1] // 2
+        parts.append(np.frombuffer(col.buffers()[2] or b"", "<u2")[at[0] : at[-1]].astype(np.int64))
+    ends, upto = at - at[0], np.concatenate([[0], np.cumsum(parts[0])])
+    return ends, upto[1:] - np.repeat(upto[ends[:-1]], np.diff(ends)), parts[1]
 
 
 def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_words, buckets (ascending) and their counts: a row for each row of texts (doc_id, text). And a row for each task, which has
+    """doc_id, n_words, buckets and their counts (see `packed`): a row for each row of texts (doc_id, text). And a row for each task, which has
     sums alone: those of its documents, of every bucket."""
+    if buckets > MOST + 1:
+        raise ValueError("buckets are written in 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, sums = connection(), np.zeros(buckets, np.int64)
@@ -120,9 +146,7 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             n = np.bincount(at, n, len(key)).astype(np.int64)
             np.add.at(sums, key % buckets, n)
             words = np.bincount(row, n_words, len(ids)).astype(np.int64)
-            ends = np.searchsorted(key, np.arange(len(ids) + 1) * buckets).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % buckets, n)]
-            return record_batch(SPILLED, ids, words, *lists, [None] * len(ids))
+            return record_batch(SPILLED, ids, words, *packed(len(ids), key // buckets, key % buckets, n), [None] * len(ids))
 
         def long_text(doc: int | None, text: str) -> pa.RecordBatch:
             total, words = np.zeros(buckets, np.int64), 0
@@ -132,7 +156,7 @@ def counted(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 words += int(n_words.sum())
             np.add(sums, total, out=sums)
             some = np.flatnonzero(total)
-            return record_batch(SPILLED, [doc], [words], [some.tolist()], [total[some].tolist()], [None])
+            return record_batch(SPILLED, [doc], [words], *packed(1, np.zeros(len(some), np.int64), some, total[some]), [None])
 
         for batch in batches:
             for part in slices(batch, "text", AT_ONCE):
@@ -171,9 +195,8 @@ def weighed(counts: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def means(some: pa.RecordBatch) -> pa.RecordBatch:
         of = lambda c: some.column(some.schema.get_field_index(c))
-        ends = np.asarray(of("buckets").offsets) - of("buckets").offsets[0].as_py()
-        n = np.asarray(of("counts").flatten()).astype(np.int64)
-        upto, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, gain[np.asarray(of("buckets").flatten())] * n))
+        ends, bucket, n = unpacked(of("buckets"), of("counts"))
+        upto, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, gain[bucket] * n))
         features = upto[ends[1:]] - upto[ends[:-1]]
         return record_batch(schema, of("doc_id"), of("n_words"), features, (total[ends[1:]] - total[ends[:-1]]) // np.maximum(features, 1))
 

@@ -78,3 +78,25 @@ def test_a_text_of_many_pieces(spark):
     assert len(text) > 2 * resample.PIECE
     rows = [(1, text, None, None, None), (2, "a b", None, None, None)]
     assert result(spark, rows, ["word1x1 word2x2"]) == brute(rows, ["word1x1 word2x2"])
+
+
+def test_counts_as_they_are_stored():
+    """Rows without entries, counts beyond 16 bits, and slices of a batch."""
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for i in range(40):
+        some = np.unique(rng.integers(0, 10_000, rng.integers(0, 30))) if i % 5 else np.zeros(0, np.int64)
+        n = rng.choice([1, 2, 65_535, 65_536, 300_000], len(some))
+        want.append({int(b): int(k) for b, k in zip(some, n)})
+        rows.append((np.full(len(some), i), some, n))
+    row, bucket, n = (np.concatenate(x).astype(np.int64) for x in zip(*rows))
+    columns = resample.packed(40, row, bucket, n)
+    for a, b in ((0, 40), (7, 31), (5, 6), (3, 3)):
+        ends, bucket, n = resample.unpacked(*(x.slice(a, b - a) for x in columns))
+        got = []
+        for x, y in zip(ends, ends[1:]):
+            c = Counter()
+            for k, m in zip(bucket[x:y].tolist(), n[x:y].tolist()):
+                c[k] += m
+            got.append(dict(c))
+        assert got == want[a:b]
