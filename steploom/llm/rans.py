@@ -168,11 +168,10 @@ class Words:
 
     In plain text (ASCII, Latin-1 letters, common marks) words are what the file's splitter finds after lower-casing. Other text
     is cut at blanks, across which no token reaches, and each part that is not plain goes to the library as it is.
-    A word stays in the table from the second slice in which it occurs, so one-off words do not fill it; a full table
-    becomes the older of two generations, out of which words still in use are taken over.
+    A full table becomes the older of two generations, out of which words still in use are taken over; very long words are not kept.
     """
 
-    most, longest, marks = 300_000, 64, 1 << 22
+    most, longest = 300_000, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -191,20 +190,22 @@ class Words:
         self.ends[[i for t, i in self.lib.get_vocab().items() if t.endswith(END)]] = True
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        self.seen = bytearray(self.marks)
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str, odd: set[str]) -> list[str]:
+        """A text's words; parts that are not plain stand as they are, and are put into odd."""
         if plain(text):
             return WORD.findall(text.lower())
         out = []
         for part in BLANKS.split(text):
-            if part:
-                out += WORD.findall(part.lower()) if plain(part) else [part]
+            if part and plain(part):
+                out += WORD.findall(part.lower())
+            elif part:
+                odd.add(part)
+                out.append(part)
         return out
 
-    def _ask(self, words: list[str]) -> None:
-        """Looks up new words. A word's last token, and no other, has the mark of a word's end."""
-        known = [w for w in words if plain(w)]
+    def _ask(self, known: list[str], odd: list[str]) -> None:
+        """Looks up new words, plain and odd ones. A word's last token, and no other, has the mark of a word's end."""
         for k in range(0, len(known), 4096):
             some = known[k : k + 4096]
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
@@ -215,30 +216,27 @@ class Words:
             for w, end in zip(some, (4 * cuts).tolist()):
                 self.now[w] = raw[at:end]
                 at = end
-        if len(known) < len(words):
-            odd = [w for w in words if not plain(w)]
-            for k in range(0, len(odd), 4096):
-                some = odd[k : k + 4096]
-                self.now.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)))
+        for k in range(0, len(odd), 4096):
+            some = odd[k : k + 4096]
+            self.now.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
         if not self.known:
             return [np.array(e.ids, "<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [self.words(t) for t in texts]
+        odd: set[str] = set()
+        split = [self.words(t, odd) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.now)
-        kept = new.intersection(self.before)
-        self.now.update((w, self.before[w]) for w in kept)
-        new -= kept
-        self._ask(list(new))
+        if self.before:
+            kept = new.intersection(self.before)
+            self.now.update(zip(kept, map(self.before.__getitem__, kept)))
+            new -= kept
+        self._ask(list(new - odd), list(new & odd))
         out = [b"".join(map(self.now.__getitem__, ws)) for ws in split]
-        for w in new:
-            mark = hash(w) & (self.marks - 1)
-            if len(w) > self.longest or not self.seen[mark]:
-                del self.now[w]
-            self.seen[mark] = 1
+        for w in [w for w in new if len(w) > self.longest]:
+            del self.now[w]
         if len(self.now) > self.most:
-            self.now, self.before, self.seen = {}, self.now, bytearray(self.marks)
+            self.now, self.before = {}, self.now
         return out
 
 
