@@ -6,6 +6,9 @@ maxProperties, items, minItems, maxItems, uniqueItems, allOf, anyOf, oneOf, not,
 (title, description, default, examples, $schema, $id, $defs, $comment) say nothing about a document. Any other keyword is an error, and so is a
 $ref that leads back into itself, since a column expression has a fixed depth.
 
+A column has no names for what it is made of: a value mentioned twice is computed twice, and what is below a condition or in a lambda is never shared.
+So each value of the document, and its kind, is bound by `let` where it is first needed, and is computed once for each document.
+
 A keyword is silent about values of kinds it does not speak of (`pattern` about a number), as in the standard. A fault is (path, rule): the path of
 the value, or of the property that is missing or too many, and the keyword.
 """
@@ -24,12 +27,21 @@ DATE_TIME = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])[Tt]([01]\d|2[0-3]):[0
 _KINDS = {"string": ["STRING"], "boolean": ["BOOLEAN"], "null": ["VOID"], "object": ["OBJECT"], "array": ["ARRAY"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Node:
-    """A value of the document, its path, and what is asked about it."""
+    """A value of the document and its kind, both bound, its path, and what is asked about it."""
+
+    def __init__(self, value: Column, kind: Column, path: Column):
+        self.value, self.kind, self.path = value, kind, path
 
-    def __init__(self, value: Column, path: Column):
-        self.value, self.path = value, path
-        self.kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    @staticmethod
+    def bound(value: Column, path: Column, body: Callable[["Node"], Column]) -> Column:
+        """body(node) of a value that is bound already and is there."""
+        return let(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), lambda kind: body(Node(value, kind, path)))
 
     def is_a(self, name: str) -> Column:
         if name == "integer":
@@ -52,10 +64,13 @@ class Node:
     def entries(self) -> Column:
         return F.when(self.is_a("object"), F.try_variant_get(self.value, "$", "map<string,variant>"))
 
-    def child(self, name: str) -> "Node":
+    def child(self, name: str) -> Column:
         if "'" in name or "\\" in name:
             raise ValueError(f"no path can be written for property {name!r}")
-        return Node(F.variant_get(self.value, f"$['{name}']", "variant"), F.concat(self.path, F.lit("." + name)))
+        return F.variant_get(self.value, f"$['{name}']", "variant")
+
+    def below(self, name: str) -> Column:
+        return F.concat(self.path, F.lit("." + name))
 
 
 def none() -> Column:
@@ -85,6 +100,12 @@ def equal(node: Node, want) -> Column:
     return F.to_json(node.value) == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def equal_any(node: Node, wants: list) -> Column:
+    """Equality with one of some values; the text is compared with all strings at once."""
+    texts = [x for x in wants if isinstance(x, str)]
+    return _any([*([node.is_a("string") & node.text.isin(texts)] if texts else []), *(equal(node, x) for x in wants if not isinstance(x, str))])
+
+
 def _any(columns: list[Column]) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -149,7 +170,7 @@ class Compiler:
         return fault(~_any([node.is_a(x) for x in ([want] if isinstance(want, str) else want)]), node.path, "type")
 
     def _enum(self, want, node, schema, refs):
-        return fault(~_any([equal(node, x) for x in want]), node.path, "enum")
+        return fault(~equal_any(node, want), node.path, "enum")
 
     def _const(self, want, node, schema, refs):
         return fault(~_any([equal(node, want)]), node.path, "const")
@@ -163,28 +184,34 @@ class Compiler:
         return fault(node.is_a("string") & ~F.rlike(node.text, F.lit(DATE_TIME)), node.path, "format")
 
     def _required(self, want, node, schema, refs):
-        return together([fault(node.is_a("object") & node.child(x).value.isNull(), F.concat(node.path, F.lit("." + x)), "required") for x in want])
+        return together([fault(node.is_a("object") & node.child(x).isNull(), node.below(x), "required") for x in want])
 
     def _properties(self, want, node, schema, refs):
-        out = []
-        for name, sub in want.items():
-            child = node.child(name)
-            out.append(F.when(child.value.isNotNull(), self.faults(sub, child, refs)).otherwise(none()))
-        return together(out)
+        def one(name, sub):
+            there = lambda v: F.when(v.isNotNull(), Node.bound(v, node.below(name), lambda child: self.faults(sub, child, refs))).otherwise(none())
+            return let(node.child(name), there)
 
-    def _more(self, node, schema, each: Callable[[Column], Column]) -> Column:
-        """Of an object's properties that the schema does not name, in order of name: the faults that `each` finds."""
+        return together([one(name, sub) for name, sub in want.items()])
+
+    def _more(self, node, schema, each: Callable[[Column, Column], Column]) -> Column:
+        """Of an object's properties that the schema does not name, in order of name: the faults that `each` finds in a name and its value."""
         known = F.array(*[F.lit(x) for x in schema.get("properties", {})]).cast("array<string>")
-        names = F.filter(F.array_sort(F.map_keys(node.entries)), lambda k: ~F.array_contains(known, k))
-        return F.coalesce(F.flatten(F.transform(names, each)), none())
+
+        def found(entries):
+            # By place, since a map is searched from its start for each key.
+            places = F.transform(F.map_keys(entries), lambda k, i: F.struct(k.alias("k"), i.alias("i")))
+            names = F.filter(F.array_sort(places), lambda x: ~F.array_contains(known, x["k"]))
+            return F.flatten(F.transform(names, lambda x: each(x["k"], F.get(F.map_values(entries), x["i"]))))
+
+        return F.coalesce(let(node.entries, found), none())
 
     def _additionalProperties(self, want, node, schema, refs):
         below = lambda k: F.concat(node.path, F.lit("."), k)
         if want is True:
             return none()
         if want is False:
-            return self._more(node, schema, lambda k: fault(F.lit(True), below(k), "additionalProperties"))
-        return self._more(node, schema, lambda k: self.faults(want, Node(node.entries[k], below(k)), refs))
+            return self._more(node, schema, lambda k, v: fault(F.lit(True), below(k), "additionalProperties"))
+        return self._more(node, schema, lambda k, v: let(v, lambda v: Node.bound(v, below(k), lambda child: self.faults(want, child, refs))))
 
     def _propertyNames(self, want, node, schema, refs):
         if set(want) - {"pattern"}:
@@ -194,7 +221,7 @@ class Compiler:
 
     def _items(self, want, node, schema, refs):
         below = lambda i: F.concat(node.path, F.lit("["), i.cast("string"), F.lit("]"))
-        return F.coalesce(F.flatten(F.transform(node.items, lambda x, i: self.faults(want, Node(x, below(i)), refs))), none())
+        return F.coalesce(F.flatten(F.transform(node.items, lambda x, i: Node.bound(x, below(i), lambda child: self.faults(want, child, refs)))), none())
 
     def _uniqueItems(self, want, node, schema, refs):
         told = F.transform(node.items, lambda x: F.to_json(x))
@@ -220,12 +247,17 @@ class Compiler:
         return F.when(self._fits(want, node, refs), of("then")).otherwise(of("else"))
 
 
+def _bound_faults(value: Column, schema: dict | bool) -> Column:
+    compiler = Compiler(schema if isinstance(schema, dict) else {})
+    return F.when(value.isNotNull(), Node.bound(value, F.lit("$"), lambda root: compiler.faults(schema, root)))
+
+
 def faults(document: Column, schema: dict | bool) -> Column:
     """Faults of a document (a VARIANT) under a schema, in the order in which the schema names its rules; NULL if there is no document."""
-    return F.when(document.isNotNull(), Compiler(schema if isinstance(schema, dict) else {}).faults(schema, Node(document, F.lit("$"))))
+    return let(document, lambda value: _bound_faults(value, schema))
 
 
 def faults_of_text(document: Column, schema: dict | bool) -> Column:
     """The same of a JSON text; what is no JSON has the one fault `json`."""
-    value = F.try_parse_json(document)
-    return F.when(document.isNotNull() & value.isNull(), fault(F.lit(True), F.lit("$"), "json")).otherwise(faults(value, schema))
+    no_json = fault(F.lit(True), F.lit("$"), "json")
+    return let(document, lambda text: F.when(text.isNotNull(), let(F.try_parse_json(text), lambda value: F.coalesce(_bound_faults(value, schema), no_json))))

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import calculator, schema, stats, text
 from ..operators import judging, picks, ranks
+from ..operators.layout import spread
 from ..sources import writers
 from ..streaming import limiter, runs
 from .base import query
@@ -247,7 +248,7 @@ def jsn3_schema(t):
         c("event_id").alias("id"), c("event_type").alias("kind"), "value", F.from_json("props", "k int").alias("props"), F.array("event_type", F.concat(F.lit("u"), "user_id")).alias("tags"), c("value").alias("count"),
         F.when(c("value") < 1, "low").alias("note"),
     ))
-    found = t.events.select("event_id", schema.faults_of_text(record, EVENT_SCHEMA).alias("f"))
+    found = spread(t.events.select("event_id", "event_type", "user_id", "value", "props")).select("event_id", schema.faults_of_text(record, EVENT_SCHEMA).alias("f"))
     return found.select("event_id", F.array_join(F.array_sort(F.transform("f", lambda x: F.concat_ws(":", x["path"], x["rule"]))), " ").alias("faults"))
 
 

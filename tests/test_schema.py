@@ -143,3 +143,16 @@ def test_what_is_not_understood_is_an_error(spark):
 def test_no_python_worker(spark):
     plan = spark.createDataFrame([("{}",)], "d string").select(S.faults_of_text(F.col("d"), REPORT).alias("f"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_a_document_is_made_and_parsed_once(spark):
+    """However many rules ask about it: its text, the parse, and each value with its kind."""
+    text = F.concat(F.lit('{"version": "'), F.col("d"), F.lit('"}'))
+    plan = spark.createDataFrame([("1.0",)], "d string").repartition(1).select(S.faults_of_text(text, REPORT).alias("f"))._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    # Root, version, at, arms, an arm, steps, a step's id, label, error (asked in five places), score, pins, a pin.
+    assert plan.count("parse_json") + plan.count("parseJson") == 1 and plan.count('{"version": "') == 1 and 10 < len(re.findall(r"schema_of_variant|schemaOfVariant", plan)) < 25
+
+
+def test_many_properties_that_no_schema_names(spark):
+    doc = {f"p{i}": i if i % 100 else "x" for i in range(3000)}
+    assert run(spark, {"additionalProperties": {"type": "number"}}, [doc]) == [[f"$.p{i} type" for i in sorted(range(0, 3000, 100), key=str)]]
