@@ -151,7 +151,7 @@ def steps_of(source: str) -> str:
 @query(steps_of("documents"))
 def seg_steps(t):
     """Steps of every document, as reasoning text."""
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(segmenter.segments(F.col("text"))).alias("ordinal", "s")).select("doc_id", "ordinal", "s.start", "s.end", "s.text")
+    return segmenter.stepped(spread(t.documents.select("doc_id", "text")), "text")
 
 
 @query(steps_of("documents"))

@@ -44,3 +44,25 @@ def test_table_functions(spark):
     for bad in ("SELECT * FROM text_steps(1)", "SELECT * FROM trace_steps('x')", "SELECT * FROM trace_steps(TABLE(SELECT 1 AS a) PARTITION BY a)"):
         with pytest.raises(Exception, match="takes a t"):
             spark.sql(bad).collect()
+
+
+def test_steps_go_out_in_bounded_batches(spark, monkeypatch):
+    texts = [*texts_of(3, 60), None, "", " \n "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["i", "text"])
+    monkeypatch.setattr(segmenter, "HELD", 2000)
+    got = list(segmenter.step_batches(iter([batch, batch.slice(5, 9)])))
+    want = [(i, *s) for i, t in enumerate(texts) for s in steps_of(t)]
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [*want, *(x for x in want if 5 <= x[0] < 14)]
+    assert all(sum(b - a for a, b in zip(x["start"].to_pylist()[:-1], x["end"].to_pylist()[:-1])) < 2000 for x in got) and len(got) > 10
+    arrays = segmenter._segments.func(batch["text"])
+    assert arrays.to_pylist() == [[{"start": a, "end": b, "text": s} for _, a, b, s in steps_of(t)] for t in texts]
+
+
+def test_the_table_of_steps_and_the_column(spark):
+    texts = [*texts_of(4, 40), None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    want = sorted((i, *s) for i, t in enumerate(texts) for s in steps_of(t))
+    assert sorted(map(tuple, segmenter.stepped(df, "t").collect())) == want
+    assert sorted((r.i, k, *s) for r in df.select("i", segmenter.segments(df.t).alias("s")).collect() for k, s in enumerate(r.s)) == want
+    plan = registry.queries()["seg_steps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "EvalPython" not in plan
