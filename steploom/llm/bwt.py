@@ -4,8 +4,8 @@ The suffixes of a text are sorted by as many bytes as are asked for, by doubling
 neighbouring suffixes follow breadth first: an interval of suffixes that begin with one string is extended backward by each byte
 that stands before them, and where the extended interval ends at a place that has no value yet, that place's common prefix is the
 length of the string. Values come in ascending order, so the expansion stops at the least length that matters: the
-places that have no value by then join suffixes that agree in so many bytes. The first values, below FIRST, are seen in the keys by which
-suffixes are sorted first, so the expansion begins with strings of FIRST bytes.
+places that have no value by then join suffixes that agree in so many bytes. The first values are seen in the keys by which
+suffixes are sorted first, of as many codes as 63 bits hold, so the expansion begins with strings of that length.
 
 Byte 0 of the code stands between strings. It is never extended over; a string that holds it has no meaning here.
 """
@@ -14,45 +14,46 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Codes, of 9 bits each, in the first key of a suffix.
-FIRST = 7
 #: Intervals of more suffixes than this are extended byte by byte, by search; shorter ones by looking at each suffix.
-WIDE = 256
+WIDE = 4096
 
 
-def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where suffixes start, in the order of their first `depth` codes (a text ends in zeros); and the common prefix of each with the one before, FIRST at most."""
+def suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where suffixes start, in the order of their first `depth` codes (a text ends in zeros); how many codes, `first`, a first key has;
+    and the common prefix of each with the one before: first, one less, or 0 for all that is shorter."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(FIRST - 1, text.dtype)])
-    key = np.zeros(n, np.uint64)
-    for i in range(FIRST):
-        key = key << np.uint64(9) | padded[i : i + n]
+    bits = max(int(text.max()).bit_length(), 1)
+    first = min(63 // bits, depth)
+    padded = np.concatenate([text, np.zeros(first - 1, text.dtype)]).astype(np.uint64)
+    key = padded[:n].copy()
+    for i in range(1, first):
+        key <<= np.uint64(bits)
+        key |= padded[i : i + n]
     order = np.argsort(key)
     key = key[order]
     apart = np.concatenate([[np.uint64((1 << 64) - 1)], key[1:] ^ key[:-1]])
-    near = sum((apart < np.uint64(1 << 9 * (FIRST - k))).astype(np.int8) for k in range(1, FIRST + 1))
-    new = near < FIRST
-    rank = np.zeros(n + depth + 1, np.int64)  # of the first suffix that begins alike, plus one; 0 beyond the end
+    new = apart > 0
+    near = np.where(new, np.where(apart < np.uint64(1 << bits), first - 1, 0), first).astype(np.int8)
+    order = order.astype(np.int32)
+    rank = np.zeros(n + depth + 1, np.int32)  # of the first suffix that begins alike, plus one; 0 beyond the end
     heads = np.flatnonzero(new)
-    rank[order] = np.repeat(heads, np.diff(np.append(heads, n))) + 1
-    known = FIRST
+    rank[order] = np.repeat((heads + 1).astype(np.int32), np.diff(np.append(heads, n)))
+    known, slots = first, np.arange(n)
     while known < depth:
-        step = min(known, depth - known)
-        single = new & np.append(new[1:], True)
-        slots = np.flatnonzero(~single)  # groups that are not told apart yet
+        slots = slots[~(new & np.append(new[1:], True))]  # groups that are not told apart yet
         if not len(slots):
             break
+        step = min(known, depth - known)
         some = order[slots]
-        key = rank[some] * (n + 1) + rank[some + step]
+        key = rank[some].astype(np.int64) * (n + 1) + rank[some + step]
         by = np.argsort(key)
-        order[slots], key = some[by], key[by]
-        fresh = np.ones(len(slots), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        new[slots] = fresh
-        heads = np.flatnonzero(fresh)
-        rank[order[slots]] = np.repeat(slots[heads], np.diff(np.append(heads, len(slots)))) + 1
+        some, key = some[by], key[by]
+        order[slots] = some
+        new = np.append(True, key[1:] != key[:-1])
+        heads = np.flatnonzero(new)
+        rank[some] = np.repeat((slots[heads] + 1).astype(np.int32), np.diff(np.append(heads, len(slots))))
         known += step
-    return order, near
+    return order, near, first
 
 
 def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,27 +111,28 @@ class Transform:
         return np.concatenate(los), np.concatenate(his)
 
 
-def boundaries(text: np.ndarray, order: np.ndarray, near: np.ndarray, depth: int) -> np.ndarray:
+def boundaries(text: np.ndarray, order: np.ndarray, near: np.ndarray, first: int, depth: int) -> np.ndarray:
     """Before which suffixes (in order) the common prefix with the one before is shorter than `depth`.
 
     Only boundaries of strings without a zero are sought: among suffixes that begin with one, or meet one within `depth`, some are missed.
     """
     n = len(text)
-    if depth <= FIRST:
+    if depth <= first:
         return near < depth
-    unset = np.append(near == FIRST, False)
+    unset = np.append(near == first, False)
     heads = np.append(np.flatnonzero(~unset[:n]), n).astype(np.int32)
-    # Strings of FIRST codes whose interval ends where the common prefix is one code less.
+    # Strings of so many codes as a key has, whose interval ends where the common prefix is one code less.
     lo, hi = heads[:-1], heads[1:]
-    real = np.ones(len(lo), bool)
-    padded = np.concatenate([text, np.zeros(FIRST, text.dtype)])
-    for k in range(FIRST):
-        real &= padded[order[lo] + k] > 0
-    some = real & (np.append(near, 0)[hi] == FIRST - 1)
+    some = np.append(near, 0)[hi] == first - 1
     lo, hi = lo[some], hi[some]
+    padded = np.concatenate([text, np.zeros(first, text.dtype)])
+    at, real = order[lo], np.ones(len(lo), bool)
+    for k in range(first):
+        real &= padded[at + k] > 0
+    lo, hi = lo[real], hi[real]
     t, one = Transform(text, order), lo[hi == lo + 1]
     lo, hi = lo[hi > lo + 1], hi[hi > lo + 1]
-    for _ in range(FIRST, depth):
+    for _ in range(first, depth):
         size, los, his = hi - lo, [], []
         two, apart = t.pairs(lo[size == 2])
         los.append(two)
@@ -158,22 +160,28 @@ def repeats(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, n
 
     Rows are in order of class.
     """
-    text, owner, place = coded(strings)
-    order, near = suffixes(text, depth)
-    group = np.cumsum(boundaries(text, order, near, depth))
-    sizes = np.array([len(s) for s in strings], np.int64)
-    fits = (owner[order] >= 0) & (place[order] <= sizes[owner[order]] - depth)
-    return owner[order][fits], place[order][fits], group[fits]
-
-
-def coded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The strings in turn, bytes as 1 to 256 and a 0 behind each string; of each code, the number of its string (-1 for a 0) and its place there."""
-    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    sizes = np.array([len(s) for s in strings], np.int64)
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
-    between = place == sizes[owner]
-    text = data.astype(np.uint16) + 1
-    text[between] = 0
-    owner[between] = -1
-    return text, owner, place
+    return repeats_in(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64), depth)
+
+
+def repeats_in(data: np.ndarray, sizes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`repeats` of strings of these sizes, which follow each other in the data."""
+    text, owner, left = coded(data, sizes)
+    order, near, first = suffixes(text, depth)
+    group = np.cumsum(boundaries(text, order, near, first, depth))
+    fits = left[order] >= depth
+    order, group = order[fits], group[fits]
+    owner = owner[order]
+    return owner, sizes[owner] - left[order], group
+
+
+def coded(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The strings in turn, the bytes that occur as 1, 2, ... and a 0 behind each string; of each code, the number of its string and how many bytes are left in that."""
+    code = np.zeros(256, np.uint16)
+    code[np.flatnonzero(np.bincount(data, minlength=256))] = 1
+    code = np.where(code, np.cumsum(code), 0).astype(np.uint16)
+    ends = np.cumsum(sizes + 1) - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    left = ends[owner] - np.arange(len(owner))
+    text = np.zeros(len(owner), np.uint16)
+    text[left > 0] = code[data]
+    return text, owner, left

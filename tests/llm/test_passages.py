@@ -90,6 +90,33 @@ def test_rounds_without_spark(monkeypatch, hot):
         assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for x in got for r in x.to_pylist()) == brute(rows)
 
 
+def test_few_rows_hold_bounded_transforms(monkeypatch):
+    """A block sends a row for each tray, whatever it holds; in a tray, runs go through the transform in lots of bounded size, each once."""
+    rng, through, transform = random.Random(4), [], passages.repeats_in
+    monkeypatch.setattr(passages, "LOT", 6000)
+    monkeypatch.setattr(passages, "HOT", 12)
+    monkeypatch.setattr(passages, "repeats_in", lambda data, sizes, depth: through.append(len(data)) or transform(data, sizes, depth))
+    base = ["".join(rng.choices("abcdefgh \n", k=400)) for _ in range(60)] + ["a line that stands in most of all documents, with others beside it"]
+    rows = [(d, "".join(rng.choices(base, k=3) + base[-1:] + rng.choices(base, k=1)).encode()) for d in range(80)]
+    tables = {b: pa.table({"doc_id": pa.array([d for d, _ in rows[b::4]]), "whole": pa.array([hash(t) for _, t in rows[b::4]]), "text": pa.array([t for _, t in rows[b::4]])}) for b in range(4)}
+
+    def dealt(parts, key):
+        every = pa.concat_tables(parts)
+        return [every.filter(pa.compute.equal(every.column(key), k)) for k in every.column(key).unique()]
+
+    none, trays = passages.TOLD.empty_table(), 2
+    told = pa.concat_tables([passages.shared_anchors(x) for x in dealt([passages.block_anchors(b, t, none, 3) for b, t in tables.items()], "bucket")])
+    sent = [passages.block_runs(b, t, told.filter(pa.compute.equal(told.column("block"), b)), trays) for b, t in tables.items()]
+    assert max(len(x) for x in sent) <= 2 * trays + 1
+    assert {passages.RUN, passages.PART} <= set(pa.concat_tables(sent).column("kind").to_pylist())
+    for _ in range(2):
+        sent = [passages.merged(x, trays) for x in dealt(sent, "bucket")]
+    assert len(through) > 3 * trays and max(through) <= 2 * passages.LOT
+    found = pa.concat_tables(sent)
+    got = [passages.block_results(t, found.filter(pa.compute.equal(found.column("block"), b)), none) for b, t in tables.items()]
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for x in got for r in x.to_pylist()) == brute(rows)
+
+
 def result(spark, rows):
     got = passages.deduplicated(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(3)).collect()
     for r in got:
